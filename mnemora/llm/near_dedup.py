@@ -5,14 +5,17 @@
 2. ``BANDS`` bands of ``ROWS`` hashes bucket the classes: a pair at the
    threshold shares no bucket with probability (1 - t^ROWS)^BANDS, 7e-6 here.
 3. Star round: in each bucket every class meets the bucket's hub (another in
-   each band, by hash), so a bucket of n gives n - 1 pairs.
+   each band, by hash), so a bucket of n gives n - 1 pairs. It is repeated
+   ``STAR_ROUNDS`` - 1 times where a bucket holds several components yet, with
+   the member of most links as the hub.
 4. Pairs are verified sequentially: signatures are compared in batches of
    ``BATCH`` hashes, and a pair goes as soon as the posterior probability of a
    similarity of at least t falls below ``MISS``. Survivors are verified
    exactly on their full shingle sets. Links give components.
 5. Rest round: buckets that now hold one component need no further pair. In
-   each other bucket all pairs across components are compared on signatures,
-   in blocks of ``BLOCK`` classes spread over tasks, each pair in its first
+   each other bucket all pairs across components are compared, sequentially
+   again, on signatures of ``WIDE`` hashes made for these classes alone, in
+   blocks of ``BLOCK`` classes spread over tasks, each pair in its first
    common band only; survivors are verified exactly. So every candidate pair
    is either tested or already connected: no link between components is lost,
    and groups of copies aren't expanded into their pairs.
@@ -39,16 +42,18 @@ from mnemora.llm.common import materialise, table
 from mnemora.llm.components import components
 from mnemora.llm.shingles import digest, mix64, shingle_set
 
-PERCENT, BANDS, ROWS, HASHES, BATCH, MISS, BLOCK = 85, 16, 4, 128, 32, 1e-4, 256
+PERCENT, BANDS, ROWS, HASHES, BATCH, MISS, BLOCK, STAR_ROUNDS, WIDE = 85, 16, 4, 256, 32, 1e-4, 256, 3, 768
 _rng = np.random.default_rng(20)
-_A = (_rng.integers(0, 2**32, HASHES, np.uint64).astype(np.uint32) | np.uint32(1))[None, :]
-_B = _rng.integers(0, 2**32, HASHES, np.uint64).astype(np.uint32)[None, :]
+_A = (_rng.integers(0, 2**32, WIDE, np.uint64).astype(np.uint32) | np.uint32(1))[None, :]
+_B = _rng.integers(0, 2**32, WIDE, np.uint64).astype(np.uint32)[None, :]
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    x, out = (shingles >> np.uint64(32)).astype(np.uint32)[:, None], np.full(HASHES, 0xFFFFFFFF, np.uint32)
+def signature(shingles: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """Minimum hashes; a longer signature begins with the shorter one."""
+    x, out = (shingles >> np.uint64(32)).astype(np.uint32)[:, None], np.full(hashes, 0xFFFFFFFF, np.uint32)
+    a, b = _A[:, :hashes], _B[:, :hashes]
     for at in range(0, len(x), 1024):
-        np.minimum(out, (x[at : at + 1024] * _A + _B).min(axis=0), out=out)
+        np.minimum(out, (x[at : at + 1024] * a + b).min(axis=0), out=out)
     return out
 
 
@@ -71,8 +76,9 @@ def least_matches(n: int, t: float, miss: float) -> int:
     return n
 
 
-def _steps(percent: int) -> list[tuple[int, int]]:
-    return [(n, least_matches(n, percent / 100, MISS)) for n in range(BATCH, HASHES + 1, BATCH)]
+def _steps(percent: int, hashes: int = HASHES) -> list[tuple[int, int]]:
+    ends = [*range(BATCH, HASHES + 1, BATCH), *range(HASHES + 4 * BATCH, hashes + 1, 4 * BATCH)]
+    return [(n, least_matches(n, percent / 100, MISS)) for n in ends]
 
 
 def posterior_keep(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
@@ -102,8 +108,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+def _sign_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sig = [signature(shingle_set(t.as_py()), WIDE).tobytes() for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary())], ["node", "sig"])
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, hashes: int = HASHES) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, hashes)
 
 
 def _prune(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -142,7 +154,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(percent: int):
-    steps = _steps(percent)
+    steps = _steps(percent, WIDE)
 
     def pairs_of(band: int, left: bool, node: np.ndarray, comp: np.ndarray, half: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a_out, b_out, bands = [], [], sig[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
@@ -156,7 +168,7 @@ def _blocks(percent: int):
             j = j[comp[j] != comp[i]]
             if not len(j):
                 continue
-            own = np.broadcast_to(sig[i], (len(j), HASHES))
+            own = np.broadcast_to(sig[i], (len(j), WIDE))
             j = j[posterior_keep(own, sig[j], steps)]
             if len(j):  # the first common band only
                 j = j[(bands[j] == bands[i]).all(axis=2).argmax(axis=1) == band]
@@ -173,7 +185,7 @@ def _blocks(percent: int):
             unit = np.stack([rows.column(c).to_numpy() for c in ("key", "lo", "hi")], axis=1)
             edges = np.flatnonzero((unit[1:] != unit[:-1]).any(axis=1)) + 1
             node, comp, mine, band = (rows.column(c).to_numpy() for c in ("node", "comp", "mine", "band"))
-            sig = _matrix(rows.column("sig"))
+            sig = _matrix(rows.column("sig"), WIDE)
             for s, e in zip([0, *edges], [*edges, len(unit)], strict=True):
                 lo, hi = unit[s, 1], unit[s, 2]
                 a, b = pairs_of(int(band[s]), lo == hi, node[s:e], comp[s:e], mine[s:e] != lo, sig[s:e])
@@ -218,13 +230,26 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     bodies = materialise(texts.withColumnRenamed("doc_id", "node").join(in_buckets, "node", "left_semi"))
 
     links = materialise(_verify(_prune(stars, signs, percent), bodies, percent))
-    comps = components(links)
-
-    tagged = shared.select("key", "band", "node").join(comps, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp"))
-    tagged = materialise(tagged)
-    open_buckets = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rest = tagged.join(open_buckets, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rest = rest.join(signs, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tagged = shared.select("key", "band", "node")
+    for again in range(STAR_ROUNDS):
+        comps = components(links)
+        tagged = tagged.join(comps, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp"))
+        still = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n")
+        tagged = materialise(tagged.join(still, "key"))
+        if again == STAR_ROUNDS - 1:
+            break
+        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        ranked = tagged.join(degree, "node", "left").select("key", "node", "comp", F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("node", "key", F.lit(again))).alias("order"))
+        hubs = ranked.groupBy("key").agg(F.max_by(F.struct("node", "comp"), "order").alias("hub"))
+        meet = tagged.join(hubs, "key").where(F.col("comp") != F.col("hub.comp"))
+        more = _prune(meet.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), signs, percent)
+        links = materialise(links.unionByName(_verify(more, bodies, percent)))
+        tagged = tagged.select("key", "band", "node")
+
+    rest = tagged.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rest = rest.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    wide = bodies.join(tagged.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_sign_wide, "node long, sig binary")
+    rest = rest.join(wide, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = rest.select(
         "key", F.least("mine", "other").cast("long").alias("lo"), F.greatest("mine", "other").cast("long").alias("hi"), "band", "node", "comp", F.col("mine").cast("long").alias("mine"), "sig"
     )
