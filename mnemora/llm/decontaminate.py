@@ -27,14 +27,26 @@ from mnemora.llm.common import lower_ascii, table
 
 WINDOW, K = 13, 10
 BROADCAST_ROWS = 200_000
-_WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _any_of(*codes: int) -> str:
+    """A run of these characters; a class of single ones is a bit set to Java's matcher, one of ranges isn't."""
+    return "[" + "".join(f"\\x{c:02X}" for c in codes) + "]+"
+
+
+_BREAK = _any_of(*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80))
+_BREAK_ANY_CASE = _any_of(*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80))
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), _BREAK), lambda w: w != "")
 
 
+def _count(text: Column) -> Column:
+    pieces = F.split(F.coalesce(text, F.lit("")), _BREAK_ANY_CASE)
+    return F.size(F.filter(pieces, lambda w: w != "")).cast("long")
+
+
 def fingerprints(rows: DataFrame, n: int, k: int) -> DataFrame:
     """For every window of ``n`` words: its start ``s``, the kept hash ``fp`` and its offset ``j`` in the window."""
     keys = [c for c in rows.columns if c != "words"]
@@ -94,7 +106,7 @@ def contamination(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROAD
     hits = find_hits(docs, items, broadcast_rows).groupBy("doc_id", "th").agg(
         F.collect_set(F.struct("s", "n")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items")
     ).select(F.col("doc_id").alias("h_id"), F.col("th").alias("h_th"), _covered(F.array_sort("spans")).alias("n_hit"), "items")
-    counted = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.regexp_count("text", F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
+    counted = docs.select("doc_id", F.xxhash64("text").alias("th"), _count(F.col("text")).alias("n_words"))
     joined = counted.join(hits, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("th") == F.col("h_th")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return joined.select(
