@@ -1,10 +1,15 @@
-"""Registry of the queries and their SQL."""
+"""Registry of the queries and their SQL, by family."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from mnemora.plans import corpus, ledger, search
+
+QUERIES = search.QUERIES | corpus.QUERIES | ledger.QUERIES
+ORACLE_SQL = search.ORACLE_SQL | corpus.ORACLE_SQL | ledger.ORACLE_SQL
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known-item search with two terms a query."""
+    return search.known_item(spark, sf_dir, m=2)
