@@ -55,7 +55,9 @@ def _targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap:
         "level",  # the common target per weight if every source before this one is full
         (F.col("all") - F.coalesce(F.sum("top").over(full), F.lit(0.0))) / (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(full), F.lit(0.0))),
     )
-    rows = rows.withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= F.col("top"), F.col("level"))).over(whole))
+    # the first source, by top / w, that its level doesn't fill
+    fits = F.when(F.col("level") * F.col("w") <= F.col("top"), F.struct((F.col("top") / F.col("w")).alias("order"), "sk", "level"))
+    rows = rows.withColumn("level", F.min(fits).over(whole)["level"])
     target = F.least("top", F.coalesce(F.col("level") * F.col("w"), "top"))
     offset = F.conv(F.substring(_hash(seed, F.col("sk")), 1, 12), 16, 10).cast("double") / float(16**12)
     rows = rows.withColumn("target", target)
@@ -114,7 +116,7 @@ s0 AS (SELECT sk, sum(size)::BIGINT AS source_size FROM d GROUP BY sk),
 s1 AS (SELECT *, [5.0, 2.0, 1.0][1 + ((row_number() OVER (ORDER BY sk) - 1) % 3)]::DOUBLE AS w, 2.0::DOUBLE * source_size AS top FROM s0),
 s2 AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(top) OVER f, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER f, 0)) AS level
   FROM s1 WINDOW f AS (ORDER BY top / w, sk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-s3 AS (SELECT *, min(CASE WHEN level * w <= top THEN level END) OVER () AS lv FROM s2),
+s3 AS (SELECT *, (SELECT level FROM s2 WHERE level * w <= top ORDER BY top / w, sk LIMIT 1) AS lv FROM s2),
 s4 AS (SELECT sk, source_size, least(top, coalesce(lv * w, top)) AS target,
     ('0x' || substr(sha256('mix-1:' || sk), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 AS u FROM s3),
 r AS (SELECT d.*, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
