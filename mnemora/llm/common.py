@@ -42,17 +42,33 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+#: Spark then deletes a finished write's shuffle files at once instead of when the driver's JVM next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage, survives lost executors, and gives the planner real sizes.
-    The files go when the driver's Python ends.
+    The files go at ``release`` or when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/mnemora-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     atexit.register(_remove, spark, path)
-    return spark.read.parquet(path)
+    made = spark.read.parquet(path)
+    made.scratch_path = path
+    return made
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing reads any more."""
+    _remove(df.sparkSession, df.scratch_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import materialise, table
+from mnemora.llm.common import materialise, release, table
 from mnemora.llm.shingles import gram_hashes, word_hashes
 
 MIN_WORDS, SPAN, GRAM = 50, 26, 6
@@ -106,10 +106,13 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, span: int = SPAN)
 
     seeds = materialise(texts.mapInArrow(retain, "doc_id long, pos int, key long"))
     twice = seeds.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
-    found = seeds.join(twice, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("seeds"))
+    found = materialise(seeds.join(twice, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("seeds")))
+    release(seeds)
     parts = materialise(texts.join(found, "doc_id").select("doc_id", "text", "seeds").mapInArrow(extend, "doc_id long, start int, one long, two int"))
     again = parts.groupBy("one", "two").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("hi")).where("first_doc_id <> hi").drop("hi")
-    hits = parts.join(again, ["one", "two"]).groupBy("doc_id", "start").agg(F.min("first_doc_id").alias("first_doc_id"))
+    shared = materialise(parts.join(again, ["one", "two"]).select("doc_id", "start", "first_doc_id"))
+    release(parts)
+    hits = shared.repartition("doc_id").groupBy("doc_id", "start").agg(F.min("first_doc_id").alias("first_doc_id"))
     order = Window.partitionBy("doc_id").orderBy("start")
     fresh = (F.col("start") > F.lag("start").over(order) + least).cast("int")
     runs = hits.withColumn("run", F.sum(F.coalesce(fresh, F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
