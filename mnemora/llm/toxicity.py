@@ -254,13 +254,13 @@ def learn(rows: list[np.ndarray], y: np.ndarray, rounds: int = 300, rate: float
     w, b = np.zeros(BUCKETS, np.float32), 0.0
     if not len(rows) or y.min() == y.max():
         return w, -60.0
-    sizes = np.array([len(r) for r in rows])
-    doc, key = np.repeat(np.arange(len(rows)), sizes), np.concatenate(rows)
-    once = np.unique(doc.astype(np.int64) * BUCKETS + key)
-    n1, n0 = (np.bincount(once[y[once // BUCKETS] == c] % BUCKETS, minlength=BUCKETS) for c in (1, 0))
-    ratio = (n1 + 0.5) / (n0 + 0.5) * ((y == 0).sum() / (y == 1).sum())
-    live = ((n1 + n0 >= least) & ((ratio > lift) | (ratio < 1 / lift)))[key]
-    doc, key = doc[live], key[live]
+    n = np.zeros((2, BUCKETS), np.int32)
+    for r, c in zip(rows, y, strict=True):  # one document at a time: the features that are left out never stand side by side
+        n[int(c), np.unique(r)] += 1
+    ratio = (n[1] + 0.5) / (n[0] + 0.5) * ((y == 0).sum() / (y == 1).sum())
+    live = (n[0] + n[1] >= least) & ((ratio > lift) | (ratio < 1 / lift))
+    rows = [r[live[r]] for r in rows]
+    doc, key = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows]), np.concatenate(rows)
     names, key = np.unique(key, return_inverse=True)
     v, share = np.zeros(len(names)), np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
     g2, b2 = np.full(len(names), 1e-8), 1e-8
