@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import crc_fold, table
+from mnemora.llm.common import checked_broadcast, crc_fold, table
 
 BITS, DIM, MAX_PER_LANG = 15, 16, 1500
 BUCKETS, _STEP = 1 << BITS, 1 << 18
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, per_lang: int = MAX_PER_LANG) -> LanguageModel:
     share = F.abs(F.xxhash64("doc_id") % 1_000_000) / 1_000_000.0
     n_langs = max(per.count(), 1)
     sample = (
-        rows.join(per, "lang").where(share < F.lit(float(per_lang)) / F.col("n"))
+        rows.join(checked_broadcast(per, n_langs, 10_000), "lang").where(share < F.lit(float(per_lang)) / F.col("n"))
         .orderBy("doc_id", "text").limit(int(1.2 * per_lang * n_langs)).select("lang", "text").mapInArrow(_extract, "lang string, k binary, n binary")
     ).toPandas()
     pairs = [(np.frombuffer(k, np.uint16).astype(np.int64), np.frombuffer(n, np.float32)) for k, n in zip(sample.k, sample.n, strict=True)]
