@@ -8,9 +8,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STOP_TITLE = ("the", "a", "an", "and", "or", "of", "to", "in", "for")
-NEGATION = r"(?i)(do not|don't|never|no longer|instead of|not recommended|avoid|deprecated)"
-IMPERATIVE = r"(?i)\b(do not|don't|always|never|must|should)\b"
+from mnemora.functions import fixed
+
+
+def whole_words(pattern: str) -> str:
+    """``pattern`` between word boundaries of any script, in a form that Java and RE2 read alike."""
+    return rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{pattern})(?:$|[^\p{{L}}\p{{N}}_])"
+
+
+NEGATION = rf"(?i)(?:{'|'.join(fixed.NEGATIONS)})"
+IMPERATIVE = whole_words(fixed.IMPERATIVES)
+ACKNOWLEDGEMENT = rf"(?i)^(?:{fixed.ACKNOWLEDGEMENTS})$"
+
+
+def strip(text: Column) -> Column:
+    """White space at both ends taken off."""
+    return F.regexp_replace(text, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
 
 
 def tokens(text: Column) -> Column:
@@ -73,7 +86,7 @@ def slug(text: Column, limit: int = 60) -> Column:
     return F.when(base == "", tail).otherwise(F.concat(base, F.lit("-"), tail))
 
 
-def title_words(text: Column, stop: tuple[str, ...] = STOP_TITLE) -> Column:
+def title_words(text: Column, stop: tuple[str, ...] = fixed.TITLE_STOP) -> Column:
     """Distinct lower-case words split at blanks, stop words left out."""
     return F.array_except(F.array_distinct(F.filter(F.split(F.lower(text), " "), lambda t: t != "")), F.array(*[F.lit(s) for s in stop]))
 
@@ -101,17 +114,45 @@ def redact(text: Column) -> Column:
 
 def feedback_family(text: Column) -> tuple[Column, Column]:
     """(family, confidence): the first family that matches, 0.9 if two do; null under ten characters and for acknowledgements."""
-    families = (
-        ("correction", r"(?i)\b(no|not|wrong|incorrect|actually)\b"),
-        ("preference", r"(?i)\b(prefer|rather|like it when|i want)\b"),
-        ("instruction", r"(?i)\b(always|never|must|make sure|remember to)\b"),
-        ("rejection", r"(?i)\b(stop|undo|revert|reject)\b"),
-        ("praise", r"(?i)\b(great|perfect|well done|exactly)\b"),
-    )
-    hits = [text.rlike(p) for _, p in families]
+    hits = [text.rlike(whole_words(p)) for _, p in fixed.FEEDBACK_FAMILIES]
     count = sum((h.cast("int") for h in hits[1:]), hits[0].cast("int"))
-    live = (F.length(F.trim(text)) >= 10) & ~F.trim(text).rlike(r"(?i)^(ok|okay|thanks|thank you|yes|sure)[.! ]*$")
+    live = (F.length(strip(text)) >= 10) & ~strip(text).rlike(ACKNOWLEDGEMENT)
     name = F.lit(None).cast("string")
-    for (family, _), hit in reversed(list(zip(families, hits, strict=True))):
+    for (family, _), hit in reversed(list(zip(fixed.FEEDBACK_FAMILIES, hits, strict=True))):
         name = F.when(hit, family).otherwise(name)
     return F.when(live, name), F.when(live & (count >= 2), 0.9).when(live & (count == 1), 0.7)
+
+
+def is_noise(line: Column) -> Column:
+    """Blank lines and those that carry only metadata."""
+    out = strip(line) == ""
+    for pattern in fixed.NOISE_LINES:
+        out = out | line.rlike(pattern)
+    return out
+
+
+def is_mojibake(line: Column) -> Column:
+    """Marks of a wrong code page make up a set share of the line."""
+    marks = [(F.length(line) - F.length(F.replace(line, F.lit(m), F.lit("")))) / len(m) for m in fixed.MOJIBAKE]
+    hits = sum(marks[1:], marks[0])
+    return (hits > 0) & (hits >= fixed.MOJIBAKE_SHARE * F.length(line))
+
+
+def authority_weight(authority: Column) -> Column:
+    weight = F.lit(1.0)
+    for name, w in fixed.AUTHORITY.items():
+        weight = F.when(F.lower(strip(authority)) == name, w).otherwise(weight)
+    return weight
+
+
+def known_type(kind: Column) -> Column:
+    """The type, its canonical name for an alias, null for a type out of the domain."""
+    for alias, name in fixed.TYPE_ALIASES.items():
+        kind = F.when(kind == alias, name).otherwise(kind)
+    return F.when(kind.isin(*fixed.TYPES), kind)
+
+
+def open_at(valid_to: Column, day: Column) -> Column:
+    """Valid at ``day``: no end, an open end, or an end not before it."""
+    end = F.lower(F.regexp_replace(strip(valid_to), r"^[\"']+|[\"']+$", ""))
+    return valid_to.isNull() | end.isin("", "null", "none", "~") | (F.substring(end, 1, 10) >= F.substring(day, 1, 10))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemora.functions import text as tx
+from mnemora.functions import fixed, text as tx
 from mnemora.operators import activity as ac, graph
 from mnemora.plans.search import _EDGES, _TITLE, link_edges
 from mnemora.sources.tables import table
@@ -95,8 +95,8 @@ def infer_type(s, d):
 
 def noise_lines(s, d):
     lines = _docs(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    noise = (F.trim("line") == "") | F.col("line").rlike(r"^\s*</?[a-z]+>\s*$") | F.col("line").rlike(r"(\S+ \| ){3}")
-    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(noise).alias("n_noise"))
+    noise, broken = F.count_if(tx.is_noise(F.col("line"))), F.count_if(tx.is_mojibake(F.col("line")))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), noise.alias("n_noise"), broken.alias("n_mojibake"))
 
 
 def clip_text(s, d):
@@ -110,10 +110,13 @@ def budget_prefix(s, d):
 
 
 def guardrails_topn(s, d):
-    """Imperative first lines, one per 60-character key, fifteen at most."""
-    rows = _docs(s, d).select("doc_id", _first_line().alias("rule")).where((F.col("rule") != "") & (F.col("rule").rlike(tx.IMPERATIVE) | F.col("rule").rlike(r"(?i)\bthe\b")))
-    key = F.substring(F.lower("rule"), 1, 60)
-    return rows.groupBy(key.alias("key")).agg(F.min(F.struct("doc_id", "rule")).alias("r")).select("r.doc_id", "r.rule").orderBy("doc_id").limit(15)
+    """Rules: imperative first lines of documents, then feedback; one per 60-character key, fifteen at most."""
+    pages = _docs(s, d).select(F.lit(0).alias("part"), F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("turn"), _first_line().alias("rule")).where(F.col("rule").rlike(tx.IMPERATIVE))
+    told = table(s, d, "conversations").where(tx.feedback_family(F.col("text"))[0].isNotNull())
+    rows = pages.unionByName(told.select(F.lit(1).alias("part"), F.col("conv_id").alias("id"), F.col("turn").cast("long").alias("turn"), F.col("text").alias("rule")))
+    rows = rows.withColumn("rule", F.substring("rule", 1, 150))
+    first = rows.groupBy(F.substring(F.lower("rule"), 1, 60).alias("key")).agg(F.min(F.struct("part", "id", "turn", "rule")).alias("r"))
+    return first.select("r.*").orderBy("part", "id", "turn").limit(15)
 
 
 def catalog_sections(s, d):
@@ -140,7 +143,7 @@ def hash_ledger_changed(s, d):
 
 
 def cross_source_overlap(s, d):
-    """Pairs of part names with three shared words at least, of different brands."""
+    """Pairs of part names with two shared words at least, of different brands."""
     p = table(s, d, "part")
     pairs = ac.overlap_pairs(p, "p_partkey", tx.title_words(F.col("p_name")), 2)
     brand = lambda c, n: p.select(F.col("p_partkey").alias(c), F.col("p_brand").alias(n))
@@ -148,7 +151,7 @@ def cross_source_overlap(s, d):
 
 
 def contradictions(s, d):
-    """Documents whose text has a negation."""
+    """Documents whose text says that it replaces something."""
     return _docs(s, d).where(F.col("text").rlike(tx.NEGATION)).select("doc_id")
 
 
@@ -175,7 +178,24 @@ _DOMAIN = "SELECT doc_id, lang FROM documents WHERE lang NOT IN ('en', 'fr', 'de
 _TEMP = "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS valid_to FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') < '1996-01-01' AND o_orderstatus = 'O'"
 _DRIFT = "SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 3 = 0"
 _WSQ = r"trim(regexp_replace({0}, '[ \t\n\x0B\f\r]+', ' ', 'g'))"
-_FAM = (("correction", r"\b(no|not|wrong|incorrect|actually)\b"), ("preference", r"\b(prefer|rather|like it when|i want)\b"), ("instruction", r"\b(always|never|must|make sure|remember to)\b"), ("rejection", r"\b(stop|undo|revert|reject)\b"), ("praise", r"\b(great|perfect|well done|exactly)\b"))
+_STRIP = r"regexp_replace({0}, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
+
+
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _in(words) -> str:
+    return "(" + ", ".join(map(_quote, words)) + ")"
+
+
+_HITS = ", ".join(f"regexp_matches(text, {_quote(tx.whole_words(p))})" for _, p in fixed.FEEDBACK_FAMILIES)
+_NAMES = " ".join(f"WHEN h[{i + 1}] THEN '{n}'" for i, (n, _) in enumerate(fixed.FEEDBACK_FAMILIES))
+_FEEDBACK = f"""SELECT conv_id, turn, text, CASE {_NAMES} END AS family, CASE WHEN n >= 2 THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence
+FROM (SELECT *, len(list_filter(h, lambda x: x)) AS n FROM (SELECT conv_id, turn, text, [{_HITS}] AS h FROM conversations
+WHERE length({_STRIP.format('text')}) >= 10 AND NOT regexp_matches({_STRIP.format('text')}, {_quote(tx.ACKNOWLEDGEMENT)}))) WHERE n > 0"""
+_NOISE = " OR ".join([f"{_STRIP.format('line')} = ''", *[f"regexp_matches(line, {_quote(p)})" for p in fixed.NOISE_LINES]])
+_MARKS = "(" + " + ".join(f"(length(line) - length(replace(line, '{m}', ''))) / {len(m)}.0" for m in fixed.MOJIBAKE) + ")::DOUBLE"
 
 
 def _redact_sql() -> str:
@@ -190,22 +210,23 @@ ORACLE_SQL = {
     "lint_sparse": _SPARSE, "lint_broken_links": _BROKEN, "lint_backlinks": _BACK, "lint_orphans": _ORPH, "lint_type_domain": _DOMAIN, "lint_temporal": _TEMP, "lint_drift": _DRIFT,
     "lint_summary": "SELECT category, count(*) AS n, category <> 'drift' AS fails_gate FROM (" + " UNION ALL ".join(
         f"SELECT '{c}' AS category FROM ({q})" for c, q in (("sparse_pages", _SPARSE), ("broken_links", _BROKEN), ("missing_backlinks", _BACK), ("orphans", _ORPH), ("type_domain", _DOMAIN), ("temporal", _TEMP), ("drift", _DRIFT))) + ") GROUP BY category",
-    "feedback_classify": "SELECT * FROM (SELECT conv_id, turn, CASE " + " ".join(f"WHEN h[{i + 1}] THEN '{n}'" for i, (n, _) in enumerate(_FAM)) + " END AS family, CASE WHEN n >= 2 THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM (SELECT *, len(list_filter(h, lambda x: x)) AS n FROM (SELECT conv_id, turn, ["
-        + ", ".join(f"regexp_matches(text, '(?i){p}')" for _, p in _FAM) + r"] AS h FROM conversations WHERE length(trim(text)) >= 10 AND NOT regexp_matches(trim(text), '(?i)^(ok|okay|thanks|thank you|yes|sure)[.! ]*$'))) WHERE n > 0)",
+    "feedback_classify": f"SELECT conv_id, turn, family, confidence FROM ({_FEEDBACK})",
     "redact_secrets": f"SELECT doc_id, sha256({_redact_sql()}) AS redacted_sha256, {_redact_sql()} <> text AS changed FROM documents",
     "slugify": rf"""WITH a AS (SELECT doc_id, {_TITLE} AS t FROM documents), b AS (SELECT doc_id, t, regexp_replace(substr(regexp_replace(regexp_replace(lower(t), '[^\p{{L}}\p{{N}}_]+', '-', 'g'), '^[-_]+|[-_]+$', '', 'g'), 1, 53), '[-_]+$', '') AS s FROM a)
 SELECT doc_id, CASE WHEN s = '' THEN substr(sha256(t), 1, 6) ELSE s || '-' || substr(sha256(t), 1, 6) END AS slug FROM b""",
     "infer_type": "SELECT page_id, CASE WHEN contains(url, '/news') THEN 'event' WHEN contains(url, '/wiki') THEN 'concept' WHEN contains(url, '/blog') THEN 'insight' WHEN contains(url, '/docs') THEN 'reference' WHEN contains(url, '/a') THEN 'article' ELSE 'page' END AS kind FROM pages",
-    "noise_lines": r"SELECT doc_id, count(*) AS n_lines, count(*) FILTER (trim(line) = '' OR regexp_matches(line, '^\s*</?[a-z]+>\s*$') OR regexp_matches(line, '(\S+ \| ){3}')) AS n_noise FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id",
+    "noise_lines": f"""SELECT doc_id, count(*) AS n_lines, count(*) FILTER ({_NOISE}) AS n_noise, count(*) FILTER ({_MARKS} > 0 AND {_MARKS} >= {fixed.MOJIBAKE_SHARE}::DOUBLE * length(line)) AS n_mojibake
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id""",
     "clip_text": f"SELECT doc_id, sha256(CASE WHEN length({_WSQ.format('text')}) > 140 THEN rtrim(substr({_WSQ.format('text')}, 1, 139)) || '…' ELSE {_WSQ.format('text')} END) AS clip_sha256 FROM documents",
     "budget_prefix": "SELECT * FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM documents) WHERE running <= 120000",
-    "guardrails_topn": rf"""WITH r AS (SELECT doc_id, {_TITLE} AS rule FROM documents), f AS (SELECT * FROM r WHERE rule <> '' AND (regexp_matches(rule, '{tx.IMPERATIVE.replace(chr(39), chr(39) * 2)}') OR regexp_matches(rule, '(?i)\bthe\b')))
-SELECT doc_id, rule FROM (SELECT *, row_number() OVER (PARTITION BY substr(lower(rule), 1, 60) ORDER BY doc_id) AS k FROM f) WHERE k = 1 ORDER BY doc_id LIMIT 15""",
+    "guardrails_topn": f"""WITH r AS (SELECT 0 AS part, doc_id AS id, 0::BIGINT AS turn, {_TITLE} AS rule FROM documents WHERE regexp_matches({_TITLE}, {_quote(tx.IMPERATIVE)})
+UNION ALL SELECT 1, conv_id, turn, text FROM ({_FEEDBACK})), k AS (SELECT part, id, turn, substr(rule, 1, 150) AS rule FROM r)
+SELECT part, id, turn, rule FROM (SELECT *, row_number() OVER (PARTITION BY substr(lower(rule), 1, 60) ORDER BY part, id, turn) AS n FROM k) WHERE n = 1 ORDER BY part, id, turn LIMIT 15""",
     "catalog_sections": f"SELECT lang, source, count(*) AS n_pages, min(lower({_TITLE})) AS first_hook FROM documents GROUP BY 1, 2",
     "agent_strengths": "SELECT * FROM (SELECT source, lang, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS place FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2)) WHERE place <= 5",
     "snapshot_dedup": f"SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY lower({_WSQ.format('substr(text, 1, 200)')})",
     "hash_ledger_changed": "SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 2 <> 0",
-    "cross_source_overlap": """WITH w AS (SELECT p_partkey AS id, p_brand AS br, unnest(list_filter(list_distinct(string_split(lower(p_name), ' ')), lambda x: x <> '' AND x NOT IN ('the','a','an','and','or','of','to','in','for'))) AS w FROM part)
+    "cross_source_overlap": """WITH w AS (SELECT p_partkey AS id, p_brand AS br, unnest(list_filter(list_distinct(string_split(lower(p_name), ' ')), lambda x: x <> '' AND x NOT IN """ + _in(fixed.TITLE_STOP) + """)) AS w FROM part)
 SELECT x.id AS a, y.id AS b, count(*) AS shared FROM w x JOIN w y ON x.w = y.w AND x.id < y.id WHERE x.br <> y.br GROUP BY 1, 2 HAVING count(*) >= 2""",
     "contradictions": f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{tx.NEGATION.replace(chr(39), chr(39) * 2)}')",
     "tail_text": "SELECT doc_id, sha256(right(text, 500)) AS tail_sha256, length(right(text, 500))::BIGINT AS n FROM documents",

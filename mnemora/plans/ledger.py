@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemora.functions import text as tx
+from mnemora.functions import fixed, text as tx
 from mnemora.operators import activity as ac
+from mnemora.plans.corpus import _in
 from mnemora.sources.tables import table
 from mnemora.streaming import capture
 
@@ -38,7 +39,7 @@ def task_status_fold(s, d):
 def task_conflicts(s, d):
     """Open tasks of different agents that share two words: parts of different brands, size under five open."""
     p = table(s, d, "part").where("p_size < 5")
-    pairs = ac.overlap_pairs(p, "p_partkey", tx.title_words(F.col("p_name"), (*tx.STOP_TITLE, "fix", "add")), 2)
+    pairs = ac.overlap_pairs(p, "p_partkey", tx.title_words(F.col("p_name"), fixed.TASK_STOP), 2)
     brand = lambda c, n: p.select(F.col("p_partkey").alias(c), F.col("p_brand").alias(n))
     return pairs.join(brand("a", "ba"), "a").join(brand("b", "bb"), "b").where("ba <> bb").select("a", "b", "shared")
 
@@ -48,9 +49,11 @@ def edit_loops(s, d):
 
 
 def topic_loops(s, d):
-    words = F.slice(F.filter(tx.tokens(F.col("text")), lambda w: F.length(w) >= 3), 1, 1)
+    """The ten commonest topics of what users say, then those that come three times: the order matters. A topic: the first three words of five letters or more."""
+    long = lambda w: w.rlike(r"^\p{L}{5,}$") & ~w.isin(*fixed.TOPIC_STOP)
+    words = F.slice(F.filter(tx.tokens(F.col("text")), long), 1, 3)
     sig = F.array_join(F.array_sort(words), " ")
-    n = table(s, d, "conversations").where("role = 'user'").groupBy(sig.alias("topic")).agg(F.count(F.lit(1)).alias("n"))
+    n = table(s, d, "conversations").where("role = 'user'").where(F.size(words) > 0).groupBy(sig.alias("topic")).agg(F.count(F.lit(1)).alias("n"))
     return n.orderBy(F.desc("n"), "topic").limit(10).where("n >= 3")
 
 
@@ -198,11 +201,11 @@ ORACLE_SQL = {
 WHERE ts <= '1996-06-30' AND (valid_to = 'none' OR valid_to >= '1996-06-30')""",
     "since_filter": f"SELECT event_id, user_id, event_type FROM events WHERE {_DAY} >= '2024-01-20'",
     "task_status_fold": "SELECT o_orderstatus, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'done' ELSE 'open' END AS state, count(*) AS n FROM orders GROUP BY 1, 2",
-    "task_conflicts": """WITH w AS (SELECT p_partkey AS id, p_brand AS br, unnest(list_filter(list_distinct(string_split(lower(p_name), ' ')), lambda x: x NOT IN ('', 'the','a','an','and','or','of','to','in','for','fix','add'))) AS w FROM part WHERE p_size < 5)
+    "task_conflicts": """WITH w AS (SELECT p_partkey AS id, p_brand AS br, unnest(list_filter(list_distinct(string_split(lower(p_name), ' ')), lambda x: x <> '' AND x NOT IN """ + _in(fixed.TASK_STOP) + """)) AS w FROM part WHERE p_size < 5)
 SELECT x.id AS a, y.id AS b, count(*) AS shared FROM w x JOIN w y ON x.w = y.w AND x.id < y.id WHERE x.br <> y.br GROUP BY 1, 2 HAVING count(*) >= 2""",
     "edit_loops": f"SELECT user_id, event_type, {_DAY} AS day, count(*) AS n FROM events GROUP BY 1, 2, 3 HAVING count(*) >= 3",
-    "topic_loops": r"""SELECT * FROM (SELECT array_to_string(list_sort(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: length(x) >= 3)[1:1]), ' ') AS topic, count(*) AS n
-FROM conversations WHERE role = 'user' GROUP BY 1 ORDER BY n DESC, topic LIMIT 10) WHERE n >= 3""",
+    "topic_loops": r"""WITH t AS (SELECT list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '\p{L}{5,}') AND x NOT IN """ + _in(fixed.TOPIC_STOP) + """)[1:3] AS w FROM conversations WHERE role = 'user')
+SELECT * FROM (SELECT array_to_string(list_sort(w), ' ') AS topic, count(*) AS n FROM t WHERE len(w) > 0 GROUP BY 1 ORDER BY n DESC, topic LIMIT 10) WHERE n >= 3""",
     "cooldown_60s": _cool_sql(60), "cooldown_1h": _cool_sql(3600), "cooldown_6h": _cool_sql(6 * 3600), "stream_cooldown": _cool_sql(6 * 3600),
     "spawn_gate": _cool_sql(900, "user_id", "event_type = 'purchase' AND hour(ts) >= 18"),
     "session_blocks": """WITH e AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER w) > 21600 THEN 1 WHEN lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from mnemora.functions import text as tx
+from mnemora.functions import replies, text as tx
 from mnemora.operators import graph, retrieval as rt
 from mnemora.sources import tables
 
@@ -34,11 +34,47 @@ def test_redaction_keeps_prose_and_digests(spark):
     assert "0f0f" not in got[2] and "abcdefgh" not in got[3]
 
 
+def _column(spark, values, *made):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string").orderBy("i")
+    return [tuple(r) for r in rows.select(*made).collect()]
+
+
 def test_feedback(spark):
-    rows = [("No, that is wrong and you must always check",), ("ok",), ("short",), (None,), ("I prefer tabs here",)]
-    family, confidence = tx.feedback_family(F.col("t"))
-    got = [tuple(r) for r in spark.createDataFrame(rows, "t string").select(family, confidence).collect()]
-    assert got == [("correction", 0.9), (None, None), (None, None), (None, None), ("preference", 0.7)]
+    rows = ["No, that is wrong and you must always check", "ok", "short", None, "I prefer tabs here", "Sounds good", "the snow is knotty today", "énot fair on anyone", "Keep in mind the clock"]
+    assert _column(spark, rows, *tx.feedback_family(F.col("t"))) == [
+        ("correction", 0.9), (None, None), (None, None), (None, None), ("preference", 0.7), (None, None), (None, None), (None, None), ("instruction", 0.7)
+    ]
+
+
+def test_noise_and_wrong_code_pages(spark):
+    rows = ["", "  ", "- Trigger: other", "</Summary>", "text - Trigger: x", "(no summary here)", "plain"]
+    assert [r[0] for r in _column(spark, rows, tx.is_noise(F.col("t")))] == [True, True, True, True, False, True, False]
+    assert [r[0] for r in _column(spark, ["", "plain", "ÐÑ broken", "Ð" + "a" * 40], tx.is_mojibake(F.col("t")))] == [False, False, True, False]
+
+
+def test_types_authority_and_validity(spark):
+    assert _column(spark, ["fact", "rule", "other", None], tx.known_type(F.col("t"))) == [("concept",), ("rule",), (None,), (None,)]
+    assert _column(spark, ["User", "web", "else", None], tx.authority_weight(F.col("t"))) == [(1.35,), (0.9,), (1.0,), (1.0,)]
+    ends = [None, "", "~", "'none'", "2024-01-02", "2024-01-01T10:00", "2023-12-31"]
+    assert [r[0] for r in _column(spark, ends, tx.open_at(F.col("t"), F.lit("2024-01-01")))] == [True] * 6 + [False]
+
+
+def test_reply_tiers(spark):
+    rows = ["FLUSH_MAJOR\n\n- body", "`flush_minor`.\nx", "FLUSH_OK.", "``FLUSH_OK``", "done\nFLUSH_OK\nmore", "(summary failed: x)", '{"operations": []}', " free text ", "", None, "no_durable_content."]
+    got = [tuple(r[0]) for r in _column(spark, rows, replies.tier(F.col("t")))]
+    assert got == [("major", "- body"), ("minor", "x"), ("ok", ""), ("ok", ""), ("ok", ""), ("ok", ""), ("ok", ""), ("minor", "free text"), ("ok", ""), ("ok", ""), ("ok", "")]
+
+
+def test_audit_lines(spark):
+    line = "COMPILE_AUDIT: verified 7 evidence citations; 12 dedup checks performed; 2 stubs skipped; 1 contradictions handled; 0 pages rejected"
+    got = [tuple(r[0]) for r in _column(spark, [line, "COMPILE_AUDIT: verified 9 evidence\n" + line, "x\n COMPILE_AUDIT: 3 dedup checks", "none", None], replies.audit(F.col("t")))]
+    assert got == [(7, 12, 2, 1, 0), (7, 12, 2, 1, 0), (None, 3, None, None, None), (None,) * 5, (None,) * 5]
+
+
+def test_json_blocks_and_breadcrumbs(spark):
+    assert _column(spark, ['```json\n{"a": {"b": 1}}\n```', "none", None], replies.json_block(F.col("t"))) == [('{"a": {"b": 1}}',), (None,), (None,)]
+    log = "# Day\n- `[09:00:00] tool | abcdefghij | slug | Edit` src/a.py\n- `[09:01:00] prompt | s | slug` hello\n- `[09:02:00] tool | s2 | slug | Bash`\n"
+    assert [tuple(r) for r in _column(spark, [log], replies.breadcrumbs(F.col("t")))[0][0]] == [("09:00:00", "abcdefgh", "slug", "edit", "src/a.py"), ("09:02:00", "s2", "slug", "bash", "(unknown)")]
 
 
 def test_backlinks_and_boost(spark):
