@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemora.functions import fixed, text as tx
+from mnemora.functions import fixed, replies, text as tx
 from mnemora.operators import activity as ac
 from mnemora.plans.corpus import _in
 from mnemora.sources.tables import table
@@ -165,6 +165,42 @@ def mark_superseded(s, d):
     return table(s, d, "documents").join(newer, "text").where("doc_id < top").select("doc_id", F.col("top").alias("superseded_by"))
 
 
+def newest_entries(s, d):
+    """A bounded map of keys: the fifty newest users by their last event."""
+    last = ac.latest(_events(s, d), ["user_id"], ["ts", "event_id"], [])
+    return last.orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("user_id", "event_id")
+
+
+def first_per_type(s, d):
+    """At most five parts of each brand, by key."""
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    return table(s, d, "part").withColumn("place", F.row_number().over(w)).where("place <= 5").select("p_brand", "p_partkey", "place")
+
+
+def manifest_diff(s, d):
+    """Keys that only the customers or only the orders' customers have: a rebuild is due if there is any."""
+    have, listed = table(s, d, "customer").select(F.col("c_custkey").alias("key")), table(s, d, "orders").select(F.col("o_custkey").alias("key")).distinct()
+    gone = have.exceptAll(listed).withColumn("side", F.lit("unlisted"))
+    return gone.unionByName(listed.exceptAll(have).withColumn("side", F.lit("missing")))
+
+
+def active_agents(s, d):
+    """Users of each day, counted once."""
+    return _events(s, d).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.countDistinct("user_id").alias("n_users"))
+
+
+def audit_totals(s, d):
+    """Sums of line items by how they ended, in one pass."""
+    flag = lambda f: F.count_if(F.col("l_returnflag") == f)
+    return table(s, d, "lineitem").agg(flag("A").alias("verified"), flag("R").alias("failed"), flag("N").alias("pending"), F.count(F.lit(1)).alias("total"))
+
+
+def reply_tiers(s, d):
+    """Replies by tier; text without a token is minor, empty text ok."""
+    kind = replies.tier(F.col("text"))["tier"]
+    return table(s, d, "conversations").where("role = 'assistant'").groupBy(kind.alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def stream_cooldown(s, d):
     return capture.run_once(capture.cooldown_stream(capture.event_stream(s, d), 6 * 3600)).select("user_id", "event_type", "event_id")
 
@@ -230,6 +266,14 @@ UNION ALL SELECT strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S'), 'order', o_orderkey
     "page_upsert": """WITH n AS (SELECT doc_id + CASE WHEN doc_id % 10 = 0 THEN 1000000 ELSE 0 END AS doc_id, n_chars + 1 AS new FROM documents WHERE doc_id % 5 = 0)
 SELECT coalesce(b.doc_id, n.doc_id) AS doc_id, coalesce(new, n_chars) AS n_chars, CASE WHEN b.doc_id IS NULL THEN 'created' WHEN n.doc_id IS NULL THEN 'kept' ELSE 'updated' END AS action FROM documents b FULL JOIN n ON b.doc_id = n.doc_id""",
     "mark_superseded": "SELECT * FROM (SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS superseded_by FROM documents) WHERE doc_id < superseded_by",
+    "newest_entries": f"SELECT user_id, event_id FROM (SELECT *, ts FROM ({_LATEST.format('ts, ')}) ORDER BY ts DESC, event_id DESC LIMIT 50)",
+    "first_per_type": "SELECT * FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS place FROM part) WHERE place <= 5",
+    "manifest_diff": """SELECT c_custkey AS key, 'unlisted' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+UNION ALL SELECT DISTINCT o_custkey, 'missing' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""",
+    "active_agents": f"SELECT {_DAY} AS day, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1",
+    "audit_totals": "SELECT count(*) FILTER (l_returnflag = 'A') AS verified, count(*) FILTER (l_returnflag = 'R') AS failed, count(*) FILTER (l_returnflag = 'N') AS pending, count(*) AS total FROM lineitem",
+    "reply_tiers": """SELECT CASE WHEN t = '' OR starts_with(t, '(summary failed') OR starts_with(t, '{"operations"') OR starts_with(t, '{"audit"') THEN 'ok' ELSE 'minor' END AS tier, count(*) AS n
+FROM (SELECT trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM conversations WHERE role = 'assistant') GROUP BY 1""",
     "stream_day_bucket": f"SELECT {_DAY} AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_heartbeat": f"SELECT user_id, event_id, event_type FROM ({_LATEST.format('')})",
 }

@@ -140,6 +140,15 @@ def eval_recall_mrr(spark: SparkSession, sf: str) -> DataFrame:
     return rt.recall_mrr(rt.first_gold_rank(known_item(spark, sf), _gold(spark, sf)))
 
 
+def eval_by_query_type(spark: SparkSession, sf: str) -> DataFrame:
+    """Per type of query (long and short passages): how many, how often the gold document is found, its mean rank when found."""
+    kind = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.when(F.length("text") >= 200, "long").otherwise("short").alias("query_type"))
+    ranks = rt.first_gold_rank(known_item(spark, sf), _gold(spark, sf)).join(kind, "qid")
+    return ranks.groupBy("query_type").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("rank").isNotNull().cast("double")), 4).alias("found_rate"), F.round(F.avg("rank"), 4).alias("mean_rank")
+    )
+
+
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("event_type").agg(
         F.round(F.percentile("value", 0.5), 4).alias("p50"), F.round(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)"), 4).alias("p95"), F.round(F.avg("value"), 4).alias("mean")
@@ -164,7 +173,7 @@ QUERIES = {
     "vector_topk": vector_topk, "rrf_fusion_triple": rrf_fusion, "link_edges": link_edges,
     "link_degree": lambda s, d: graph.degrees(link_edges(s, d)), "graph_stats": lambda s, d: graph.graph_stats(link_edges(s, d)),
     "in_neighbors": in_neighbors, "graph_boost": graph_boost, "evidence_verify": evidence, "evidence_gate": evidence_gate,
-    "eval_recall_mrr": eval_recall_mrr, "latency_percentiles": latency_percentiles, "postings_stats": postings_stats, "known_item_queries": known_item_queries,
+    "eval_recall_mrr": eval_recall_mrr, "eval_by_query_type": eval_by_query_type, "latency_percentiles": latency_percentiles, "postings_stats": postings_stats, "known_item_queries": known_item_queries,
 }
 
 _TITLE = "trim(CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(text, chr(10)) - 1) ELSE text END)"
@@ -193,6 +202,9 @@ WHERE src IN (SELECT regexp_extract(url, '^https?://[^/]+(/.*)?$', 1) FROM pages
     "evidence_gate": f"WITH {_EVIDENCE} SELECT item_id AS qid, count(doc_id) AS n_verified, count(doc_id) > 0 AS passes FROM benchmark LEFT JOIN ev ON qid = item_id GROUP BY item_id",
     "eval_recall_mrr": f"""WITH {_bm25_sql(4)}, {_EVIDENCE}, r AS (SELECT ev.qid, min(rank) AS rank FROM ev LEFT JOIN rk ON rk.qid = ev.qid AND rk.doc_id = ev.doc_id AND rank <= 10 GROUP BY ev.qid)
 SELECT count(*) AS n_queries, {', '.join(f'round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END::DOUBLE), 4) AS recall_at_{k}' for k in (1, 3, 5, 10))}, round(avg(coalesce(1.0::DOUBLE / rank, 0.0)), 4) AS mrr FROM r""",
+    "eval_by_query_type": f"""WITH {_bm25_sql(4)}, {_EVIDENCE}, r AS (SELECT ev.qid, min(rank) AS rank FROM ev LEFT JOIN rk ON rk.qid = ev.qid AND rk.doc_id = ev.doc_id AND rank <= 10 GROUP BY ev.qid)
+SELECT CASE WHEN length(text) >= 200 THEN 'long' ELSE 'short' END AS query_type, count(*) AS n, round(avg(CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE), 4) AS found_rate, round(avg(rank), 4) AS mean_rank
+FROM r JOIN benchmark ON item_id = qid GROUP BY 1""",
     "latency_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_disc(value, 0.95), 4) AS p95, round(avg(value), 4) AS mean FROM events GROUP BY event_type",
     "postings_stats": f"""SELECT term, count(*) AS df, sum(tf)::BIGINT AS n FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK.format('text')}) AS term FROM documents) GROUP BY 1, 2) GROUP BY term""",
     "known_item_queries": f"""WITH d AS (SELECT doc_id, lower({_TITLE}) AS t FROM documents), w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[^a-z]+'), lambda x: length(x) >= 4)[1:4] AS w FROM d WHERE t <> '')
