@@ -12,11 +12,18 @@ def fold_tasks(tasks: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return tasks.join(keys, key, "left").withColumn("state", F.when(F.col("is_done"), "done").otherwise("open")).drop("is_done")
 
 
-def overlap_pairs(items: DataFrame, key: str, words: Column, least: int = 2) -> DataFrame:
-    """(a, b, shared) for a < b that share at least ``least`` words: an equi-join on words, pairs counted before the shuffle."""
-    w = items.select(F.col(key).alias("id"), F.explode(words).alias("word"))
-    pairs = w.alias("x").join(w.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.id") < F.col("y.id")))
-    return pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+def overlap_pairs(items: DataFrame, key: str, words: Column) -> DataFrame:
+    """(a, b, shared) for a < b that share two words at least.
+
+    Items are joined on pairs of their words, so only pairs of the result are
+    ever made; n shared words make n(n-1)/2 equal word pairs.
+    """
+    ws = items.select(F.col(key).alias("id"), F.array_sort(words).alias("ws"))
+    two = F.transform("ws", lambda x, i: F.transform(F.slice("ws", i + 2, F.size("ws")), lambda y: F.struct(x.alias("v"), y.alias("w"))))
+    w = ws.where(F.size("ws") > 1).select("id", F.explode(F.flatten(two)).alias("two"))
+    pairs = w.alias("x").join(w.alias("y"), (F.col("x.two") == F.col("y.two")) & (F.col("x.id") < F.col("y.id")))
+    n = F.round((1 + F.sqrt(1 + 8 * F.count(F.lit(1)))) / 2).cast("long")
+    return pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(n.alias("shared"))
 
 
 def loops(events: DataFrame, keys: list[Column], threshold: int) -> DataFrame:

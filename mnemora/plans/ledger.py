@@ -37,9 +37,10 @@ def task_status_fold(s, d):
 
 
 def task_conflicts(s, d):
-    """Open tasks of different agents that share two words: parts of different brands, size under five open."""
-    p = table(s, d, "part").where("p_size < 5")
-    pairs = ac.overlap_pairs(p, "p_partkey", tx.title_words(F.col("p_name"), fixed.TASK_STOP), 2)
+    """Open tasks of different agents that share two words: parts of different brands that no returned first line item completes."""
+    done = table(s, d, "lineitem").where("l_returnflag = 'R' AND l_linenumber = 1").select(F.col("l_partkey").alias("p_partkey"))
+    p = ac.fold_tasks(table(s, d, "part"), done, "p_partkey").where("state = 'open'")
+    pairs = ac.overlap_pairs(p, "p_partkey", tx.title_words(F.col("p_name"), fixed.TASK_STOP))
     brand = lambda c, n: p.select(F.col("p_partkey").alias(c), F.col("p_brand").alias(n))
     return pairs.join(brand("a", "ba"), "a").join(brand("b", "bb"), "b").where("ba <> bb").select("a", "b", "shared")
 
@@ -237,7 +238,7 @@ ORACLE_SQL = {
 WHERE ts <= '1996-06-30' AND (valid_to = 'none' OR valid_to >= '1996-06-30')""",
     "since_filter": f"SELECT event_id, user_id, event_type FROM events WHERE {_DAY} >= '2024-01-20'",
     "task_status_fold": "SELECT o_orderstatus, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'done' ELSE 'open' END AS state, count(*) AS n FROM orders GROUP BY 1, 2",
-    "task_conflicts": """WITH w AS (SELECT p_partkey AS id, p_brand AS br, unnest(list_filter(list_distinct(string_split(lower(p_name), ' ')), lambda x: x <> '' AND x NOT IN """ + _in(fixed.TASK_STOP) + """)) AS w FROM part WHERE p_size < 5)
+    "task_conflicts": """WITH w AS (SELECT p_partkey AS id, p_brand AS br, unnest(list_filter(list_distinct(string_split(lower(p_name), ' ')), lambda x: x <> '' AND x NOT IN """ + _in(fixed.TASK_STOP) + """)) AS w FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1))
 SELECT x.id AS a, y.id AS b, count(*) AS shared FROM w x JOIN w y ON x.w = y.w AND x.id < y.id WHERE x.br <> y.br GROUP BY 1, 2 HAVING count(*) >= 2""",
     "edit_loops": f"SELECT user_id, event_type, {_DAY} AS day, count(*) AS n FROM events GROUP BY 1, 2, 3 HAVING count(*) >= 3",
     "topic_loops": r"""WITH t AS (SELECT list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '\p{L}{5,}') AND x NOT IN """ + _in(fixed.TOPIC_STOP) + """)[1:3] AS w FROM conversations WHERE role = 'user')

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from mnemora.functions import replies, text as tx
-from mnemora.operators import graph, retrieval as rt
+from mnemora.operators import activity, graph, retrieval as rt
 from mnemora.sources import tables
 
 PAGE = "---\ntype: concept\nproject: \"Alpha\"\nstatus: active\n---\n# Heading One\nOne-sentence summary: short words here.\n\nBody with [[other]] and [[x|alias]] and [[no#pe]].\n"
@@ -84,6 +84,12 @@ def test_backlinks_and_boost(spark):
     assert boost == {"b": 0.15, "c": 0.125}
 
 
+def test_overlap_needs_two_words(spark):
+    rows = [(1, "fix the red fox"), (2, "red fox runs"), (3, "red hat"), (4, "Runs red Fox home"), (5, ""), (6, None)]
+    got = activity.overlap_pairs(spark.createDataFrame(rows, "id int, t string"), "id", tx.title_words(F.col("t")))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 2, 2), (1, 4, 2), (2, 4, 3)]
+
+
 def test_fusion_prefers_the_heavier_list(spark):
     one = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "qid int, item string, rank int")
     two = spark.createDataFrame([(1, "y", 1), (1, "x", 2)], "qid int, item string, rank int")
