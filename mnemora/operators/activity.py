@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemora.functions import replies
+
 
 def fold_tasks(tasks: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Tasks with state done or open: a claim log folded with a completion log."""
@@ -73,3 +75,17 @@ def stale(rows: DataFrame, kind: Column, at: Column, days: dict[str, int | None]
     for name, n in days.items():
         limit = F.when(kind == name, F.lit(n).cast("int")).otherwise(limit)
     return rows.withColumn("limit_days", limit).where(F.datediff(F.lit(now).cast("date"), at.cast("date")) > F.col("limit_days"))
+
+
+def file_edit_loops(logs: DataFrame, first_day: str, threshold: int = 3, project: str | None = None) -> DataFrame:
+    """(target, edit_count, edits) of files that day logs (day, text) since ``first_day`` show edited ``threshold`` times or more.
+
+    Counts combine before the shuffle; ``edits`` lists day, time and session of
+    each edit, so a target's list is as long as its edits.
+    """
+    crumbs = logs.where(F.col("day") >= first_day).select("day", F.explode(replies.breadcrumbs(F.col("text"))).alias("c")).select("day", "c.*")
+    edits = crumbs.where(F.col("tool").rlike(r"^(edit|write|multi_?edit|notebook_?edit)$"))
+    if project is not None:
+        edits = edits.where(F.lower("slug") == project.lower())
+    found = edits.groupBy("target").agg(F.count(F.lit(1)).alias("edit_count"), F.array_sort(F.collect_list(F.struct("day", "at", "session"))).alias("edits"))
+    return found.where(F.col("edit_count") >= threshold)

@@ -100,3 +100,13 @@ def test_fusion_prefers_the_heavier_list(spark):
 def test_corrupt_json_lines_are_skipped(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text('{"id": "1", "task": "a"}\n\nnot json\n{"id": "2", "task": "b"}\n')
     assert sorted(r.id for r in tables.json_lines(spark, str(tmp_path), tables.TASK_SCHEMA).collect() if r.id) == ["1", "2"]
+
+
+def test_file_edit_loops(spark):
+    line = "- `[09:0{}:00] tool | session12345 | {} | {}` {}\n"
+    old, new = line.format(0, "p", "edit", "a.py"), line.format(1, "p", "Write", "a.py") + line.format(2, "P", "multiedit", "a.py") + line.format(3, "q", "edit", "a.py") + line.format(4, "p", "bash", "a.py") + line.format(5, "p", "edit", "b.py")
+    logs = spark.createDataFrame([("2024-01-01", old), ("2024-02-01", "# Day\n" + new), ("2024-02-02", None)], "day string, text string")
+    got = activity.file_edit_loops(logs, "2024-01-15").collect()
+    assert [(r.target, r.edit_count, r.edits[0].at, r.edits[0].session) for r in got] == [("a.py", 3, "09:01:00", "session1")]
+    assert activity.file_edit_loops(logs, "2024-01-15", project="p").collect() == []
+    assert activity.file_edit_loops(logs, "2024-01-01", project="p").count() == 1
