@@ -13,9 +13,8 @@ summed per partition before the shuffle, so its table is bounded by the
 alphabet while its counts cover every row. The classifier learns from at most
 ``training.MAX_TRAIN`` labelled rows of each label outside the held-out fold.
 
-Null and empty texts get the model's score of no words at all. Spans longer
-than ``LONGEST`` characters are no words and stay as they are. A table without
-both labels scores everything 0. Every row gives one row; repeated rows
+Null and empty texts get the model's score of no words at all. Spans of any
+length are decoded, in time linear in the span. A table without both labels scores everything 0. Every row gives one row; repeated rows
 repeat; extra columns are ignored.
 """
 
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from mnemora.llm.common import crc_fold, table
 from mnemora.llm.training import labelled_sample, with_text
 
-THRESHOLD, BITS, LONGEST, CACHE = 0.5, 18, 40, 500_000
+THRESHOLD, BITS, CACHE, CACHED_SPAN = 0.5, 18, 500_000, 80
 BUCKETS = 1 << BITS
 #: What a sign may stand for.
 LOOKALIKES = {
@@ -65,6 +64,7 @@ def _codes() -> np.ndarray:
 
 
 _LUT = _codes()
+_CODES = _LUT.tolist()
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,23 +155,30 @@ def lattice(span: str, gap: str | None) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(steps: list[list[tuple[str, float]]], log: np.ndarray) -> str:
-    """The path of least cost; states are the last two symbols."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def decode(steps: list[list[tuple[str, float]]], log: list[float]) -> str:
+    """The path of least cost; states are the last two symbols.
+
+    Paths are chains of (path before, reading), so a step costs the same however long the span is, and paths that no state ends are freed.
+    """
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in [*steps, [(" ", 0.0)]]:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in states.items():
-            for reading, charge in options:
+        spelt = [(reading, charge, [_CODES[s] for s in reading.encode("utf-8")]) for reading, charge in options]
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, path) in states.items():
+            for reading, charge, symbols in spelt:
                 x, y, c = a, b, cost + charge
-                for s in reading.encode("utf-8"):
-                    z = int(_LUT[s])
-                    c -= float(log[x, y, z])
+                for z in symbols:
+                    c -= log[(x * _SIZE + y) * _SIZE + z]
                     x, y = y, z
                 old = new.get((x, y))
-                if old is None or (c, text + reading) < old:
-                    new[x, y] = (c, text + reading)
+                if old is None or c < old[0]:
+                    new[x, y] = (c, (path, reading))
         states = new
-    return min(states.values())[1][:-1]
+    path, out = min(states.values(), key=lambda state: state[0])[1], []
+    while path is not None:
+        path, reading = path
+        out.append(reading)
+    return "".join(reversed(out))[:-1]
 
 
 class _Cache(dict):
@@ -191,20 +198,20 @@ class _Cache(dict):
 class Restorer:
     def __init__(self, log: np.ndarray) -> None:
         self.log, self.tokens = log, _Cache(self.read)
-        self.spans = _Cache(lambda key: decode(lattice(*key), self.log))
+        self.costs = log.ravel().tolist()
+        self.spans = _Cache(lambda key: decode(lattice(*key), self.costs))
 
     def span(self, span: str, gap: str | None) -> str:
-        return self.spans[span, gap]
+        return self.spans[span, gap] if len(span) <= CACHED_SPAN else decode(lattice(span, gap), self.costs)
 
     def _spaced(self, m: re.Match) -> str:
-        s = m[0]
-        return self.span(s, m["gap"]) if len(s) <= 2 * LONGEST and _WORD.search(s) else s
+        return self.span(m[0], m["gap"]) if _WORD.search(m[0]) else m[0]
 
     def _mixed(self, m: re.Match) -> str:
         core, head = m["core"], m[0][: m.start("core") - m.start()]
         bare = _TAIL.sub("", core) if len(_TAIL.search(core)[0]) > 1 or core[-1] in "!*#(|" else core
         letters = sum(map(len, _WORD.findall(bare)))
-        if bare.isalpha() or len(bare) > LONGEST or letters < 2 or 3 * letters < len(bare):
+        if bare.isalpha() or letters < 2 or 3 * letters < len(bare):
             return m[0]
         return head + self.span(bare, None) + core[len(bare) :]
 
@@ -215,7 +222,7 @@ class Restorer:
             got = (got,)
         else:
             got = _WORD.findall(_MIXED.sub(self._mixed, token) if _SIGN_IN.search(got) else got)
-        return tuple([self.span(w, None) if _RUN.search(w) and len(w) <= LONGEST else w for w in got])
+        return tuple([self.span(w, None) if _RUN.search(w) else w for w in got])
 
     def words(self, text: str | None) -> set[str]:
         """The distinct words of the restored text."""
