@@ -1,11 +1,12 @@
 """Toxicity by noisy-channel deobfuscation.
 
-Suspicious spans (letters mixed with look-alike digits and signs, letters
-repeated three times or more, single letters spaced out) are read as lattices:
-each sign offers the letters it may stand for, each run of a letter one or two
-of it, each gap of a spaced-out word a space or nothing. Viterbi decoding under
-a character language model picks the likeliest reading, the channel charging
-for every change. The restored text is scored by a sparse logistic model over
+Suspicious spans (tokens with look-alike digits and signs, with or without
+letters, letters repeated three times or more, single letters spaced out) are
+read as lattices: each sign offers the letters it may stand for or stays a sign,
+each run of a letter one or two of it, each gap of a spaced-out word a space or
+nothing. Viterbi decoding under a character language model picks the likeliest
+reading, the channel charging for every change and for every stretch of signs
+that stays. The restored text is scored by a sparse logistic model over
 hashed words and word beginnings.
 
 The language model is gathered from all documents: character trigram counts,
@@ -42,13 +43,17 @@ LOOKALIKES = {
 _SIGNS = re.escape("".join(LOOKALIKES))
 _LETTERS = r"[^\W\d_]"
 _WORD = re.compile(rf"{_LETTERS}+")
-#: Spaced-out letters, or a token with a sign next to a letter, or with a letter three times in a row.
+#: Spaced-out letters, a stretch of letters and signs, a letter three times in a row.
 _SPACED = re.compile(rf"(?<![^\W_])(?:(?:{_LETTERS}|[{_SIGNS}])(?P<gap>[ .\-_*~])(?:(?:{_LETTERS}|[{_SIGNS}])(?P=gap)){{2,}}(?:{_LETTERS}|[{_SIGNS}]))(?![^\W_])")
-_MIXED = re.compile(rf"(?<!\S)[^\w\s{_SIGNS}]*(?P<core>(?=[^\s]*(?:{_LETTERS}[{_SIGNS}]|[{_SIGNS}]{_LETTERS}))(?:{_LETTERS}|[{_SIGNS}])+)")
+_MIXED = re.compile(rf"(?:{_LETTERS}|[{_SIGNS}])+")
 _RUN = re.compile(r"(\w)\1\1")
-_EDGES, _SIGN_IN = ".,;:?\"'", re.compile(f"[{_SIGNS}]")
-_TAIL = re.compile(rf"[{_SIGNS}]*$")
+_SIGN_RUN = re.compile(rf"([{_SIGNS}])\1*")
+_PUNCTUATION = frozenset("!#(*|+")
 SUB_COST, DROP_COST, KEEP_COST, GAP_COST, PAIR_COST = 1.0, 0.5, 2.0, 1.5, 6.0
+#: Signs that stay: the first of a stretch, a further one, the first digit of a span without letters (a digit after
+#: another is free there), three or more alike at the span's edge, punctuation at the edge.
+HOLD_COST, HOLD_MORE, HOLD_NUMBER, HOLD_TAIL, HOLD_EDGE = 9.0, 4.0, 4.0, 3.0, 0.0
+HELD = "\0"
 
 _SIZE = 64
 _ALPHABET = " abcdefghijklmnopqrstuvwxyz"
@@ -126,53 +131,65 @@ def may_be_spaced(text: str) -> bool:
     return len(k) > 6 and bool((gap[1:-3] & gap[3:-1] & either[:-4] & either[2:-2] & either[4:]).any())
 
 
-def lattice(span: str, gap: str | None) -> list[list[tuple[str, float]]]:
-    """Per position the readings and what the channel charges."""
-    out: list[list[tuple[str, float]]] = []
+def lattice(span: str, gap: str | None) -> list[list[tuple[str, float, float]]]:
+    """Per position the readings and what the channel charges, the second charge where the sign before stayed a sign."""
     if gap is not None:
-        span, gaps = span[::2], True
-    else:
-        gaps = False
-    i = 0
+        span = span[::2]
+    out: list[list[tuple[str, float, float]]] = []
+    head, tail = len(span) - len(span.lstrip("".join(_PUNCTUATION))), len(span.rstrip("".join(_PUNCTUATION)))
+    number, i = not _WORD.search(span), 0
     while i < len(span):
         c, j = span[i], i
         while j < len(span) and span[j] == c:
             j += 1
         n, base = j - i, LOOKALIKES.get(c)
-        letters = [(x, SUB_COST) for x in base] if base else [(c, 0.0)]
-        if gaps or n == 1:
+        letters = [(x, SUB_COST, SUB_COST) for x in base] if base else [(c, 0.0, 0.0)]
+        held: list[tuple[str, float, float]] = []
+        if base and (i < head or i >= tail):
+            held = [(HELD, HOLD_EDGE, HOLD_EDGE)]
+        elif base and n > 2 and gap is None and (i == 0 or j == len(span)):
+            held = [(HELD, HOLD_TAIL, HOLD_TAIL)]
+        elif base and number and c.isdigit():
+            held = [(HELD, HOLD_NUMBER, 0.0 if i == 0 or span[i - 1].isdigit() else HOLD_MORE)]
+        elif base:
+            held = [(HELD, HOLD_COST, HOLD_MORE)]
+        if gap is not None or n == 1:
             for k in range(n):
-                out.append(list(letters))
-                if gaps and (j < len(span) or k < n - 1):
-                    out.append([("", 0.0), (" ", GAP_COST)])
+                out.append(letters + held)
+                if gap is not None and (j < len(span) or k < n - 1):
+                    out.append([("", 0.0, 0.0), (" ", GAP_COST, GAP_COST)])
         else:
             once = DROP_COST * (n - 1) + PAIR_COST * (n == 2)  # a pair is mostly meant
-            runs = [(x, cost + once) for x, cost in letters] + [(x * 2, cost + DROP_COST * (n - 2)) for x, cost in letters]
+            runs = [(x, cost + once, cost + once) for x, cost, _ in letters]
+            runs += [(x * 2, cost + DROP_COST * (n - 2), cost + DROP_COST * (n - 2)) for x, cost, _ in letters]
             if base is None and n > 2:
-                runs.append((c * n, KEEP_COST))
-            out.append(runs)
+                runs.append((c * n, KEEP_COST, KEEP_COST))
+            out.append(runs + held)
         i = j
     return out
 
 
-def decode(steps: list[list[tuple[str, float]]], log: list[float]) -> str:
-    """The path of least cost; states are the last two symbols.
+def decode(steps: list[list[tuple[str, float, float]]], log: list[float]) -> str:
+    """The path of least cost; states are the last two symbols and whether a sign that stayed is the last reading.
 
-    Paths are chains of (path before, reading), so a step costs the same however long the span is, and paths that no state ends are freed.
+    A border after a border is no new one. Paths are chains of (path before, reading), so a step costs the same
+    however long the span is, and paths that no state ends are freed.
     """
-    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    for options in [*steps, [(" ", 0.0)]]:
-        spelt = [(reading, charge, [_CODES[s] for s in reading.encode("utf-8")]) for reading, charge in options]
-        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        for (a, b), (cost, path) in states.items():
-            for reading, charge, symbols in spelt:
-                x, y, c = a, b, cost + charge
+    states: dict[tuple[int, int, bool], tuple[float, tuple | None]] = {(0, 0, False): (0.0, None)}
+    for options in [*steps, [(" ", 0.0, 0.0)]]:
+        spelt = [(*option, [_CODES[s] for s in option[0].encode("utf-8")]) for option in options]
+        new: dict[tuple[int, int, bool], tuple[float, tuple | None]] = {}
+        for (a, b, stayed), (cost, path) in states.items():
+            for reading, first, later, symbols in spelt:
+                x, y, c = a, b, cost + (later if stayed else first)
                 for z in symbols:
-                    c -= log[(x * _SIZE + y) * _SIZE + z]
-                    x, y = y, z
-                old = new.get((x, y))
+                    if y or z:
+                        c -= log[(x * _SIZE + y) * _SIZE + z]
+                        x, y = y, z
+                at = x, y, (reading == HELD if reading else stayed)
+                old = new.get(at)
                 if old is None or c < old[0]:
-                    new[x, y] = (c, (path, reading))
+                    new[at] = (c, (path, reading))
         states = new
     path, out = min(states.values(), key=lambda state: state[0])[1], []
     while path is not None:
@@ -205,24 +222,17 @@ class Restorer:
         return self.spans[span, gap] if len(span) <= CACHED_SPAN else decode(lattice(span, gap), self.costs)
 
     def _spaced(self, m: re.Match) -> str:
-        return self.span(m[0], m["gap"]) if _WORD.search(m[0]) else m[0]
+        return self.span(m[0], m["gap"]).replace(HELD, " ")
 
     def _mixed(self, m: re.Match) -> str:
-        core, head = m["core"], m[0][: m.start("core") - m.start()]
-        bare = _TAIL.sub("", core) if len(_TAIL.search(core)[0]) > 1 or core[-1] in "!*#(|" else core
-        letters = sum(map(len, _WORD.findall(bare)))
-        if bare.isalpha() or letters < 2 or 3 * letters < len(bare):
-            return m[0]
-        return head + self.span(bare, None) + core[len(bare) :]
+        held = sum(1 for _ in _SIGN_RUN.finditer(m[0]))
+        got = self.span(m[0], None) if held else m[0]
+        return m[0] if got.count(HELD) == held else got  # no sign is read as a letter: kept as it is
 
     def read(self, token: str) -> tuple[str, ...]:
         """The restored words of a token without white space."""
-        got = token.strip(_EDGES)
-        if got.isalpha():
-            got = (got,)
-        else:
-            got = _WORD.findall(_MIXED.sub(self._mixed, token) if _SIGN_IN.search(got) else got)
-        return tuple([self.span(w, None) if _RUN.search(w) else w for w in got])
+        got = token if token.isalpha() else _MIXED.sub(self._mixed, token)
+        return tuple([self.span(w, None) if _RUN.search(w) else w for w in _WORD.findall(got)])
 
     def words(self, text: str | None) -> set[str]:
         """The distinct words of the restored text."""

@@ -25,3 +25,11 @@ def test_long_spans_are_decoded():
     for n in (1, 200):
         r.words(" ".join("stupid" * 50 * n))
     assert time.monotonic() - began < 30  # linear: 60000 letters
+
+
+def test_heavily_substituted_tokens_are_decoded():
+    r = _restorer(" you ass hole the asshole will kill and piss on this shit i hate a worthless loser bitch ")
+    said = {"a$$": "ass", "ki11": "kill", "pi$$": "piss", "w0r7h1355": "worthless", "$h17": "shit", "h473": "hate", "4$$h0l3": "asshole", "@$$h0l3": "asshole", "10$3r": "loser", "@$$#0|3": "asshole"}
+    assert {t: r.words(t) for t in said} == {t: {w} for t, w in said.items()}
+    assert r.words("2019 $100 100 loser!! kill! (see ***you***") == {"loser", "kill", "see", "you"}
+    assert r.words("will,10$3r") == {"will", "loser"}
