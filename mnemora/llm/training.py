@@ -14,13 +14,17 @@ from mnemora.llm.common import crc_fold
 MAX_TRAIN = 4000
 
 
-def labelled_sample(labels: DataFrame, label: str, per_class: int = MAX_TRAIN) -> DataFrame:
-    """(doc_id, y) of rows outside the held-out fold: one row a doc_id (the smaller label of two), up to ``per_class`` of each label."""
-    rows = (
+def labelled_rows(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) of all rows outside the held-out fold: one row a doc_id (the smaller label of two)."""
+    return (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (crc_fold(F.col("doc_id")) != 0))
         .groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
-        .withColumn("h", F.xxhash64("doc_id"))
     )
+
+
+def labelled_sample(labels: DataFrame, label: str, per_class: int = MAX_TRAIN) -> DataFrame:
+    """Up to ``per_class`` of ``labelled_rows`` of each label."""
+    rows = labelled_rows(labels, label).withColumn("h", F.xxhash64("doc_id"))
     parts = [rows.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
     return parts[0].unionByName(parts[1]).select("doc_id", "y")
 

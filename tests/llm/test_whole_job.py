@@ -1,10 +1,12 @@
 """Places where an operator once did less than the whole job."""
 
+import functools
+import random
 import time
 
 import numpy as np
 
-from mnemora.llm import toxicity
+from mnemora.llm import quality, toxicity
 
 
 def _restorer(text):
@@ -33,3 +35,16 @@ def test_heavily_substituted_tokens_are_decoded():
     assert {t: r.words(t) for t in said} == {t: {w} for t, w in said.items()}
     assert r.words("2019 $100 100 loser!! kill! (see ***you***") == {"loser", "kill", "see", "you"}
     assert r.words("will,10$3r") == {"will", "loser"}
+
+
+def test_quality_cut_does_not_depend_on_the_cap(spark, monkeypatch):
+    """One text in seven is bad and scores overlap: the share under the cut stays, whatever the sample."""
+    rnd = random.Random(5)
+    rows = [(i, int(i % 7 != 0)) for i in range(2100)]
+    texts = [(i, " ".join(rnd.choice(["word", "text"] if rnd.random() < (0.6 if y else 0.5) else ["!!!", "***"]) for _ in range(40))) for i, y in rows]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").cache()
+    labels = spark.createDataFrame(rows, "doc_id long, quality int")
+    monkeypatch.setattr(quality, "labelled_sample", functools.partial(quality.labelled_sample, per_class=150))
+    ranker = quality.fit(docs, labels)
+    low = sum(ranker.score(t) < quality.THRESHOLD for _, t in texts) / len(texts)
+    assert abs(low - 1 / 7) < 0.06, low
