@@ -16,7 +16,7 @@ source of its own and comes last. Targets: weights ``WEIGHTS`` by rank of the
 source, repeating, share ``SHARE`` of all words; no target exceeds ``CAP`` times
 its source, the excess is shared again by weight. Sources without words take
 nothing. A null doc_id counts as the empty text. Rows that agree in doc_id,
-source and size are interchangeable. Empty tables give no rows; extra columns
+source and size are interchangeable: which of them are taken may differ. Empty tables give no rows; extra columns
 are ignored.
 """
 
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from mnemora.llm.common import materialise, table
 
 WEIGHTS, SHARE, CAP, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, "mix-1"
+ROW = "mix row"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -68,11 +69,12 @@ def _targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap:
 
 
 def plan_copies(
-    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED,
+    carried: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, sk, size, source_size, target, copies."""
+    """One row per document: doc_id, sk, size, source_size, target, copies, and the columns ``carried``, which order rows that agree otherwise."""
     rows = materialise(docs.select(
-        "doc_id", source_key(F.col("source")).alias("sk"), size_of(F.col("text")).alias("size"), _hash(seed, F.col("doc_id")).alias("h")
+        "doc_id", *carried, source_key(F.col("source")).alias("sk"), size_of(F.col("text")).alias("size"), _hash(seed, F.col("doc_id")).alias("h")
     ).withColumn("b", F.substring("h", 1, 3)))
     parts = rows.groupBy("sk", "size", "b").agg(F.count(F.lit(1)).alias("n"))
     sizes = parts.groupBy("sk", "size").agg(F.sum("n").alias("n"))
@@ -80,25 +82,22 @@ def plan_copies(
     upto_size = sizes.select("sk", "size", before(Window.partitionBy("sk").orderBy("size")).alias("n_size"))
     upto_part = parts.select("sk", "size", "b", before(Window.partitionBy("sk", "size").orderBy("b")).alias("n_part"))
     targets = _targets(sizes.groupBy("sk").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, cap, seed)
-    ranked = rows.withColumn("row", F.row_number().over(Window.partitionBy("sk", "size", "b").orderBy("h", "doc_id")))
+    ranked = rows.withColumn("row", F.row_number().over(Window.partitionBy("sk", "size", "b").orderBy("h", "doc_id", *carried)))
     ranked = ranked.join(upto_part, ["sk", "size", "b"]).join(upto_size.join(targets, "sk"), ["sk", "size"])
     rank = F.col("n_size") + F.col("n_part") + F.col("row")
     upto = lambda r: F.floor(F.col("rate") * r + F.col("offset"))
-    return ranked.select("doc_id", "sk", "size", "source_size", "target", (upto(rank) - upto(rank - 1)).alias("copies"))
+    return ranked.select("doc_id", *carried, "sk", "size", "source_size", "target", (upto(rank) - upto(rank - 1)).alias("copies"))
 
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, all their columns and ``copy`` (1, 2, ...).
 
-    Documents that agree in doc_id, source and size share their copies evenly, the remainder left out.
+    Each row has its own copies, rows that agree in doc_id, source and size too. Rows are told apart by a number that is written
+    with them, so that reading them again can't number them anew.
     """
-    plan = plan_copies(docs, **parameters).groupBy("doc_id", "sk", "size").agg(
-        F.floor(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("copy count")
-    ).where(F.col("copy count") > 0).select(F.col("doc_id").alias("plan id"), F.col("sk").alias("plan source"), F.col("size").alias("plan size"), "copy count")
-    same = (
-        F.col("plan id").eqNullSafe(docs["doc_id"]) & (F.col("plan source") == source_key(docs["source"])) & (F.col("plan size") == size_of(docs["text"]))
-    )
-    return docs.join(plan, same).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copy count"))).alias("copy"))
+    rows = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    plan = plan_copies(rows, carried=(ROW,), **parameters).where(F.col("copies") > 0).select(ROW, F.col("copies").cast("int").alias("copy count"))
+    return rows.join(plan, ROW).select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copy count"))).alias("copy"))
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import time
 
 import numpy as np
 
-from mnemora.llm import quality, toxicity
+from mnemora.llm import mixing, quality, toxicity
 
 
 def _restorer(text):
@@ -48,3 +48,20 @@ def test_quality_cut_does_not_depend_on_the_cap(spark, monkeypatch):
     ranker = quality.fit(docs, labels)
     low = sum(ranker.score(t) < quality.THRESHOLD for _, t in texts) / len(texts)
     assert abs(low - 1 / 7) < 0.06, low
+
+
+def test_mix_gives_equal_rows_their_copies(spark):
+    """Repeated rows, rows without an id, and rows of their own: the copies planned are the rows given."""
+    rows = [(7, "a b c", "big")] * 500 + [(None, f"t{i} x", "big") for i in range(300)] + [(1000 + i, "y z", "big") for i in range(40)]
+    rows += [(5000 + i, "w", "small") for i in range(90)] + [(None, "w", "small")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weights in ((1.0, 50.0), (5.0, 2.0)):
+        planned, given = {}, {}
+        for r in mixing.plan_copies(docs, weights=weights).collect():
+            planned[r.doc_id, r.sk, r.size] = planned.get((r.doc_id, r.sk, r.size), 0) + r.copies
+        made = mixing.mix(docs, weights=weights)
+        assert made.columns == ["doc_id", "text", "source", "copy"]
+        for r in made.collect():
+            key = r.doc_id, "0" + r.source, len(r.text.split())
+            given[key] = given.get(key, 0) + 1
+        assert given == {k: n for k, n in planned.items() if n}
