@@ -1,21 +1,29 @@
 """Benchmark decontamination by winnowing (DataFrame functions only).
 
-Of every window of ``WINDOW`` consecutive words the minimum of its k-gram
-hashes is kept as the window's fingerprint (the rightmost of equal minima), for
-test items and for documents alike. Equal windows have equal fingerprints at
-equal offsets, so the join of the fingerprints meets every shared window; a hit
-extends to its whole window, is compared word by word, and windows that overlap
-unite. Items of fewer words than ``WINDOW`` are one window of their own length.
+Of every ``WINDOW - K + 1`` consecutive ``K``-gram hashes the minimum is kept
+(the rightmost of equal minima), for test items and for documents alike; a
+position that several windows choose is kept once, so about two positions in
+``WINDOW - K + 2`` stay. Equal windows of ``WINDOW`` words keep the same hash at
+the same place, so every shared window shares a fingerprint. Fingerprints of
+documents and items are joined on the hash alone; each hit is then extended
+word by word to the left and to the right, and counts if it reaches ``WINDOW``
+words. Extended hits that overlap unite. Items of fewer words than ``WINDOW``
+are one window of their own length and are met by the hash of that many words,
+in the same pass.
+
+A fingerprint is 34 bits of hash beside the 30 bits of its position, so a
+minimum carries its place; words decide, hashes only propose.
 
 The items' fingerprints are counted; up to ``BROADCAST_ROWS`` they are
-broadcast and documents stream past them without a shuffle. Beyond, both sides
-are joined by shuffle on the fingerprint, and hits fetch their words again.
+broadcast (with ``2 * WINDOW - K`` words of context each) and documents stream
+past them without a shuffle. Beyond, both sides are joined by shuffle on the
+fingerprint, documents that have one fetch their words again.
 
 Words: A-Z lowered, maximal runs of a-z, 0-9 and everything beyond ASCII. Null
 and empty texts have no words and no hits; items without words never occur; an
 item without an id marks words but is not named. Repeated items count once,
-repeated documents each get their row. Empty tables: no rows, or no hits.
-Extra columns are ignored, also those named like this module's own.
+repeated documents each get their row, null ids too. Empty tables: no rows, or
+no hits. Extra columns are ignored, also those named like this module's own.
 """
 
 from __future__ import annotations
@@ -25,7 +33,10 @@ from pyspark.sql import functions as F
 
 from mnemora.llm.common import lower_ascii, table
 
-WINDOW, K = 13, 10
+WINDOW, K = 13, 8
+#: The words to the left and to the right of a fingerprint's start that a window through it may have.
+LEFT, RIGHT = WINDOW - K, WINDOW
+POSITION = (1 << 30) - 1
 BROADCAST_ROWS = 200_000
 
 
@@ -39,56 +50,83 @@ _BREAK_ANY_CASE = _any_of(*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61),
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), _BREAK), lambda w: w != "")
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), _BREAK), "")
 
 
 def _count(text: Column) -> Column:
     pieces = F.split(F.coalesce(text, F.lit("")), _BREAK_ANY_CASE)
-    return F.size(F.filter(pieces, lambda w: w != "")).cast("long")
+    return F.size(F.array_remove(pieces, "")).cast("long")
 
 
-def fingerprints(rows: DataFrame, n: int, k: int) -> DataFrame:
-    """For every window of ``n`` words: its start ``s``, the kept hash ``fp`` and its offset ``j`` in the window."""
-    keys = [c for c in rows.columns if c != "words"]
-    hashed = rows.where(F.size("words") >= n).select(*keys, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("wh"))
-    at = hashed.select(*keys, "words", "wh", F.explode(F.sequence(F.lit(0), F.size("wh") - n)).alias("s"))
-    grams = [F.xxhash64(*[F.get("wh", F.col("s") + j + i) for i in range(k)]).alias(f"h{j}") for j in range(n - k + 1)]
-    at = at.select(*keys, "words", "s", *grams)
-    fp = F.least(*[F.col(f"h{j}") for j in range(n - k + 1)]) if n > k else F.col("h0")
-    at = at.select(*keys, "words", "s", *[f"h{j}" for j in range(n - k + 1)], fp.alias("fp"))
-    offset = F.lit(0)
-    for j in range(1, n - k + 1):
-        offset = F.when(F.col(f"h{j}") == F.col("fp"), j).otherwise(offset)
-    return at.select(*keys, "words", "s", "fp", offset.alias("j"))
+def _run(name: str, x: Column, i: Column, n: int) -> list[Column]:
+    """``x``, the i-th of a list, and the n - 1 values after it."""
+    return [x, *[F.get(name, i + j) for j in range(1, n)]]
+
+
+def _grams(n: int, salt: int) -> Column:
+    """34 bits of the hash of each n words over its position; later positions are smaller, so the rightmost of equal hashes is the minimum."""
+    made = F.transform("wh", lambda x, i: F.xxhash64(*_run("wh", x, i, n), F.lit(salt)).bitwiseAND(F.lit(~POSITION)).bitwiseOR(F.lit(POSITION) - i))
+    return F.slice(made, 1, F.greatest(F.size("wh") - (n - 1), F.lit(0)))
+
+
+def fingerprints(rows: DataFrame, short: list[int]) -> DataFrame:
+    """``rows`` (column ``w``) with ``fps``: the kept positions of windows of WINDOW words, and every position for the lengths ``short``."""
+    keys, span = rows.columns, WINDOW - K + 1
+    rows = rows.withColumn("wh", F.transform("w", lambda x: F.xxhash64(x))).withColumn("grams", _grams(K, 0))
+    least = F.slice(F.transform("grams", lambda x, i: F.least(*_run("grams", x, i, span))), 1, F.greatest(F.size("grams") - (span - 1), F.lit(0)))
+    return rows.select(*keys, F.concat(F.array_distinct(least), *[_grams(n, n) for n in short]).alias("fps"))
+
+
+def _hash(fp: Column) -> Column:
+    return F.shiftright(fp, 30)
+
+
+def _place(fp: Column) -> Column:
+    return (F.lit(POSITION) - fp.bitwiseAND(F.lit(POSITION))).cast("int")
+
+
+def _context(w: Column, at: Column) -> tuple[Column, Column]:
+    """The words before ``at``, nearest first, and those from ``at`` on."""
+    begin = F.greatest(at - LEFT, F.lit(0))
+    return F.reverse(F.slice(w, begin + 1, at - begin)), F.slice(w, at + 1, RIGHT)
+
+
+def _same(value, other: Column, most: int) -> Column:
+    """How many words ``value(0)``, ``value(1)``, ... have in common with the list ``other``, ``most`` at most; no lambda, so joins generate code."""
+    found = F.when(F.lit(False), 0)
+    for j in range(most):
+        found = found.when(F.coalesce(value(j) != F.get(other, F.lit(j)), F.lit(True)), j)
+    return found.otherwise(most)
 
 
 def find_hits(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, th, s, n, item_id): windows of ``n`` words at word ``s`` that a document (doc_id, text hash th) shares with an item."""
-    test = items.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
-    lengths = sorted(r[0] for r in test.select(F.least(F.size("words"), F.lit(WINDOW))).distinct().collect())  # WINDOW numbers at most
-    own = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("words"))
-    found = []
-    for n in lengths:
-        k = K if n == WINDOW else n
-        t = fingerprints(test if n == WINDOW else test.where(F.size("words") == n), n, k)
-        t = t.select("item_id", F.col("fp").alias("t_fp"), F.col("j").alias("t_j"), F.slice("words", F.col("s") + 1, n).alias("t_window")).distinct()
-        d = fingerprints(own, n, k)
-        meet = (F.col("fp") == F.col("t_fp")) & (F.col("j") == F.col("t_j"))
-        if t.limit(broadcast_rows + 1).count() <= broadcast_rows:
-            hit = d.join(F.broadcast(t), meet & (F.slice("words", F.col("s") + 1, n) == F.col("t_window")))
-        else:
-            near = d.select("doc_id", "th", "s", "fp", "j").join(t, meet).select("doc_id", "th", "s", "item_id", "t_window")
-            w = own.distinct().select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"), "words")
-            hit = near.join(w, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th"))).where(
-                F.slice("words", F.col("s") + 1, n) == F.col("t_window")
-            )
-        found.append(hit.select("doc_id", "th", "s", F.lit(n).alias("n"), F.col("item_id").cast("string").alias("item_id")))
-    if not found:
-        return docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("th"), F.lit(0).alias("s"), F.lit(0).alias("n"), F.lit("").alias("item_id"))
-    made = found[0]
-    for more in found[1:]:
-        made = made.unionByName(more)
-    return made
+    """(doc_id, th, s, n, item_id): stretches of ``n`` words from word ``s`` on that a document (doc_id, text hash th) shares with an item."""
+    test = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
+    lengths = test.select(F.least(F.size("w"), F.lit(WINDOW))).distinct().collect()  # WINDOW numbers at most
+    short = sorted(r[0] for r in lengths if r[0] < WINDOW)
+    own = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
+    # outer: an inner explode would have its filter pushed through all the steps, which then are computed anew
+    place = lambda rows: rows.withColumn("fp", F.explode_outer("fps")).select(*rows.drop("fps").columns, _hash(F.col("fp")).alias("h"), _place(F.col("fp")).alias("at"))
+    d = place(fingerprints(own, short))
+
+    t = place(fingerprints(test.where(F.size("w") >= WINDOW), [])).withColumn("t_n", F.lit(WINDOW))
+    for n in short:
+        t = t.unionByName(place(fingerprints(test.where(F.size("w") == n), [n])).where("at = 0").withColumn("t_n", F.lit(n)))
+    before, after = _context(F.col("w"), F.col("at"))
+    t = t.select("item_id", "t_n", "h", before.alias("t_before"), after.alias("t_after")).distinct()
+
+    if t.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        hit = d.join(F.broadcast(t), "h")
+    else:
+        near = d.select("doc_id", "th", "h", "at").join(t, "h").drop("h")
+        w = own.distinct().select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"), "w")
+        hit = near.join(w, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")))
+    before = _same(lambda j: F.get("w", F.col("at") - (j + 1)), F.col("t_before"), LEFT)
+    after = _same(lambda j: F.get("w", F.col("at") + j), F.col("t_after"), RIGHT)
+    left = F.when(F.col("t_n") == WINDOW, before).otherwise(0)
+    spans = hit.select("doc_id", "th", "at", "item_id", "t_n", left.alias("l"), after.alias("r"))
+    spans = spans.where(F.col("l") + F.col("r") >= F.col("t_n"))
+    return spans.select("doc_id", "th", (F.col("at") - F.col("l")).alias("s"), (F.col("l") + F.col("r")).alias("n"), "item_id")
 
 
 def _covered(spans: Column) -> Column:
