@@ -83,3 +83,30 @@ def _remove(spark: SparkSession, path: str) -> None:
 def checked_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast ``df`` only if its counted ``rows`` are within ``limit``; otherwise the planner joins by shuffle."""
     return F.broadcast(df) if rows <= limit else df
+
+
+HOT, LEAST_PART = 1000, 256
+_PARTS, _SALT = "hot parts", "hot salt"
+
+
+def hot_keys(counts: DataFrame, on: list[str], total: int) -> DataFrame:
+    """Of ``counts`` (``on`` and ``n``, the rows of each key, ``total`` in all) the keys to split, and into how many parts.
+
+    A key is hot with more than ``total / HOT`` rows, so there are fewer than ``HOT`` of them and they can be broadcast.
+    """
+    share = max(total // HOT, LEAST_PART)
+    return counts.where(F.col("n") > share).groupBy(*on).agg(F.max(F.ceil(F.col("n") / share)).cast("int").alias(_PARTS))
+
+
+def join_split(rows: DataFrame, other: DataFrame, on: list[str], hot: DataFrame, spread: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``other``, which has one row a key: hot keys are dealt over parts by a hash of ``spread``.
+
+    ``other`` is repeated once a part. Rows without a key are spread, too.
+    """
+    keys = hot.drop(_PARTS).columns
+    parted = rows.join(F.broadcast(hot), keys, "left")
+    parts = F.when(F.col(on[0]).isNull(), HOT).otherwise(F.coalesce(_PARTS, F.lit(1)))
+    parted = parted.withColumn(_SALT, F.pmod(F.xxhash64(spread), parts).cast("int")).drop(_PARTS)
+    copies = other.join(F.broadcast(hot), keys, "left")
+    copies = copies.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.coalesce(_PARTS, F.lit(1)) - 1))).drop(_PARTS)
+    return parted.join(copies, [*on, _SALT], how).drop(_SALT)

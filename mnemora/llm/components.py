@@ -5,33 +5,74 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import materialise
+from mnemora.llm.common import hot_keys, join_split, materialise, release
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for every node of ``edges`` (columns a, b); comp is the smallest node reachable.
+def _order(node: str, degree: str, number: int) -> F.Column:
+    """Nodes of more links come first, equal ones by a hash that each round draws anew."""
+    return F.struct((-F.col(degree)).alias("d"), F.xxhash64(F.col(node), F.lit(number)).alias("h"), F.col(node).alias("node"))
 
-    In each round every node hooks to its smallest neighbour, one pointer jump
-    follows, and the edges contract onto the new roots: the roots at least
-    halve, so the rounds are logarithmic. Rows of a hub are pre-aggregated by
-    the minimum; no group is collected.
-    """
+
+def _follow(rows: DataFrame, to: DataFrame, total: int) -> DataFrame:
+    """``rows`` (node, up) with each up replaced by where ``to`` (node, up) leads from it; ups of very many nodes are dealt over tasks."""
+    hot = hot_keys(rows.groupBy("up").agg(F.count(F.lit(1)).alias("n")), ["up"], total)
+    step = to.select(F.col("node").alias("up"), F.col("up").alias("next"))
+    return join_split(rows, step, ["up"], hot, "node", "left").select("node", "up", F.coalesce("next", "up").alias("next"))
+
+
+def _hooks(edges: DataFrame, number: int) -> DataFrame:
+    """(node, up): each node's root in the forest in which every node hooks to its neighbour that comes first, or stays a root."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = materialise(both.groupBy("a").agg(F.count(F.lit(1)).alias("degree")))
+    known = both.join(degree.select(F.col("a").alias("b"), F.col("degree").alias("deg_b")), "b")
+    first = known.groupBy("a").agg(F.min(_order("b", "deg_b", number)).alias("best")).join(degree, "a")
+    up = F.when(F.col("best") < _order("a", "degree", number), F.col("best.node")).otherwise(F.col("a"))
+    hook = materialise(first.select(F.col("a").alias("node"), up.alias("up")))
+    total = hook.count()
+    while True:  # pointer jumping: paths halve
+        made = materialise(_follow(hook, hook, total))
+        release(hook)
+        hook = made.select("node", F.col("next").alias("up"))
+        hook.scratch_path = made.scratch_path
+        if made.where("up <> next").isEmpty():
+            release(degree)
+            return hook
+
+
+def contract(edges: DataFrame) -> list[DataFrame]:
+    """The forests (node, up) of all rounds, each over the roots of the one before."""
     edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     maps: list[DataFrame] = []
     while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up"))
-        jump = hook.alias("x").join(hook.select(F.col("node").alias("n2"), F.col("up").alias("up2")), F.col("x.up") == F.col("n2"))
-        hook = materialise(jump.select("node", F.col("up2").alias("up")))
+        hook = _hooks(edges, len(maps))
         maps.append(hook)
-        left = hook.select(F.col("node").alias("a"), F.col("up").alias("ua"))
-        right = hook.select(F.col("node").alias("b"), F.col("up").alias("ub"))
-        moved = edges.join(left, "a").join(right, "b").where("ua <> ub")
-        edges = materialise(moved.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
+        total, moved = edges.count(), edges
+        for c in ("a", "b"):
+            hot = hot_keys(moved.groupBy(c).agg(F.count(F.lit(1)).alias("n")), [c], total)
+            moved = join_split(moved, hook.select(F.col("node").alias(c), F.col("up").alias(f"u{c}")), [c], hot, "b" if c == "a" else "a")
+        moved = materialise(moved.where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
+        release(edges)
+        edges = moved
+    return maps
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, comp) for every node of ``edges`` (columns a, b); comp is the smallest node reachable.
+
+    In each round every node hooks to its neighbour of most links (equal ones in
+    random order), pointer jumping makes the trees flat, and the edges contract
+    onto the roots. A root has at least as many links as its neighbours, so at
+    most half of the nodes are roots: the rounds are logarithmic, and so are the
+    jumps of a round. Rows of a hub are pre-aggregated or dealt over tasks; no
+    group is collected.
+    """
+    maps = contract(edges)
     if not maps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    made = maps[0].select("node", F.col("up").alias("comp"))
-    for step in maps[1:]:
-        to = step.select(F.col("node").alias("comp"), F.col("up").alias("next"))
-        made = made.join(to, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp"))
-    return materialise(made)
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).limit(0)
+    made = maps[-1]
+    for step in reversed(maps[:-1]):  # from the smallest forest to the whole one
+        made = _follow(step, made, step.count()).select("node", F.col("next").alias("up"))
+    made = materialise(made)
+    roots = made.groupBy("up").agg(F.min("node").alias("comp"), F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(roots, ["up"], made.count())
+    return materialise(join_split(made, roots.drop("n"), ["up"], hot, "node").select("node", "comp"))

@@ -13,9 +13,9 @@ the chunk itself beside it (``refine``): the comparison stays exact.
 
 Null text counts as empty; empty texts equal one another (their recipe is the
 empty list). The largest ``doc_id`` of a group stays; rows that repeat a
-``doc_id`` and its text are members of one group each and stay or go together;
-a null ``doc_id`` is smaller than any other and stays only if no other is
-there. An empty table gives no rows. Extra columns are ignored.
+``doc_id`` and its text are members of one group and have the same verdict,
+``keep_one`` gives one of them; a null ``doc_id`` is smaller than any other and
+stays only if no other is there. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import materialise, table
+from mnemora.llm.common import hot_keys, join_split, materialise, table
 
 MIN_CHUNK, MAX_CHUNK = 512, 8192
 
@@ -69,23 +69,33 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     bad = materialise(colliding_ids(docs))
     made = recipes(docs) if bad.isEmpty() else refine(docs, bad)
     made = materialise(made.withColumn("key", F.sha2(F.array_join(F.transform("recipe", F.hex), ","), 256)))
-    groups = made.groupBy("key", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    g = groups.where("group_size > 1").select(F.col("key").alias("g_key"), F.col("recipe").alias("g_recipe"), "keep_id", "group_size")
-    same = (F.col("key") == F.col("g_key")) & (F.col("recipe") == F.col("g_recipe"))
-    return made.join(g, same, "left").select(
+    groups = made.groupBy("key", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    hot = hot_keys(groups, ["key"], made.count())
+    return join_split(made, groups, ["key", "recipe"], hot, "doc_id", "left").select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce("keep_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"),
         "text_sha256",
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all their columns."""
-    gone = exact_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("dropped id"), F.col("text_sha256").alias("dropped text")).distinct()
-    same = F.col("dropped id").eqNullSafe(docs["doc_id"]) & (F.col("dropped text") == F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
-    return docs.join(gone, same, "left_anti")
+    """The rows of ``docs`` that stay, all their columns: one row of each text.
+
+    Of rows that repeat the doc_id and the text that stay, any one is given.
+    """
+    found = exact_duplicates(docs)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("dropped id"), F.col("text_sha256").alias("dropped text")).distinct()
+    sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    left = docs.join(gone, F.col("dropped id").eqNullSafe(docs["doc_id"]) & (F.col("dropped text") == sha), "left_anti")
+    again = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    again = materialise(again.select(F.col("doc_id").alias("repeated id"), F.col("text_sha256").alias("repeated text")))
+    if again.isEmpty():
+        return left
+    same = F.col("repeated id").eqNullSafe(left["doc_id"]) & (F.col("repeated text") == F.sha2(F.coalesce(left["text"], F.lit("")), 256))
+    one = left.join(again, same, "left_semi").withColumn("one text", F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", "one text"]).drop("one text")
+    return left.join(again, same, "left_anti").unionByName(one)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

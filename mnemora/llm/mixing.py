@@ -83,7 +83,8 @@ def plan_copies(
     upto_part = parts.select("sk", "size", "b", before(Window.partitionBy("sk", "size").orderBy("b")).alias("n_part"))
     targets = _targets(sizes.groupBy("sk").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, cap, seed)
     ranked = rows.withColumn("row", F.row_number().over(Window.partitionBy("sk", "size", "b").orderBy("h", "doc_id", *carried)))
-    ranked = ranked.join(upto_part, ["sk", "size", "b"]).join(upto_size.join(targets, "sk"), ["sk", "size"])
+    groups = upto_part.join(upto_size.join(targets, "sk"), ["sk", "size"])  # 4096 rows at most for a source and size
+    ranked = ranked.join(groups, ["sk", "size", "b"])
     rank = F.col("n_size") + F.col("n_part") + F.col("row")
     upto = lambda r: F.floor(F.col("rate") * r + F.col("offset"))
     return ranked.select("doc_id", *carried, "sk", "size", "source_size", "target", (upto(rank) - upto(rank - 1)).alias("copies"))

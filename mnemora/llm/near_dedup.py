@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import materialise, table
+from mnemora.llm.common import hot_keys, join_split, materialise, table
 from mnemora.llm.components import components
 from mnemora.llm.shingles import digest, mix64, shingle_set
 
@@ -118,8 +118,17 @@ def _matrix(column: pa.ChunkedArray | pa.Array, hashes: int = HASHES) -> np.ndar
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, hashes)
 
 
+def _beside(pairs: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
+    """Pairs (a, b) with ``value`` of either node beside them; a hub's is repeated for every part of its pairs."""
+    total, made = pairs.count(), pairs
+    for c, other in (("a", "b"), ("b", "a")):
+        hot = hot_keys(pairs.groupBy(c).agg(F.count(F.lit(1)).alias("n")), [c], total)
+        made = join_split(made, nodes.select(F.col("node").alias(c), F.col(value).alias(f"{value}_{c}")), [c], hot, other)
+    return made.select("a", "b", f"{value}_a", f"{value}_b")
+
+
 def _prune(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose signatures survive."""
+    """Of the written pairs (a, b) those whose signatures survive, written."""
     steps = _steps(percent)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,12 +136,11 @@ def _prune(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             if batch.num_rows:
                 yield batch.select([0, 1]).filter(pa.array(posterior_keep(_matrix(batch.column(2)), _matrix(batch.column(3)), steps)))
 
-    side = lambda c: reps.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(prune, "a long, b long")
+    return materialise(_beside(pairs, reps, "sig").mapInArrow(prune, "a long, b long"))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that the full shingle sets confirm."""
+    """Of the written pairs (a, b) those that the full shingle sets confirm."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
@@ -148,9 +156,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * inter >= percent * (len(both) - inter))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(verify, "a long, b long")
+    return _beside(pairs, texts, "text").mapInArrow(verify, "a long, b long")
 
 
 def _blocks(percent: int):
@@ -216,14 +222,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialise(texts.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, sig binary, keys array<long>"))
-    classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    members = materialise(signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")))
+    many = F.count(F.lit(1)).alias("n")
+    classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), many)
+    hot = hot_keys(classes, ["digest"], signed.count())
+    members = materialise(join_split(signed.select("doc_id", "n_shingles", "digest"), classes.drop("n"), ["digest"], hot, "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")))
     own = members.where("doc_id = class_id").select(F.col("doc_id").alias("node")).distinct()
     reps = signed.where("digest is not null").join(own, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "sig", "keys")
     banded = materialise(reps.select("node", F.posexplode("keys").alias("band", "key")))
 
-    hubs = banded.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("hub"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key", "hub")
-    shared = materialise(banded.join(hubs, "key"))  # buckets of two classes at least
+    hubs = banded.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("hub"), F.min("node").alias("lo"), F.max("node").alias("hi"), many).where("lo <> hi").select("key", "hub", "n")
+    shared = materialise(join_split(banded, hubs.drop("n"), ["key"], hot_keys(hubs, ["key"], banded.count()), "node"))  # buckets of two classes at least
     stars = materialise(shared.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
     in_buckets = materialise(shared.select("node").distinct())
     signs = materialise(reps.join(in_buckets, "node", "left_semi").select("node", "sig"))
@@ -234,15 +242,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     for again in range(STAR_ROUNDS):
         comps = components(links)
         tagged = tagged.join(comps, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp"))
-        still = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n")
-        tagged = materialise(tagged.join(still, "key"))
+        still = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), many).where("lo <> hi").select("key", "n")
+        tagged = materialise(join_split(tagged, still, ["key"], hot_keys(still, ["key"], shared.count()), "node"))
         if again == STAR_ROUNDS - 1:
             break
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
         ranked = tagged.join(degree, "node", "left").select("key", "node", "comp", F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("node", "key", F.lit(again))).alias("order"))
         hubs = ranked.groupBy("key").agg(F.max_by(F.struct("node", "comp"), "order").alias("hub"))
-        meet = tagged.join(hubs, "key").where(F.col("comp") != F.col("hub.comp"))
-        more = _prune(meet.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), signs, percent)
+        meet = join_split(tagged, hubs, ["key"], hot_keys(tagged.select("key", "n"), ["key"], tagged.count()), "node").where(F.col("comp") != F.col("hub.comp"))
+        more = _prune(materialise(meet.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()), signs, percent)
         links = materialise(links.unionByName(_verify(more, bodies, percent)))
         tagged = tagged.select("key", "band", "node")
 
@@ -254,10 +262,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         "key", F.least("mine", "other").cast("long").alias("lo"), F.greatest("mine", "other").cast("long").alias("hi"), "band", "node", "comp", F.col("mine").cast("long").alias("mine"), "sig"
     )
     units = units.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
-    more = materialise(_verify(units.mapInArrow(_blocks(percent), "a long, b long").distinct(), bodies, percent))
+    more = materialise(_verify(materialise(units.mapInArrow(_blocks(percent), "a long, b long").distinct()), bodies, percent))
     if not more.isEmpty():
         comps = components(more.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
-    named = members.join(comps, F.col("class_id") == F.col("node"), "left")
+    hot = hot_keys(members.where("class_id is not null").groupBy("class_id").agg(many), ["class_id"], members.count())
+    named = join_split(members, comps.withColumnRenamed("node", "class_id"), ["class_id"], hot, "doc_id", "left")
     component = F.coalesce("comp", "class_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 

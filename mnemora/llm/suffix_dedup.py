@@ -1,17 +1,20 @@
 """Repeated passages by sparse suffix arrays.
 
 1. Retain: of every window of ``SPAN`` k-gram starts the smallest hash is a
-   minimiser; the suffix that begins there is retained. A shared passage of
-   ``MIN_WORDS`` words has a minimiser, the same in every copy, among its first
-   ``SPAN`` words, with ``PREFIX`` = MIN_WORDS - SPAN + 1 words of the passage
-   left behind it.
-2. Sort and compare: retained suffixes meet by their first ``PREFIX`` words; a
-   suffix whose prefix no other suffix has is dropped. Sorting is the merge
-   join's own; equal prefixes are counted before the shuffle.
-3. Extend: each suffix that is left is extended to the left and to the right to
+   minimiser; the suffix that begins there is retained, with its head: a 16-bit
+   code for each of its first ``PREFIX`` = MIN_WORDS - SPAN + 1 words. A shared
+   passage of ``MIN_WORDS`` words has a minimiser, the same in every copy, among
+   its first ``SPAN`` words, so its head lies inside the passage.
+2. Sort: suffixes are range-partitioned and sorted by head, then by doc_id, so
+   that a head that very many documents share is dealt over tasks.
+3. Compare neighbours: a suffix stays if a run of equal heads around it holds
+   two documents. Runs that touch the border of a partition may go on beyond it
+   and stay whole, so no twin is lost.
+4. Extend: each suffix that stays is extended to the left and to the right to
    every stretch of MIN_WORDS words around it whose first minimiser it is.
    Stretches that occur in two documents at least are repeated (a 96-bit
    identity of their words); overlapping ones unite to the maximal passage.
+   Stretches that very many documents have are dealt over tasks.
 
 Every word inside a passage of at least MIN_WORDS words that another document
 has is covered, however often it occurs; nothing is capped. Words are maximal
@@ -30,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import materialise, release, table
+from mnemora.llm.common import hot_keys, join_split, materialise, release, table
 from mnemora.llm.shingles import gram_hashes, word_hashes
 
-MIN_WORDS, SPAN, GRAM = 50, 26, 6
+MIN_WORDS, SPAN, GRAM = 50, 36, 6
 
 
 def _minimisers(grams: np.ndarray, span: int) -> np.ndarray:
@@ -56,14 +59,62 @@ def _split(text: str | None) -> np.ndarray:
 
 
 def suffixes(text: str | None, least: int = MIN_WORDS, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the retained suffixes and the hashes of their first words."""
-    h = _split(text)
+    """Positions of the retained suffixes and their heads, a row of bytes each that sorts as its codes do."""
+    h, size = _split(text), least - span + 1
     if len(h) < least:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    prefix = gram_hashes(h, least - span + 1, seed=1)
+        return np.zeros(0, np.int64), np.zeros((0, 2 * size), np.uint8)
     at = np.unique(_minimisers(gram_hashes(h, GRAM), span))
-    at = at[at < len(prefix)]
-    return at, prefix[at].view(np.int64)
+    at = at[at <= len(h) - size]
+    codes = (h >> np.uint64(48)).astype(">u2")
+    return at, codes[at[:, None] + np.arange(size)].view(np.uint8)
+
+
+class Neighbours:
+    """Of rows (doc_id, pos, head) that come sorted by head and doc_id, keeps those in a run of equal heads with two documents.
+
+    The first and the last run of the rows stay whole. What waits for its run's second document is one document's.
+    """
+
+    def __init__(self) -> None:
+        self.head: bytes | None = None
+        self.doc, self.open, self.waiting = None, True, []
+
+    def batch(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n = batch.num_rows
+        if not n:
+            return
+        heads = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, -1)
+        docs = batch.column(0).to_numpy(zero_copy_only=False)
+        first = heads[0].tobytes()
+        starts = np.concatenate([[0], np.flatnonzero((heads[1:] != heads[:-1]).any(axis=1)) + 1])
+        ends = np.concatenate([starts[1:], [n]])
+        keep = np.repeat(docs[starts] != docs[ends - 1], ends - starts)
+        if first == self.head:  # the run goes on
+            if not self.open and (docs[0] != self.doc or docs[ends[0] - 1] != self.doc):
+                self.open = True
+            if self.open:
+                yield from self.waiting
+                self.waiting = []
+                keep[: ends[0]] = True
+        else:
+            self.waiting = []
+            if self.head is None:  # the first run of all
+                keep[: ends[0]] = True
+                self.open = True
+            else:
+                self.open = bool(keep[0])
+        if len(starts) > 1:
+            self.waiting, self.open = [], bool(keep[starts[-1]])
+        self.head, self.doc = heads[-1].tobytes(), docs[-1]
+        if not self.open:
+            self.waiting.append(batch.slice(starts[-1]).select([0, 1]))
+            keep[starts[-1] :] = False
+        got = batch.select([0, 1]).filter(pa.array(keep))
+        if got.num_rows:
+            yield got
+
+    def last(self) -> Iterator[pa.RecordBatch]:
+        yield from self.waiting
 
 
 def stretches(text: str | None, seeds: np.ndarray, least: int = MIN_WORDS, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,14 +134,21 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, span: int = SPAN)
 
     def retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, where, keys = [], [], []
+            ids, where, heads = [], [], []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                at, key = suffixes(t.as_py(), least, span)
+                at, head = suffixes(t.as_py(), least, span)
                 ids.append(np.full(len(at), d, np.int64))
                 where.append(at)
-                keys.append(key)
+                heads.append(head)
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(where).astype(np.int32)), pa.array(np.concatenate(keys))], ["doc_id", "pos", "key"])
+                bodies = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * (least - span + 1)), sum(map(len, ids)), [None, pa.py_buffer(np.concatenate(heads).tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(where).astype(np.int32)), bodies], ["doc_id", "pos", "head"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = Neighbours()
+        for batch in batches:
+            yield from rows.batch(batch)
+        yield from rows.last()
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,13 +162,13 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, span: int = SPAN)
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, starts, ones, twos)], ["doc_id", "start", "one", "two"])
 
-    seeds = materialise(texts.mapInArrow(retain, "doc_id long, pos int, key long"))
-    twice = seeds.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
-    found = materialise(seeds.join(twice, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("seeds")))
+    seeds = materialise(texts.mapInArrow(retain, "doc_id long, pos int, head binary"))
+    array = seeds.repartitionByRange("head", "doc_id").sortWithinPartitions("head", "doc_id", "pos")
+    found = materialise(array.mapInArrow(compare, "doc_id long, pos int").groupBy("doc_id").agg(F.collect_set("pos").alias("seeds")))
     release(seeds)
     parts = materialise(texts.join(found, "doc_id").select("doc_id", "text", "seeds").mapInArrow(extend, "doc_id long, start int, one long, two int"))
-    again = parts.groupBy("one", "two").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("hi")).where("first_doc_id <> hi").drop("hi")
-    shared = materialise(parts.join(again, ["one", "two"]).select("doc_id", "start", "first_doc_id"))
+    again = parts.groupBy("one", "two").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("first_doc_id <> hi").drop("hi")
+    shared = materialise(join_split(parts, again.drop("n"), ["one", "two"], hot_keys(again, ["one", "two"], parts.count()), "doc_id").select("doc_id", "start", "first_doc_id"))
     release(parts)
     hits = shared.repartition("doc_id").groupBy("doc_id", "start").agg(F.min("first_doc_id").alias("first_doc_id"))
     order = Window.partitionBy("doc_id").orderBy("start")
