@@ -10,6 +10,8 @@ from mnemora.functions.text import tokens
 K1, B, IDF_FLOOR, RRF_K = 1.2, 0.75, 1e-6, 60
 #: Query terms are broadcast up to this many rows; beyond, the planner joins by shuffle.
 BROADCAST_ROWS = 500_000
+#: Distinct query terms that are sent to the scan as a list.
+LISTED = 2000
 
 
 def _small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -21,27 +23,36 @@ def first_terms(text: Column, m: int, least: int = 4) -> Column:
     return F.slice(F.array_distinct(F.filter(tokens(text), lambda t: F.length(t) >= least)), 1, m)
 
 
-def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(doc_id, term, tf, dl), of the given terms only if any; counted before the shuffle."""
+def postings(docs: DataFrame) -> DataFrame:
+    """(doc_id, term, tf, dl), counted before the shuffle."""
     rows = docs.select("doc_id", tokens(F.col("text")).alias("ts")).select("doc_id", F.size("ts").cast("long").alias("dl"), F.explode("ts").alias("term"))
-    if terms is not None:
-        rows = rows.join(_small(terms), "term", "left_semi")
     return rows.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def sorted_postings(docs: DataFrame) -> DataFrame:
+    """``postings`` as they are stored: by term, so that a search reads the row groups of its terms alone."""
+    return postings(docs).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+
+
 def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, require_all: bool = True) -> DataFrame:
-    """(qid, doc_id, n_terms, score) for ``queries`` (qid, terms)."""
+def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, require_all: bool = True) -> DataFrame:
+    """(qid, doc_id, n_terms, score) for ``queries`` (qid, terms) over stored ``postings`` and one row of ``corpus_stats``.
+
+    Up to ``LISTED`` distinct terms are sent to the scan as a list, so that it
+    skips the rest of the index; more are joined.
+    """
     wanted = queries.select("qid", F.size("terms").alias("need"), F.explode("terms").alias("term"))
-    post = postings(docs, wanted.select("term").distinct())
+    terms = [r[0] for r in wanted.select("term").distinct().limit(LISTED + 1).collect()]
+    post = index.where(F.col("term").isin(terms)) if len(terms) <= LISTED else index.join(_small(wanted.select("term").distinct()), "term", "left_semi")
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, df_, tf, dl = F.col("n_docs"), F.col("df"), F.col("tf"), F.col("dl")
     idf = F.greatest(F.log((n - df_ + 0.5) / (df_ + 0.5)), F.lit(IDF_FLOOR))
     weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    scored = wanted.join(post, "term").join(_small(df), "term").crossJoin(F.broadcast(corpus_stats(docs)))  # one row
+    asked = wanted.join(df, "term").crossJoin(F.broadcast(stats))  # one row
+    scored = post.join(_small(asked) if len(terms) > LISTED else F.broadcast(asked) if queries.limit(BROADCAST_ROWS // 64).count() < BROADCAST_ROWS // 64 else asked, "term")
     scored = scored.groupBy("qid", "doc_id", "need").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum(weight), 6).alias("score"))
     return (scored.where("n_terms = need") if require_all else scored).select("qid", "doc_id", "n_terms", "score")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemora.functions import text as tx
 from mnemora.operators import graph, retrieval as rt
+from mnemora.sources.scratch import shared
 from mnemora.sources.tables import table
 
 TOK = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
@@ -16,8 +17,15 @@ def _queries(spark: SparkSession, sf: str, m: int) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), rt.first_terms(F.col("text"), m).alias("terms")).where(F.size("terms") > 0)
 
 
+def index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The stored postings of the documents and their totals; the first query of a session builds them."""
+    source, docs = f"{sf}/documents.parquet", table(spark, sf, "documents")
+    made = shared(spark, source, "postings", lambda: rt.sorted_postings(docs))
+    return made, shared(spark, source, "totals", lambda: rt.corpus_stats(docs))
+
+
 def known_item(spark: SparkSession, sf: str, m: int = 4, k: int = 10) -> DataFrame:
-    return rt.ranked(rt.bm25(table(spark, sf, "documents"), _queries(spark, sf, m)), k).select("qid", "doc_id", "score", "rank")
+    return rt.ranked(rt.bm25(*index(spark, sf), _queries(spark, sf, m)), k).select("qid", "doc_id", "score", "rank")
 
 
 def _bm25_sql(m: int, gate: bool = True) -> str:
@@ -37,7 +45,7 @@ rk AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY s
 
 
 def bm25_and_semantics(spark: SparkSession, sf: str) -> DataFrame:
-    both = rt.bm25(table(spark, sf, "documents"), _queries(spark, sf, 2), require_all=False)
+    both = rt.bm25(*index(spark, sf), _queries(spark, sf, 2), require_all=False)
     return both.groupBy("qid").agg(F.count(F.lit(1)).alias("n_any"), F.count_if(F.col("n_terms") == 2).alias("n_all"))
 
 
@@ -46,18 +54,18 @@ def _titled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def title_boost(spark: SparkSession, sf: str) -> DataFrame:
-    """The title ladder for one query text, the first title by doc_id."""
-    docs = _titled(spark, sf)
-    query = docs.where(F.length("title") <= 60).orderBy("doc_id").limit(1).select(F.lower("title").alias("q"))
-    rows = docs.crossJoin(F.broadcast(query))  # one row
+    """The title ladder for the titles of documents whose id is divisible by 50, a stated query set, against all titles."""
+    docs = _titled(spark, sf).select("doc_id", F.lower("title").alias("t"))
     words = lambda c: F.array_distinct(F.split(c, " "))
-    b = rt.boost_ladder(F.lower("title"), F.col("q"), words(F.lower("title")), words(F.col("q")))
-    return rows.select("doc_id", b.alias("boost")).where("boost > 1")
+    asked = docs.where("doc_id % 50 = 0 AND t <> ''").select(F.col("doc_id").alias("qid"), F.col("t").alias("q"), words("t").alias("q_words"))
+    rows = docs.withColumn("words", words("t")).crossJoin(rt._small(asked, 10_000))
+    b = rt.boost_ladder(F.col("t"), F.col("q"), F.col("words"), F.col("q_words"))
+    return rows.select("qid", "doc_id", b.alias("boost")).where("boost > 1")
 
 
 def authority_rank(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, 1.35).otherwise(0.8).alias("w"))
-    hits = rt.bm25(table(spark, sf, "documents"), _queries(spark, sf, 2)).join(labels, "doc_id", "left")
+    hits = rt.bm25(*index(spark, sf), _queries(spark, sf, 2)).join(labels, "doc_id", "left")
     hits = hits.withColumn("score", F.round(F.col("score") * F.coalesce("w", F.lit(1.0)), 4))
     return rt.ranked(hits, 5).select("qid", "doc_id", "score", "rank")
 
@@ -115,14 +123,15 @@ def _gold(spark: SparkSession, sf: str) -> DataFrame:
 
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Quoted passages verified in their sources, white space collapsed: an equi-join on 8-word heads, then containment."""
-    head = lambda ws, i: F.array_join(F.slice(ws, i, 8), " ")
-    docs = table(spark, sf, "documents").select("doc_id", F.split(tx.collapse_ws(F.col("text")), " ").alias("ws"))
-    quotes = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.split(tx.collapse_ws(F.col("text")), " ").alias("q")).where(F.size("q") >= 10)
+    split = lambda c: F.split(tx.collapse_ws(F.col(c)), " ")
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.xxhash64("text").alias("th"))
+    quotes = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), split("text").alias("q")).where(F.size("q") >= 10)
     # the passage's second to ninth words are whole words wherever it occurs
-    quotes = quotes.select("qid", F.array_join("q", " ").alias("quote"), head(F.col("q"), 2).alias("h"))
-    at = docs.where(F.size("ws") >= 8).select("doc_id", "ws", F.explode(F.sequence(F.lit(1), F.size("ws") - 7)).alias("i"))
-    near = at.select("doc_id", head(F.col("ws"), F.col("i")).alias("h"), "ws").join(rt._small(quotes), "h")
-    return near.where(F.contains(F.array_join("ws", " "), F.col("quote"))).select("qid", "doc_id").distinct()
+    quotes = quotes.select("qid", F.array_join("q", " ").alias("quote"), F.xxhash64(*[F.get("q", F.lit(i)) for i in range(1, 9)]).alias("h"))
+    at = docs.select("doc_id", "th", split("text").alias("ws")).select("doc_id", "th", F.explode_outer(tx.gram_hashes("ws", 8)).alias("h"))
+    near = at.join(rt._small(quotes), "h").select("doc_id", "th", "qid", "quote")
+    own = near.join(docs, ["doc_id", "th"]).where(F.contains(tx.collapse_ws(F.col("text")), F.col("quote")))
+    return own.select("qid", "doc_id").distinct()
 
 
 _EVIDENCE = """ev AS (SELECT item_id AS qid, doc_id FROM
@@ -157,7 +166,7 @@ def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 def postings_stats(spark: SparkSession, sf: str) -> DataFrame:
     """The index: document frequency and occurrences per term."""
-    return rt.postings(table(spark, sf, "documents")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
+    return index(spark, sf)[0].groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
 
 
 def known_item_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -180,9 +189,9 @@ _TITLE = "trim(CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(tex
 ORACLE_SQL = {
     "bm25_known_item": f"WITH {_bm25_sql(4)} SELECT * FROM rk WHERE rank <= 10",
     "bm25_and_semantics": f"WITH {_bm25_sql(2, gate=False)} SELECT qid, count(*) AS n_any, count(*) FILTER (n_terms = 2) AS n_all FROM hit GROUP BY qid",
-    "title_boost": f"""WITH d AS (SELECT doc_id, lower({_TITLE}) AS t FROM documents), q AS (SELECT t AS q FROM d WHERE length(t) <= 60 ORDER BY doc_id LIMIT 1),
-w AS (SELECT doc_id, t, q, list_distinct(string_split(t, ' ')) AS a, list_distinct(string_split(q, ' ')) AS b FROM d, q)
-SELECT * FROM (SELECT doc_id, CASE WHEN t = q THEN 5.0 WHEN list_has_all(a, b) THEN 3.0 WHEN list_has_all(b, a) THEN 2.0 ELSE 1.0 END::DOUBLE AS boost FROM w) WHERE boost > 1""",
+    "title_boost": f"""WITH d AS (SELECT doc_id, lower({_TITLE}) AS t FROM documents), q AS (SELECT doc_id AS qid, t AS q FROM d WHERE doc_id % 50 = 0 AND t <> ''),
+w AS (SELECT qid, doc_id, t, q, list_distinct(string_split(t, ' ')) AS a, list_distinct(string_split(q, ' ')) AS b FROM d, q)
+SELECT * FROM (SELECT qid, doc_id, CASE WHEN t = q THEN 5.0 WHEN list_has_all(a, b) THEN 3.0 WHEN list_has_all(b, a) THEN 2.0 ELSE 1.0 END::DOUBLE AS boost FROM w) WHERE boost > 1""",
     "authority_weighted_rank": f"""WITH {_bm25_sql(2)}, aw AS (SELECT qid, hit.doc_id, round(score * coalesce(CASE WHEN quality = 1 THEN 1.35 WHEN quality IS NOT NULL THEN 0.8 END, 1.0)::DOUBLE, 4) AS score
 FROM hit LEFT JOIN labels USING (doc_id)) SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM aw) WHERE rank <= 5""",
     "vector_topk": f"WITH {_VEC} SELECT qid, vec_id, score, rank FROM vk WHERE rank <= 10",
