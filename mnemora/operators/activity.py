@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnemora.functions import replies
 
 
+#: Items of one pair of words that meet in one cell of the grid.
+SIDE = 512
+
+
 def fold_tasks(tasks: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Tasks with state done or open: a claim log folded with a completion log."""
     keys = done.select(key).distinct().withColumn("is_done", F.lit(True))
@@ -23,7 +31,14 @@ def overlap_pairs(items: DataFrame, key: str, words: Column) -> DataFrame:
     ws = items.select(F.col(key).alias("id"), F.array_sort(words).alias("ws"))
     two = F.transform("ws", lambda x, i: F.transform(F.slice("ws", i + 2, F.size("ws")), lambda y: F.struct(x.alias("v"), y.alias("w"))))
     w = ws.where(F.size("ws") > 1).select("id", F.explode(F.flatten(two)).alias("two"))
-    pairs = w.alias("x").join(w.alias("y"), (F.col("x.two") == F.col("y.two")) & (F.col("x.id") < F.col("y.id")))
+    # a pair of words that very many items have is dealt over a grid: each item is one row of the grid and one column
+    n = w.groupBy("two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("side", F.ceil(F.col("n") / SIDE).cast("int")).drop("n")
+    w = w.join(n, "two").withColumn("own", F.pmod(F.xxhash64("id"), F.col("side")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("side") - 1))
+    x = w.withColumn("col", every).withColumnRenamed("own", "row").alias("x")
+    y = w.withColumn("row", every).withColumnRenamed("own", "col").alias("y")
+    same = (F.col("x.two") == F.col("y.two")) & (F.col("x.row") == F.col("y.row")) & (F.col("x.col") == F.col("y.col"))
+    pairs = x.join(y, same & (F.col("x.id") < F.col("y.id")))
     n = F.round((1 + F.sqrt(1 + 8 * F.count(F.lit(1)))) / 2).cast("long")
     return pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(n.alias("shared"))
 
@@ -32,27 +47,55 @@ def loops(events: DataFrame, keys: list[Column], threshold: int) -> DataFrame:
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold)
 
 
+def _runs(rows: DataFrame, keys: list[str], order: list[str], seconds: float) -> DataFrame:
+    """``rows`` (keys, order, _at) with ``_run``: the time of the last event at or before one that follows a gap of ``seconds`` or more.
+
+    No window holds a key: time is cut into buckets of ``seconds``. An event's
+    gap is to the one before it in its bucket or to the last of the bucket
+    before, which is joined; where a bucket has no such event, the run is
+    carried over the buckets of its day, then over days, a row each.
+    """
+    ids = [f"_k{i}" for i in range(len(keys))]
+    rows = rows.withColumn("_bucket", F.floor(F.col("_at") / seconds)).withColumn("_day", F.floor(F.col("_at") / 86400))
+    rows = rows.withColumns({i: F.struct(k) for i, k in zip(ids, keys, strict=True)})  # a struct joins nulls, too
+    ends = rows.groupBy(*ids, (F.col("_bucket") + 1).alias("_bucket")).agg(F.max("_at").alias("_before"))
+    rows = rows.join(ends, [*ids, "_bucket"], "left")
+    inside = Window.partitionBy(*ids, "_bucket").orderBy("_at", *order)
+    gap = F.col("_at") - F.coalesce(F.lag("_at").over(inside), F.col("_before"))
+    rows = rows.withColumn("_start", F.when(F.coalesce(gap >= seconds, F.lit(True)), F.col("_at"))).drop("_before")
+    rows = rows.withColumn("_own", F.max("_start").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    upto = lambda w: F.max("_last").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    buckets = rows.groupBy(*ids, "_day", "_bucket").agg(F.max("_start").alias("_last"))
+    days = buckets.groupBy(*ids, "_day").agg(F.max("_last").alias("_last")).withColumn("_from_day", upto(Window.partitionBy(*ids).orderBy("_day"))).drop("_last")
+    buckets = buckets.withColumn("_from_bucket", upto(Window.partitionBy(*ids, "_day").orderBy("_bucket"))).drop("_last").join(days, [*ids, "_day"])
+    rows = rows.join(buckets, [*ids, "_day", "_bucket"])
+    return rows.withColumn("_run", F.coalesce("_own", "_from_bucket", "_from_day")).drop("_day", "_bucket", "_start", "_own", "_from_bucket", "_from_day", *ids)
+
+
 def cooldown(events: DataFrame, keys: list[str], ts: Column, order: list[str], seconds: float) -> DataFrame:
     """Events kept: no kept event of the same key lies under ``seconds`` before.
 
-    The fold needs the order of a key's events; a key's times alone are
-    gathered, and gaps of ``seconds`` or more cut a key's events into runs that
-    fold by themselves, so a hot key is split.
+    An event after a gap of ``seconds`` is kept whatever came before, so the
+    runs between such gaps fold by themselves, a hot key's in many tasks. A
+    run's rows come sorted and are read once, the last kept time in hand.
     """
-    at = ts.cast("timestamp").cast("double")
-    w = Window.partitionBy(*keys).orderBy("_at", *order)
-    rows = events.withColumn("_at", at)
-    fresh = F.coalesce((F.col("_at") - F.lag("_at").over(w) >= seconds).cast("int"), F.lit(1))
-    rows = rows.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    item = F.struct(F.col("_at"), *[F.col(c) for c in order])
-    runs = rows.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    zero = F.struct(F.lit(None).cast("double").alias("last"), F.slice("items", 1, 0).alias("kept"))
-    take = lambda a, x: a["last"].isNull() | (x["_at"] - a["last"] >= seconds)
-    step = lambda a, x: F.struct(
-        F.when(take(a, x), x["_at"]).otherwise(a["last"]).alias("last"), F.when(take(a, x), F.concat(a["kept"], F.array(x))).otherwise(a["kept"]).alias("kept")
-    )
-    kept = runs.select(*keys, F.explode(F.aggregate("items", zero, step, lambda a: a["kept"])).alias("k"))
-    return kept.select(*keys, *[F.col("k")[c].alias(c) for c in order])
+    rows = events.select(*keys, *order, ts.cast("timestamp").cast("double").alias("_at"))
+    rows = _runs(rows, keys, order, seconds)
+    rows = rows.repartition(*keys, "_run").sortWithinPartitions(*keys, "_run", "_at", *order).select(*keys, *order, "_run", "_at")
+    names = [*keys, *order]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, last = None, 0.0
+        for batch in batches:
+            where = list(zip(*[batch.column(i).to_pylist() for i in range(len(keys))], batch.column(len(names)).to_pylist(), strict=True))
+            at, kept = batch.column(len(names) + 1).to_pylist(), []
+            for i, (own, t) in enumerate(zip(where, at, strict=True)):
+                if own != run or t - last >= seconds:
+                    run, last = own, t
+                    kept.append(i)
+            yield batch.select(range(len(names))).take(pa.array(kept, pa.int64()))
+
+    return rows.mapInArrow(fold, T.StructType([rows.schema[c] for c in names]))
 
 
 def latest(events: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:

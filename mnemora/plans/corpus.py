@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemora.functions import fixed, text as tx
-from mnemora.operators import activity as ac, graph
+from mnemora.operators import activity as ac, graph, pages as pg
 from mnemora.plans.search import _EDGES, _TITLE, link_edges
 from mnemora.sources.tables import table
 
@@ -37,13 +37,13 @@ def lint_broken_links(s, d):
 
 def lint_backlinks(s, d):
     """Derived edges: part to supplier key, both as node numbers."""
-    e = table(s, d, "lineitem").select((F.col("l_partkey") % 500).alias("src"), (F.col("l_suppkey") % 500).alias("dst")).distinct()
+    e = table(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
     return graph.missing_backlinks(e)
 
 
 def lint_orphans(s, d):
-    """Customers that no order names."""
-    return table(s, d, "customer").join(table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    """Documents that the ledger, the labels, doesn't name."""
+    return _docs(s, d).select("doc_id", "source").join(table(s, d, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
 def lint_type_domain(s, d):
@@ -55,11 +55,16 @@ def lint_temporal(s, d):
     return table(s, d, "orders").select("o_orderkey", "o_orderstatus", day.alias("valid_to")).where((F.col("valid_to") < "1996-01-01") & (F.col("o_orderstatus") == "O")).select("o_orderkey", "valid_to")
 
 
+def _ledger(s, d):
+    """What was compiled: the labelled documents, those of quality 0 as they were before, when they were empty."""
+    rows = _docs(s, d).join(table(s, d, "labels"), "doc_id")
+    return rows.select("doc_id", F.sha2(F.when(F.col("quality") == 0, "").otherwise(F.col("text")), 256).alias("h"))
+
+
 def lint_drift(s, d):
-    """Documents whose hash differs from the ledger's; the ledger here is that of every third document, altered."""
-    now = _docs(s, d).select("doc_id", F.sha2("text", 256).alias("h"))
-    ledger = now.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "stale").otherwise(F.col("h")).alias("h2"))
-    return now.join(ledger, "doc_id").where("h <> h2").select("doc_id", "h")
+    """Documents whose hash differs from the ledger's."""
+    now, then = _docs(s, d).select("doc_id", F.sha2("text", 256).alias("h")), _ledger(s, d).withColumnRenamed("h", "then")
+    return now.join(then, "doc_id").where("h <> then").select("doc_id", "h")
 
 
 def lint_summary(s, d):
@@ -85,12 +90,16 @@ def slugify(s, d):
     return _docs(s, d).select("doc_id", tx.slug(_first_line()).alias("slug"))
 
 
+FOLDERS = {"en": "decisions", "fr": "facts", "de": "comparisons"}
+
+
 def infer_type(s, d):
-    rules = (("/news", "event"), ("/wiki", "concept"), ("/blog", "insight"), ("/docs", "reference"), ("/a", "article"))
-    kind = F.lit("page")
-    for part, name in reversed(rules):
-        kind = F.when(F.contains("url", F.lit(part)), name).otherwise(kind)
-    return table(s, d, "pages").select("page_id", kind.alias("kind"))
+    """The type that a document's path means, the folder by its language."""
+    folder = F.lit("misc")
+    for lang, name in FOLDERS.items():
+        folder = F.when(F.col("lang") == lang, name).otherwise(folder)
+    rel = F.concat(F.lit("knowledge/notes/"), folder, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return _docs(s, d).select("doc_id", pg.infer_type(rel).alias("kind"))
 
 
 def noise_lines(s, d):
@@ -104,9 +113,17 @@ def clip_text(s, d):
 
 
 def budget_prefix(s, d):
-    """Documents of each source, by id, while their characters fit the budget."""
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return _docs(s, d).select("doc_id", "source", F.sum("n_chars").over(w).alias("running")).where("running <= 120000")
+    """Documents of each source, by id, while their characters fit the budget.
+
+    Sums run over blocks of ids first, a row a block, then within the blocks in
+    which a budget may end: no task holds a source.
+    """
+    rows = _docs(s, d).select("doc_id", "source", "n_chars").withColumn("part", F.floor(F.col("doc_id") / 4096))
+    blocks = rows.groupBy("source", "part").agg(F.sum("n_chars").alias("n"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    blocks = blocks.withColumn("before", F.sum("n").over(upto(Window.partitionBy("source").orderBy("part"))) - F.col("n")).where("before <= 120000")
+    inside = rows.join(blocks.drop("n"), ["source", "part"]).withColumn("own", F.sum("n_chars").over(upto(Window.partitionBy("source", "part").orderBy("doc_id"))))
+    return inside.select("doc_id", "source", (F.col("before") + F.col("own")).alias("running")).where("running <= 120000")
 
 
 def guardrails_topn(s, d):
@@ -136,10 +153,9 @@ def snapshot_dedup(s, d):
 
 
 def hash_ledger_changed(s, d):
-    """Documents that the ledger (those of even id) lacks or has under another hash."""
+    """Documents that the ledger lacks or has under another hash."""
     now = _docs(s, d).select("doc_id", F.sha2("text", 256).alias("h"))
-    ledger = now.where("doc_id % 2 = 0").select(F.col("doc_id").alias("l_id"), F.col("h").alias("l_h"))
-    return now.join(ledger, (F.col("doc_id") == F.col("l_id")) & (F.col("h") == F.col("l_h")), "left_anti")
+    return now.join(_ledger(s, d), ["doc_id", "h"], "left_anti")
 
 
 def cross_source_overlap(s, d):
@@ -151,8 +167,11 @@ def cross_source_overlap(s, d):
 
 
 def contradictions(s, d):
-    """Documents whose text says that it replaces something."""
-    return _docs(s, d).where(F.col("text").rlike(tx.NEGATION)).select("doc_id")
+    """New pages, parts of type ECONOMY that say so, against all parts' titles: two words in common."""
+    p = table(s, d, "part")
+    new = p.where("p_type = 'ECONOMY'").select(F.col("p_partkey").cast("string").alias("slug"), F.col("p_name").alias("title"), F.concat(F.lit("Replaced by "), "p_brand").alias("body_markdown"))
+    old = p.select(F.concat(F.lit("knowledge/notes/"), F.col("p_partkey").cast("string")).alias("rel"), F.col("p_partkey").cast("string").alias("stem"), F.concat(F.lit("# "), "p_name").alias("text"))
+    return pg.contradicted(new, old)
 
 
 def tail_text(s, d):
@@ -172,11 +191,11 @@ QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v
 _CW = r"len(regexp_extract_all(lower(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '---') AND NOT starts_with(trim(x), '#')), chr(10))), '[\p{L}\p{N}_]+'))::BIGINT"
 _SPARSE = f"SELECT doc_id, {_CW} AS n_words FROM documents WHERE {_CW} < 200"
 _BROKEN = f"WITH {_EDGES} SELECT src, dst FROM e WHERE dst NOT IN (SELECT regexp_extract(url, '^https?://[^/]+(/.*)?$', 1) FROM pages)"
-_BACK = "WITH e AS (SELECT DISTINCT l_partkey % 500 AS src, l_suppkey % 500 AS dst FROM lineitem) SELECT src, dst FROM e WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM e f WHERE f.src = e.dst AND f.dst = e.src)"
-_ORPH = "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
+_BACK = "WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem) SELECT src, dst FROM e WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM e f WHERE f.src = e.dst AND f.dst = e.src)"
+_ORPH = "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
 _DOMAIN = "SELECT doc_id, lang FROM documents WHERE lang NOT IN ('en', 'fr', 'de')"
 _TEMP = "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS valid_to FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') < '1996-01-01' AND o_orderstatus = 'O'"
-_DRIFT = "SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 3 = 0"
+_DRIFT = "SELECT doc_id, sha256(text) AS h FROM documents JOIN labels USING (doc_id) WHERE quality = 0 AND text <> ''"
 _WSQ = r"trim(regexp_replace({0}, '[ \t\n\x0B\f\r]+', ' ', 'g'))"
 _STRIP = r"regexp_replace({0}, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
 
@@ -214,7 +233,7 @@ ORACLE_SQL = {
     "redact_secrets": f"SELECT doc_id, sha256({_redact_sql()}) AS redacted_sha256, {_redact_sql()} <> text AS changed FROM documents",
     "slugify": rf"""WITH a AS (SELECT doc_id, {_TITLE} AS t FROM documents), b AS (SELECT doc_id, t, regexp_replace(substr(regexp_replace(regexp_replace(lower(t), '[^\p{{L}}\p{{N}}_]+', '-', 'g'), '^[-_]+|[-_]+$', '', 'g'), 1, 53), '[-_]+$', '') AS s FROM a)
 SELECT doc_id, CASE WHEN s = '' THEN substr(sha256(t), 1, 6) ELSE s || '-' || substr(sha256(t), 1, 6) END AS slug FROM b""",
-    "infer_type": "SELECT page_id, CASE WHEN contains(url, '/news') THEN 'event' WHEN contains(url, '/wiki') THEN 'concept' WHEN contains(url, '/blog') THEN 'insight' WHEN contains(url, '/docs') THEN 'reference' WHEN contains(url, '/a') THEN 'article' ELSE 'page' END AS kind FROM pages",
+    "infer_type": "SELECT doc_id, CASE lang WHEN 'en' THEN 'decision' WHEN 'de' THEN 'synthesis' ELSE 'concept' END AS kind FROM documents",
     "noise_lines": f"""SELECT doc_id, count(*) AS n_lines, count(*) FILTER ({_NOISE}) AS n_noise, count(*) FILTER ({_MARKS} > 0 AND {_MARKS} >= {fixed.MOJIBAKE_SHARE}::DOUBLE * length(line)) AS n_mojibake
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id""",
     "clip_text": f"SELECT doc_id, sha256(CASE WHEN length({_WSQ.format('text')}) > 140 THEN rtrim(substr({_WSQ.format('text')}, 1, 139)) || '…' ELSE {_WSQ.format('text')} END) AS clip_sha256 FROM documents",
@@ -225,10 +244,11 @@ SELECT part, id, turn, rule FROM (SELECT *, row_number() OVER (PARTITION BY subs
     "catalog_sections": f"SELECT lang, source, count(*) AS n_pages, min(lower({_TITLE})) AS first_hook FROM documents GROUP BY 1, 2",
     "agent_strengths": "SELECT * FROM (SELECT source, lang, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS place FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2)) WHERE place <= 5",
     "snapshot_dedup": f"SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY lower({_WSQ.format('substr(text, 1, 200)')})",
-    "hash_ledger_changed": "SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 2 <> 0",
+    "hash_ledger_changed": "SELECT doc_id, sha256(text) AS h FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR (quality = 0 AND text <> '')",
     "cross_source_overlap": """WITH w AS (SELECT p_partkey AS id, p_brand AS br, unnest(list_filter(list_distinct(string_split(lower(p_name), ' ')), lambda x: x <> '' AND x NOT IN """ + _in(fixed.TITLE_STOP) + """)) AS w FROM part)
 SELECT x.id AS a, y.id AS b, count(*) AS shared FROM w x JOIN w y ON x.w = y.w AND x.id < y.id WHERE x.br <> y.br GROUP BY 1, 2 HAVING count(*) >= 2""",
-    "contradictions": f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{tx.NEGATION.replace(chr(39), chr(39) * 2)}')",
+    "contradictions": """WITH w AS (SELECT p_partkey AS id, p_type, unnest(list_filter(list_distinct(string_split(lower(p_name), ' ')), lambda x: x <> '' AND x NOT IN """ + _in(fixed.TITLE_STOP) + """)) AS w FROM part)
+SELECT x.id::VARCHAR AS slug, 'knowledge/notes/' || y.id AS rel FROM w x JOIN w y ON x.w = y.w AND x.id <> y.id WHERE x.p_type = 'ECONOMY' GROUP BY x.id, y.id HAVING count(*) >= 2""",
     "tail_text": "SELECT doc_id, sha256(right(text, 500)) AS tail_sha256, length(right(text, 500))::BIGINT AS n FROM documents",
     "carry_section": """WITH l AS (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
 h AS (SELECT doc_id, last_value(CASE WHEN length(line) < 30 THEN pos END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS head FROM l) SELECT doc_id, coalesce(head, -1)::INT AS head, count(*) AS n FROM h GROUP BY 1, 2""",

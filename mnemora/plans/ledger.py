@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.functions import fixed, replies, text as tx
-from mnemora.operators import activity as ac
+from mnemora.operators import activity as ac, queue as qu
 from mnemora.plans.corpus import _in
 from mnemora.sources.tables import table
 from mnemora.streaming import capture
 
 NOW = "1998-12-31"
+QUEUE_NOW = "2024-01-31 00:00:00"
 STALE_DAYS = {"1-URGENT": 60, "2-HIGH": 90, "3-MEDIUM": 365, "5-LOW": None}
 
 
@@ -50,11 +51,11 @@ def edit_loops(s, d):
 
 
 def topic_loops(s, d):
-    """The ten commonest topics of what users say, then those that come three times: the order matters. A topic: the first three words of five letters or more."""
+    """The ten commonest topics of documents, then those that come three times: the order matters. A topic: the first three words of five letters or more."""
     long = lambda w: w.rlike(r"^\p{L}{5,}$") & ~w.isin(*fixed.TOPIC_STOP)
     words = F.slice(F.filter(tx.tokens(F.col("text")), long), 1, 3)
     sig = F.array_join(F.array_sort(words), " ")
-    n = table(s, d, "conversations").where("role = 'user'").where(F.size(words) > 0).groupBy(sig.alias("topic")).agg(F.count(F.lit(1)).alias("n"))
+    n = table(s, d, "documents").where(F.size(words) > 0).groupBy(sig.alias("topic")).agg(F.count(F.lit(1)).alias("n"))
     return n.orderBy(F.desc("n"), "topic").limit(10).where("n >= 3")
 
 
@@ -107,10 +108,29 @@ def backlog_bands(s, d):
     return table(s, d, "orders").groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
+KINDS = {"signup": "enqueued", "click": "leased", "view": "released", "error": "failed"}
+
+
+def _tasks(s, d) -> DataFrame:
+    """Users as tasks, their events as what happened to them."""
+    kind = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[F.col("event_type")]
+    log = _events(s, d).select(F.col("user_id").alias("id"), F.coalesce(kind, F.lit("noted")).alias("kind"), "ts", F.lit("query").alias("type"))
+    return qu.state(log.withColumnRenamed("ts", "at").withColumn("payload", F.lit(None).cast("map<string,string>")))
+
+
+def queue_fold(s, d):
+    """Each task's state from its log."""
+    return _tasks(s, d).select("id", "enqueued_at", F.col("attempts").cast("long").alias("attempts"), "last_attempt_at", "leased_at")
+
+
 def queue_eligible(s, d):
-    """The first 500 tasks by id, then those with attempts left and the back-off over: the order matters."""
-    first = _events(s, d).orderBy("event_id").limit(500)
-    return first.where((F.col("event_id") % 7 < 5) & ((F.col("value") < 1) | (F.col("user_id") % 2 == 0))).select("event_id")
+    """The oldest 500 free tasks with their verdict: the order matters, skipped ones use up their places."""
+    return qu.turn(_tasks(s, d), QUEUE_NOW, 500).withColumn("verdict", qu.verdict(QUEUE_NOW, 45, 4 * 86400)).select("id", "verdict")
+
+
+def stale_leases(s, d):
+    """Tasks held for longer than a lease lasts."""
+    return qu.stale_leases(_tasks(s, d), QUEUE_NOW).select("id", "kind")
 
 
 def queue_status(s, d):
@@ -162,8 +182,11 @@ def page_upsert(s, d):
 
 
 def mark_superseded(s, d):
-    newer = table(s, d, "documents").groupBy("text").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return table(s, d, "documents").join(newer, "text").where("doc_id < top").select("doc_id", F.col("top").alias("superseded_by"))
+    """Documents that a later one of the same text replaces. Texts meet by two hashes and their length, 24 bytes each."""
+    same = [F.xxhash64("text").alias("h"), F.crc32(F.encode("text", "UTF-8")).alias("c"), F.length("text").alias("n")]
+    rows = table(s, d, "documents").where("text IS NOT NULL").select("doc_id", *same)
+    newer = rows.groupBy("h", "c", "n").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    return rows.join(newer, ["h", "c", "n"]).where("doc_id < top").select("doc_id", F.col("top").alias("superseded_by"))
 
 
 def newest_entries(s, d):
@@ -179,8 +202,8 @@ def first_per_type(s, d):
 
 
 def manifest_diff(s, d):
-    """Keys that only the customers or only the orders' customers have: a rebuild is due if there is any."""
-    have, listed = table(s, d, "customer").select(F.col("c_custkey").alias("key")), table(s, d, "orders").select(F.col("o_custkey").alias("key")).distinct()
+    """Ids that only the documents or only the manifest, their labels, have: a rebuild is due if there is any."""
+    have, listed = table(s, d, "documents").select(F.col("doc_id").alias("key")).distinct(), table(s, d, "labels").select(F.col("doc_id").alias("key")).distinct()
     gone = have.exceptAll(listed).withColumn("side", F.lit("unlisted"))
     return gone.unionByName(listed.exceptAll(have).withColumn("side", F.lit("missing")))
 
@@ -211,11 +234,12 @@ def stream_session_window(s, d):
 
 
 def stream_day_bucket(s, d):
-    return capture.run_once(capture.day_buckets(capture.event_stream(s, d)), "complete").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    return capture.run_once(capture.day_buckets(capture.event_stream(s, d))).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 def stream_heartbeat(s, d):
-    return capture.run_once(capture.latest_state(capture.event_stream(s, d)), "complete").select("user_id", "event_id", "event_type")
+    changes = capture.run_once(capture.latest_state(capture.event_stream(s, d)), "update")
+    return ac.latest(changes, ["user_id"], ["ts", "event_id"], ["event_type"]).select("user_id", "event_id", "event_type")
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_")}
@@ -231,6 +255,9 @@ r AS (SELECT {keys}, event_id, k, tm AS last, true AS kept FROM e WHERE k = 1
 SELECT {keys}, event_id FROM r WHERE kept"""
 
 
+_FOLD = """WITH g AS (SELECT user_id AS id, min(ts) FILTER (event_type = 'signup') AS enqueued_at, count(*) FILTER (event_type = 'error') AS attempts, max(ts) FILTER (event_type = 'error') AS last_attempt_at,
+  max(ts) FILTER (event_type = 'click') AS leased, max(ts) FILTER (event_type IN ('view', 'error')) AS freed FROM events GROUP BY user_id),
+f AS (SELECT *, CASE WHEN freed IS NULL OR leased > freed THEN leased END AS leased_at FROM g)"""
 _DAY = "strftime(ts, '%Y-%m-%d')"
 _LATEST = "SELECT * FROM (SELECT user_id, {0}event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1"
 ORACLE_SQL = {
@@ -241,7 +268,7 @@ WHERE ts <= '1996-06-30' AND (valid_to = 'none' OR valid_to >= '1996-06-30')""",
     "task_conflicts": """WITH w AS (SELECT p_partkey AS id, p_brand AS br, unnest(list_filter(list_distinct(string_split(lower(p_name), ' ')), lambda x: x <> '' AND x NOT IN """ + _in(fixed.TASK_STOP) + """)) AS w FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1))
 SELECT x.id AS a, y.id AS b, count(*) AS shared FROM w x JOIN w y ON x.w = y.w AND x.id < y.id WHERE x.br <> y.br GROUP BY 1, 2 HAVING count(*) >= 2""",
     "edit_loops": f"SELECT user_id, event_type, {_DAY} AS day, count(*) AS n FROM events GROUP BY 1, 2, 3 HAVING count(*) >= 3",
-    "topic_loops": r"""WITH t AS (SELECT list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '\p{L}{5,}') AND x NOT IN """ + _in(fixed.TOPIC_STOP) + """)[1:3] AS w FROM conversations WHERE role = 'user')
+    "topic_loops": r"""WITH t AS (SELECT list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '\p{L}{5,}') AND x NOT IN """ + _in(fixed.TOPIC_STOP) + """)[1:3] AS w FROM documents)
 SELECT * FROM (SELECT array_to_string(list_sort(w), ' ') AS topic, count(*) AS n FROM t WHERE len(w) > 0 GROUP BY 1 ORDER BY n DESC, topic LIMIT 10) WHERE n >= 3""",
     "cooldown_60s": _cool_sql(60), "cooldown_1h": _cool_sql(3600), "cooldown_6h": _cool_sql(6 * 3600), "stream_cooldown": _cool_sql(6 * 3600),
     "spawn_gate": _cool_sql(900, "user_id", "event_type = 'purchase' AND hour(ts) >= 18"),
@@ -256,7 +283,11 @@ s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNB
     "stale_by_type": f"""SELECT o_orderkey, o_orderpriority, limit_days FROM (SELECT o_orderkey, o_orderpriority, CASE o_orderpriority WHEN '1-URGENT' THEN 60 WHEN '2-HIGH' THEN 90 WHEN '3-MEDIUM' THEN 365 WHEN '5-LOW' THEN NULL ELSE 180 END AS limit_days, o_orderdate FROM orders)
 WHERE date_diff('day', o_orderdate::DATE, DATE '{NOW}') > limit_days""",
     "backlog_bands": f"SELECT CASE WHEN a <= 0 THEN 'today' WHEN a <= 3 THEN 'recent' WHEN a <= 14 THEN 'fortnight' ELSE 'old' END AS band, count(*) AS n FROM (SELECT date_diff('day', o_orderdate::DATE, DATE '{NOW}') AS a FROM orders) GROUP BY 1",
-    "queue_eligible": "SELECT event_id FROM (SELECT * FROM events ORDER BY event_id LIMIT 500) WHERE event_id % 7 < 5 AND (value < 1 OR user_id % 2 = 0)",
+    "queue_fold": f"{_FOLD} SELECT id, enqueued_at, attempts, last_attempt_at, leased_at FROM f",
+    "queue_eligible": f"{_FOLD} SELECT id, CASE WHEN attempts >= 45 OR epoch(TIMESTAMP '{QUEUE_NOW}') - epoch(last_attempt_at) < 345600 THEN 'skip' ELSE 'take' END AS verdict FROM (SELECT * FROM f WHERE leased_at IS NULL ORDER BY id LIMIT 500)",
+    "stale_leases": f"{_FOLD} SELECT id, 'released' AS kind FROM f WHERE leased_at IS NOT NULL AND epoch(TIMESTAMP '{QUEUE_NOW}') - epoch(leased_at) > 600",
+    "stream_session_window": """WITH e AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 6 HOUR AS ended, count(*) AS n FROM s GROUP BY user_id, k""",
     "queue_status": "SELECT coalesce(o_orderstatus, 'total') AS status, count(*) AS n, count(*) FILTER (o_totalprice > 300000) AS n_failed FROM orders GROUP BY ROLLUP (o_orderstatus)",
     "timeline": """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at, 'event' AS kind, event_id AS id, CASE WHEN regexp_matches(event_type, '(?i)click') THEN 'A' WHEN regexp_matches(event_type, '(?i)purchase') THEN 'B' ELSE 'unknown' END AS agent FROM events
 UNION ALL SELECT strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S'), 'order', o_orderkey, 'unknown' FROM orders""",
@@ -266,11 +297,11 @@ UNION ALL SELECT strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S'), 'order', o_orderkey
     "inventory": " UNION ALL ".join(f"SELECT '{n}' AS kind, count(*) AS n FROM {n}" for n in ("documents", "pages", "events", "conversations", "embeddings", "labels", "benchmark")),
     "page_upsert": """WITH n AS (SELECT doc_id + CASE WHEN doc_id % 10 = 0 THEN 1000000 ELSE 0 END AS doc_id, n_chars + 1 AS new FROM documents WHERE doc_id % 5 = 0)
 SELECT coalesce(b.doc_id, n.doc_id) AS doc_id, coalesce(new, n_chars) AS n_chars, CASE WHEN b.doc_id IS NULL THEN 'created' WHEN n.doc_id IS NULL THEN 'kept' ELSE 'updated' END AS action FROM documents b FULL JOIN n ON b.doc_id = n.doc_id""",
-    "mark_superseded": "SELECT * FROM (SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS superseded_by FROM documents) WHERE doc_id < superseded_by",
+    "mark_superseded": "SELECT * FROM (SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS superseded_by FROM documents WHERE text IS NOT NULL) WHERE doc_id < superseded_by",
     "newest_entries": f"SELECT user_id, event_id FROM (SELECT *, ts FROM ({_LATEST.format('ts, ')}) ORDER BY ts DESC, event_id DESC LIMIT 50)",
     "first_per_type": "SELECT * FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS place FROM part) WHERE place <= 5",
-    "manifest_diff": """SELECT c_custkey AS key, 'unlisted' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
-UNION ALL SELECT DISTINCT o_custkey, 'missing' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""",
+    "manifest_diff": """SELECT doc_id AS key, 'unlisted' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT doc_id, 'missing' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
     "active_agents": f"SELECT {_DAY} AS day, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1",
     "audit_totals": "SELECT count(*) FILTER (l_returnflag = 'A') AS verified, count(*) FILTER (l_returnflag = 'R') AS failed, count(*) FILTER (l_returnflag = 'N') AS pending, count(*) AS total FROM lineitem",
     "reply_tiers": """SELECT CASE WHEN t = '' OR starts_with(t, '(summary failed') OR starts_with(t, '{"operations"') OR starts_with(t, '{"audit"') THEN 'ok' ELSE 'minor' END AS tier, count(*) AS n

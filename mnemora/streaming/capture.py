@@ -1,11 +1,12 @@
 """Capture streams: stateful cooldown, session windows, day buckets, latest state.
 
 Event time is the events' own ``ts``; batch twins are in ``operators.activity``.
+A stream that is run to its end is closed by a marker far in the future, so
+that the watermark passes every event and nothing stays open.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,34 +15,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: A key's state is its last kept time; idle keys expire.
-COOLDOWN_TTL_MS = 4 * 60 * 60 * 1000
+from mnemora.sources.scratch import root
 
+END = "2200-01-01 00:00:00"
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a file stream, ts as a timestamp."""
+
+def event_stream(spark: SparkSession, sf_dir: str, closed: bool = True) -> DataFrame:
+    """The events table as a file stream, ts as a timestamp; ``closed`` by a marker without an id."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    if not closed:
+        return rows
+    path = f"{root(spark)}/mnemora-end-{uuid.uuid4().hex}"
+    end = spark.range(1).select(*[(F.lit(END).cast("timestamp") if c == "ts" else F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in rows.columns])
+    end.write.parquet(path)
+    return rows.unionByName(spark.readStream.schema(end.schema).parquet(path))
+
 
+def cooldown_stream(events: DataFrame, seconds: float, late: str = "1 hour") -> DataFrame:
+    """(user_id, event_type, event_id, at): kept events, per key no other kept one under ``seconds`` before.
 
-def cooldown_stream(events: DataFrame, seconds: float) -> DataFrame:
-    """(user_id, event_type, event_id, at): kept events, per key no other kept one under ``seconds`` before."""
+    Events wait in their key's state until the watermark has passed them, so
+    that they are judged in the order of their time however late they come
+    (within ``late``); the state ends when nothing waits and the last kept
+    event's ``seconds`` are over.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
-        kept = []
-        for at, event_id in zip(rows["at"], rows["event_id"], strict=True):
+        last, waiting = None, []
+        if state.exists:
+            last, at, ids = state.get
+            waiting = list(zip(at, ids, strict=True))
+        for frame in frames:
+            rows = frame[frame["event_id"].notna()]  # the marker only moves the watermark
+            waiting += zip(rows["at"], rows["event_id"], strict=True)
+        waiting.sort()
+        now, kept, done = state.getCurrentWatermarkMs() / 1000, [], 0
+        for at, event_id in waiting:
+            if at > now:
+                break
+            done += 1
             if last is None or at - last >= seconds:
                 last = at
-                kept.append((key[0], key[1], event_id, at))
-        state.update((last,))
+                kept.append((key[0], key[1], int(event_id), float(at)))
+        waiting = waiting[done:]
+        if waiting or (last is not None and last + seconds > now):
+            state.update((last, [float(a) for a, _ in waiting], [int(i) for _, i in waiting]))
+            due = waiting[0][0] if waiting else last + seconds
+            state.setTimeoutTimestamp(int(max(due, now) * 1000) + 1)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(kept, columns=["user_id", "event_type", "event_id", "at"])
 
-    rows = events.select("user_id", "event_type", "event_id", F.col("ts").cast("double").alias("at"))
+    rows = events.withWatermark("ts", late).select("user_id", "event_type", "event_id", "ts", F.col("ts").cast("double").alias("at"))
     return rows.groupBy("user_id", "event_type").applyInPandasWithState(
-        step, "user_id long, event_type string, event_id long, at double", "last double", "append", GroupStateTimeout.NoTimeout
+        step, "user_id long, event_type string, event_id long, at double", "last double, at array<double>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -59,19 +88,25 @@ def day_buckets(events: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def latest_state(events: DataFrame) -> DataFrame:
-    return events.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("r")).select("user_id", "r.ts", "r.event_id", "r.event_type")
+    rows = events.where("user_id is not null")
+    return rows.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("r")).select("user_id", "r.ts", "r.event_id", "r.event_type")
 
 
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run all available input through ``stream`` into a memory table and return it."""
-    spark, name = stream.sparkSession, f"s_{uuid.uuid4().hex}"
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mnemora-")
-    query = (
-        stream.writeStream.format("memory").queryName(name).outputMode(mode)
-        .option("checkpointLocation", f"{root.rstrip('/')}/{name}").trigger(availableNow=True).start()
-    )
+    """Run all available input through ``stream`` into files of the shared folder, one set a micro-batch, and read them.
+
+    A batch that runs again replaces its own files. In update mode a key has a
+    row for each batch that changed it.
+    """
+    spark = stream.sparkSession
+    path = f"{root(spark)}/mnemora-stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/out").select(*stream.columns)
 
 
 def upsert_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
