@@ -67,8 +67,10 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def release(df: DataFrame) -> None:
-    """Delete the files of a materialised table that nothing reads any more."""
-    _remove(df.sparkSession, df.scratch_path)
+    """Delete the files of a materialised table that nothing reads any more; other tables have none."""
+    path = getattr(df, "scratch_path", None)
+    if path is not None:
+        _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

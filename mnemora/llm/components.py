@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import hot_keys, join_split, materialise, release
+from mnemora.llm.common import materialise, release
 
 
-def _order(node: str, degree: str, number: int) -> F.Column:
+def _order(node: str, degree: str, number: int) -> Column:
     """Nodes of more links come first, equal ones by a hash that each round draws anew."""
     return F.struct((-F.col(degree)).alias("d"), F.xxhash64(F.col(node), F.lit(number)).alias("h"), F.col(node).alias("node"))
 
 
-def _follow(rows: DataFrame, to: DataFrame, total: int) -> DataFrame:
-    """``rows`` (node, up) with each up replaced by where ``to`` (node, up) leads from it; ups of very many nodes are dealt over tasks."""
-    hot = hot_keys(rows.groupBy("up").agg(F.count(F.lit(1)).alias("n")), ["up"], total)
+def _follow(rows: DataFrame, to: DataFrame) -> DataFrame:
+    """``rows`` (node, up) with ``next``: where ``to`` (node, up) leads from up."""
     step = to.select(F.col("node").alias("up"), F.col("up").alias("next"))
-    return join_split(rows, step, ["up"], hot, "node", "left").select("node", "up", F.coalesce("next", "up").alias("next"))
+    return rows.join(step, "up", "left").select("node", "up", F.coalesce("next", "up").alias("next"))
 
 
 def _hooks(edges: DataFrame, number: int) -> DataFrame:
@@ -27,16 +26,13 @@ def _hooks(edges: DataFrame, number: int) -> DataFrame:
     known = both.join(degree.select(F.col("a").alias("b"), F.col("degree").alias("deg_b")), "b")
     first = known.groupBy("a").agg(F.min(_order("b", "deg_b", number)).alias("best")).join(degree, "a")
     up = F.when(F.col("best") < _order("a", "degree", number), F.col("best.node")).otherwise(F.col("a"))
-    hook = materialise(first.select(F.col("a").alias("node"), up.alias("up")))
-    total = hook.count()
+    made = materialise(first.select(F.col("a").alias("node"), up.alias("up")))
+    release(degree)
     while True:  # pointer jumping: paths halve
-        made = materialise(_follow(hook, hook, total))
-        release(hook)
-        hook = made.select("node", F.col("next").alias("up"))
-        hook.scratch_path = made.scratch_path
+        before, made = made, materialise(_follow(made.select("node", F.col(made.columns[-1]).alias("up")), made.select("node", F.col(made.columns[-1]).alias("up"))))
+        release(before)
         if made.where("up <> next").isEmpty():
-            release(degree)
-            return hook
+            return made
 
 
 def contract(edges: DataFrame) -> list[DataFrame]:
@@ -46,13 +42,12 @@ def contract(edges: DataFrame) -> list[DataFrame]:
     while not edges.isEmpty():
         hook = _hooks(edges, len(maps))
         maps.append(hook)
-        total, moved = edges.count(), edges
-        for c in ("a", "b"):
-            hot = hot_keys(moved.groupBy(c).agg(F.count(F.lit(1)).alias("n")), [c], total)
-            moved = join_split(moved, hook.select(F.col("node").alias(c), F.col("up").alias(f"u{c}")), [c], hot, "b" if c == "a" else "a")
-        moved = materialise(moved.where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
-        release(edges)
-        edges = moved
+        left = hook.select(F.col("node").alias("a"), F.col("up").alias("ua"))
+        right = hook.select(F.col("node").alias("b"), F.col("up").alias("ub"))
+        moved = edges.join(left, "a").join(right, "b").where("ua <> ub")
+        before, edges = edges, materialise(moved.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
+        release(before)
+    release(edges)
     return maps
 
 
@@ -63,16 +58,18 @@ def components(edges: DataFrame) -> DataFrame:
     random order), pointer jumping makes the trees flat, and the edges contract
     onto the roots. A root has at least as many links as its neighbours, so at
     most half of the nodes are roots: the rounds are logarithmic, and so are the
-    jumps of a round. Rows of a hub are pre-aggregated or dealt over tasks; no
-    group is collected.
+    jumps of a round. Rows are two or three numbers; a hub's are pre-aggregated,
+    and where they are joined, adaptive execution broadcasts a small side and
+    splits a skewed partition of a large one. No group is collected.
     """
     maps = contract(edges)
     if not maps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).limit(0)
-    made = maps[-1]
+        return edges.sparkSession.createDataFrame([], edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).schema)
+    made = maps[-1].select("node", "up")
     for step in reversed(maps[:-1]):  # from the smallest forest to the whole one
-        made = _follow(step, made, step.count()).select("node", F.col("next").alias("up"))
-    made = materialise(made)
-    roots = made.groupBy("up").agg(F.min("node").alias("comp"), F.count(F.lit(1)).alias("n"))
-    hot = hot_keys(roots, ["up"], made.count())
-    return materialise(join_split(made, roots.drop("n"), ["up"], hot, "node").select("node", "comp"))
+        made = _follow(step.select("node", "up"), made).select("node", F.col("next").alias("up"))
+    roots = made.groupBy("up").agg(F.min("node").alias("comp"))
+    named = materialise(made.join(roots, "up").select("node", "comp"))
+    for step in maps:
+        release(step)
+    return named

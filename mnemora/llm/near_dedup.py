@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import hot_keys, join_split, materialise, table
+from mnemora.llm.common import hot_keys, join_split, materialise, release, table
 from mnemora.llm.components import components
 from mnemora.llm.shingles import digest, mix64, shingle_set
 
@@ -123,7 +123,8 @@ def _beside(pairs: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
     total, made = pairs.count(), pairs
     for c, other in (("a", "b"), ("b", "a")):
         hot = hot_keys(pairs.groupBy(c).agg(F.count(F.lit(1)).alias("n")), [c], total)
-        made = join_split(made, nodes.select(F.col("node").alias(c), F.col(value).alias(f"{value}_{c}")), [c], hot, other)
+        # texts and signatures of near copies are far larger than their files, so they are never broadcast
+        made = join_split(made, nodes.select(F.col("node").alias(c), F.col(value).alias(f"{value}_{c}")).hint("merge"), [c], hot, other)
     return made.select("a", "b", f"{value}_a", f"{value}_b")
 
 
@@ -136,11 +137,13 @@ def _prune(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             if batch.num_rows:
                 yield batch.select([0, 1]).filter(pa.array(posterior_keep(_matrix(batch.column(2)), _matrix(batch.column(3)), steps)))
 
-    return materialise(_beside(pairs, reps, "sig").mapInArrow(prune, "a long, b long"))
+    made = materialise(_beside(pairs, reps, "sig").mapInArrow(prune, "a long, b long"))
+    release(pairs)
+    return made
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of the written pairs (a, b) those that the full shingle sets confirm."""
+    """Of the written pairs (a, b) those that the full shingle sets confirm, written."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
@@ -156,7 +159,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * inter >= percent * (len(both) - inter))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return _beside(pairs, texts, "text").mapInArrow(verify, "a long, b long")
+    made = materialise(_beside(pairs, texts, "text").mapInArrow(verify, "a long, b long"))
+    release(pairs)
+    return made
 
 
 def _blocks(percent: int):
@@ -232,39 +237,57 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     hubs = banded.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("hub"), F.min("node").alias("lo"), F.max("node").alias("hi"), many).where("lo <> hi").select("key", "hub", "n")
     shared = materialise(join_split(banded, hubs.drop("n"), ["key"], hot_keys(hubs, ["key"], banded.count()), "node"))  # buckets of two classes at least
+    release(banded)
     stars = materialise(shared.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
     in_buckets = materialise(shared.select("node").distinct())
     signs = materialise(reps.join(in_buckets, "node", "left_semi").select("node", "sig"))
+    release(signed)
     bodies = materialise(texts.withColumnRenamed("doc_id", "node").join(in_buckets, "node", "left_semi"))
+    release(in_buckets)
 
-    links = materialise(_verify(_prune(stars, signs, percent), bodies, percent))
-    tagged = shared.select("key", "band", "node")
+    links = _verify(_prune(stars, signs, percent), bodies, percent)
+    tagged, n_shared = shared.select("key", "band", "node"), shared.count()
+    old = [shared]
     for again in range(STAR_ROUNDS):
         comps = components(links)
         tagged = tagged.join(comps, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp"))
         still = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), many).where("lo <> hi").select("key", "n")
-        tagged = materialise(join_split(tagged, still, ["key"], hot_keys(still, ["key"], shared.count()), "node"))
+        tagged = materialise(join_split(tagged, still, ["key"], hot_keys(still, ["key"], n_shared), "node"))
+        for done in old:
+            release(done)
         if again == STAR_ROUNDS - 1:
             break
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
         ranked = tagged.join(degree, "node", "left").select("key", "node", "comp", F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("node", "key", F.lit(again))).alias("order"))
-        hubs = ranked.groupBy("key").agg(F.max_by(F.struct("node", "comp"), "order").alias("hub"))
-        meet = join_split(tagged, hubs, ["key"], hot_keys(tagged.select("key", "n"), ["key"], tagged.count()), "node").where(F.col("comp") != F.col("hub.comp"))
-        more = _prune(materialise(meet.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()), signs, percent)
-        links = materialise(links.unionByName(_verify(more, bodies, percent)))
+        hubs = ranked.groupBy("key").agg(F.max_by(F.struct("node", "comp"), "order").alias("hub"), many)
+        meet = join_split(tagged.drop("n"), hubs.drop("n"), ["key"], hot_keys(hubs, ["key"], n_shared), "node").where(F.col("comp") != F.col("hub.comp"))
+        pairs = materialise(meet.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
+        found = _verify(_prune(pairs, signs, percent), bodies, percent)
+        before, links = links, materialise(links.unionByName(found))
+        release(before)
+        release(found)
+        old = [tagged, comps]
         tagged = tagged.select("key", "band", "node")
+    release(signs)
+    release(links)
 
     rest = tagged.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     rest = rest.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    wide = bodies.join(tagged.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_sign_wide, "node long, sig binary")
-    rest = rest.join(wide, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    wide = materialise(bodies.join(tagged.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_sign_wide, "node long, sig binary"))
+    rest = rest.join(wide.hint("merge"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = rest.select(
         "key", F.least("mine", "other").cast("long").alias("lo"), F.greatest("mine", "other").cast("long").alias("hi"), "band", "node", "comp", F.col("mine").cast("long").alias("mine"), "sig"
     )
     units = units.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
-    more = materialise(_verify(materialise(units.mapInArrow(_blocks(percent), "a long, b long").distinct()), bodies, percent))
+    pairs = materialise(units.mapInArrow(_blocks(percent), "a long, b long").distinct())
+    release(wide)
+    release(tagged)
+    more = _verify(pairs, bodies, percent)
+    release(bodies)
     if not more.isEmpty():
-        comps = components(more.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+        before, comps = comps, components(more.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+        release(before)
+    release(more)
     hot = hot_keys(members.where("class_id is not null").groupBy("class_id").agg(many), ["class_id"], members.count())
     named = join_split(members, comps.withColumnRenamed("node", "class_id"), ["class_id"], hot, "doc_id", "left")
     component = F.coalesce("comp", "class_id")
