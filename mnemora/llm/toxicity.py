@@ -15,8 +15,9 @@ alphabet while its counts cover every row. The classifier learns from at most
 ``training.MAX_TRAIN`` labelled rows of each label outside the held-out fold.
 
 Null and empty texts get the model's score of no words at all. Spans of any
-length are decoded, in time linear in the span. A table without both labels scores everything 0. Every row gives one row; repeated rows
-repeat; extra columns are ignored.
+length are decoded, in time linear in the span. A table without both labels
+scores everything 0. Every row gives one row; repeated rows repeat, rows without
+an id are scored but never learned from; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import crc_fold, table
+from mnemora.llm.common import crc_fold, materialise, release, table
 from mnemora.llm.training import labelled_sample, with_text
 
 THRESHOLD, BITS, CACHE, CACHED_SPAN = 0.5, 18, 500_000, 80
@@ -263,20 +264,20 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def learn(rows: list[np.ndarray], y: np.ndarray, rounds: int = 300, rate: float = 0.3, sparse: float = 1e-3, least: int = 3, lift: float = 1.5) -> tuple[np.ndarray, float]:
-    """Logistic regression on feature counts, by Adagrad with soft thresholds (L1).
+def screen(n: np.ndarray, docs: np.ndarray, least: int = 3, lift: float = 1.5) -> np.ndarray:
+    """Which features are learned from, by the documents of either label (``docs``) that have them (``n``, a row a label).
 
-    Features in under ``least`` documents, or with rates in the two classes closer than ``lift`` times, are left out.
+    Those in under ``least`` documents, or with rates closer than ``lift`` times, are left out.
     """
+    ratio = (n[1] + 0.5) / (n[0] + 0.5) * (docs[0] / max(docs[1], 1))
+    return (n[0] + n[1] >= least) & ((ratio > lift) | (ratio < 1 / lift))
+
+
+def learn(rows: list[np.ndarray], y: np.ndarray, rounds: int = 300, rate: float = 0.3, sparse: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Logistic regression on feature counts, by Adagrad with soft thresholds (L1)."""
     w, b = np.zeros(BUCKETS, np.float32), 0.0
     if not len(rows) or y.min() == y.max():
         return w, -60.0
-    n = np.zeros((2, BUCKETS), np.int32)
-    for r, c in zip(rows, y, strict=True):  # one document at a time: the features that are left out never stand side by side
-        n[int(c), np.unique(r)] += 1
-    ratio = (n[1] + 0.5) / (n[0] + 0.5) * ((y == 0).sum() / (y == 1).sum())
-    live = (n[0] + n[1] >= least) & ((ratio > lift) | (ratio < 1 / lift))
-    rows = [r[live[r]] for r in rows]
     doc, key = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows]), np.concatenate(rows)
     names, key = np.unique(key, return_inverse=True)
     v, share = np.zeros(len(names)), np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
@@ -295,7 +296,17 @@ def learn(rows: list[np.ndarray], y: np.ndarray, rounds: int = 300, rate: float
     return w, float(b)
 
 
+def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros((2, BUCKETS), np.int64)
+    for batch in batches:
+        for y, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            n[y, np.unique(np.frombuffer(x, np.int32))] += 1
+    at = np.flatnonzero(n.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[0, at], pa.int64()), pa.array(n[1, at], pa.int64())], ["k", "n0", "n1"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, chars: CharModel) -> ToxicityModel:
+    """Features are made and counted in the executors; the driver gets ``BUCKETS`` counts at most, then the features that pass the screen."""
     sample = with_text(docs, labelled_sample(labels, "toxic")).select("doc_id", "y", "text")
     sent = docs.sparkSession.sparkContext.broadcast(chars)
 
@@ -303,12 +314,24 @@ def fit(docs: DataFrame, labels: DataFrame, chars: CharModel) -> ToxicityModel:
         restorer = Restorer(sent.value.log)
         for batch in batches:
             x = []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 words = restorer.words(t.as_py())
                 x.append(np.array([k for w in words for k in word_features(w)], np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["doc_id", "y", "x"])
+
+    made = materialise(sample.mapInArrow(extract, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x binary"))
+    per = made.select("y", "x").mapInArrow(_count_features, "k int, n0 long, n1 long").groupBy("k").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
+    totals, n = {r["y"]: r["n"] for r in made.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}, np.zeros((2, BUCKETS), np.int64)
+    n[:, per.k.to_numpy(np.int64)] = np.stack([per.n0, per.n1]) if len(per) else np.zeros((2, 0), np.int64)
+    live = docs.sparkSession.sparkContext.broadcast(screen(n, np.array([totals.get(0, 0), totals.get(1, 0)])))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.frombuffer(x, np.int32) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[live.value[r]].tobytes() for r in rows], pa.binary())], ["doc_id", "y", "x"])
 
-    got = sample.orderBy("doc_id").select("y", "text").mapInArrow(extract, "y int, x binary").toPandas()
+    got = made.mapInArrow(kept, made.schema).orderBy("doc_id").select("y", "x").toPandas()
+    release(made)
     weights, bias = learn([np.frombuffer(b, np.int32) for b in got.x], got.y.to_numpy(np.int64) if len(got) else np.zeros(0))
     return ToxicityModel(chars.log, {int(k): float(weights[k]) for k in np.flatnonzero(weights)}, bias)
 
