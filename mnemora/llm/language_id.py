@@ -4,13 +4,17 @@ Subwords are byte 3- and 4-grams of the text (A-Z lowered, runs of other ASCII
 as word borders), hashed to ``BUCKETS``. A document is the average of its
 subwords' embeddings; a linear softmax over it predicts the language. Both are
 trained by stochastic gradient descent in numpy, and a temperature, fitted on a
-part of the sample that the descent doesn't see, calibrates the confidence.
-``reject_below`` marks predictions under that confidence as rejected.
+part of the sample that the descent doesn't see, calibrates the confidence. The
+same part sets the rejection level: the lowest confidence above which at least
+``PRECISION`` of its predictions are right. Predictions under it are marked as
+rejected.
 
 Null texts and texts without a letter are ``und`` with score 0. Rows without a
 label teach nothing; with no labels at all everything is ``und``. Every row
 gives one row; extra columns are ignored. At most ``MAX_PER_LANG`` documents a
-language (expected, by a hash of doc_id) are learned from, whole texts.
+language (expected, by a hash of doc_id) are learned from, whole texts; should
+the hash give more than 1.2 times as many, the last by that hash stay out. The
+model has ``BUCKETS`` numbers a language, 128 KiB.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 from mnemora.llm.common import checked_broadcast, crc_fold, table
 
-BITS, DIM, MAX_PER_LANG = 15, 16, 1500
+BITS, DIM, MAX_PER_LANG, PRECISION = 15, 16, 1500, 0.99
 BUCKETS, _STEP = 1 << BITS, 1 << 18
 _LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -61,8 +65,8 @@ def subwords(raw: bytes) -> Iterator[np.ndarray]:
 
 
 class LanguageModel:
-    def __init__(self, langs: list[str], embed: np.ndarray, out: np.ndarray, bias: np.ndarray, temperature: float) -> None:
-        self.langs, self.logits, self.bias, self.temperature = langs, (embed @ out).astype(np.float32), bias, temperature
+    def __init__(self, langs: list[str], embed: np.ndarray, out: np.ndarray, bias: np.ndarray, temperature: float, reject_below: float = 0.0) -> None:
+        self.langs, self.logits, self.bias, self.temperature, self.reject_below = langs, (embed @ out).astype(np.float32), bias, temperature, reject_below
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs or not _LETTER.search(text):
@@ -114,7 +118,17 @@ def learn(rows: list[tuple[np.ndarray, np.ndarray]], y: list[str], epochs: int =
             bias -= 0.1 * lr * g.sum(axis=0)
     z = np.concatenate([_dense([rows[i] for i in held[at : at + 64]]) @ embed @ out for at in range(0, len(held), 64)]) + bias
     best = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=lambda t: _loss(z / t, target[held]))
-    return LanguageModel(langs, embed, out, bias, best)
+    return LanguageModel(langs, embed, out, bias, best, rejection_level(z / best, target[held]))
+
+
+def rejection_level(z: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
+    """The lowest confidence such that of the predictions at least as confident ``precision`` are right; 1 if there is none."""
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    top, right = p.max(axis=1), p.argmax(axis=1) == y
+    order = np.argsort(-top, kind="stable")
+    good = np.flatnonzero(np.cumsum(right[order]) / np.arange(1, len(y) + 1) >= precision)
+    return float(top[order[good[-1]]]) if len(good) else 1.0
 
 
 def _loss(z: np.ndarray, y: np.ndarray) -> float:
@@ -143,14 +157,15 @@ def fit(docs: DataFrame, per_lang: int = MAX_PER_LANG) -> LanguageModel:
     n_langs = max(per.count(), 1)
     sample = (
         rows.join(checked_broadcast(per, n_langs, 10_000), "lang").where(share < F.lit(float(per_lang)) / F.col("n"))
-        .orderBy("doc_id", "text").limit(int(1.2 * per_lang * n_langs)).select("lang", "text").mapInArrow(_extract, "lang string, k binary, n binary")
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(int(1.2 * per_lang * n_langs)).select("lang", "text").mapInArrow(_extract, "lang string, k binary, n binary")
     ).toPandas()
     pairs = [(np.frombuffer(k, np.uint16).astype(np.int64), np.frombuffer(n, np.float32)) for k, n in zip(sample.k, sample.n, strict=True)]
     return learn(pairs, list(sample.lang))
 
 
-def identify(docs: DataFrame, model: LanguageModel, reject_below: float = 0.0) -> DataFrame:
-    """doc_id, lang_pred, score, rejected for every row."""
+def identify(docs: DataFrame, model: LanguageModel, reject_below: float | None = None) -> DataFrame:
+    """doc_id, lang_pred, score, rejected for every row; ``reject_below`` is the model's own level where it isn't given."""
+    level = model.reject_below if reject_below is None else reject_below
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +176,7 @@ def identify(docs: DataFrame, model: LanguageModel, reject_below: float = 0.0) -
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
-    return made.withColumn("rejected", (F.col("score") < reject_below) | (F.col("lang_pred") == UNKNOWN))
+    return made.withColumn("rejected", (F.col("score") < level) | (F.col("lang_pred") == UNKNOWN))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
