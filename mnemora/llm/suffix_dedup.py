@@ -7,14 +7,17 @@
    its first ``SPAN`` words, so its head lies inside the passage.
 2. Sort: suffixes are range-partitioned and sorted by head, then by doc_id, so
    that a head that very many documents share is dealt over tasks.
-3. Compare neighbours: a suffix stays if a run of equal heads around it holds
-   two documents. Runs that touch the border of a partition may go on beyond it
-   and stay whole, so no twin is lost.
+3. Compare neighbours: a suffix stays if the run of equal heads around it holds
+   two documents.
 4. Extend: each suffix that stays is extended to the left and to the right to
    every stretch of MIN_WORDS words around it whose first minimiser it is.
-   Stretches that occur in two documents at least are repeated (a 96-bit
-   identity of their words); overlapping ones unite to the maximal passage.
-   Stretches that very many documents have are dealt over tasks.
+   Stretches are sorted and compared with their neighbours in the same way (by
+   a 96-bit identity of their words); those that two documents have are
+   repeated, and overlapping ones unite to the maximal passage.
+
+Both sorts split a run that very many documents share over partitions. Where a
+run may go on beyond its partition, its rows are settled by a table of the
+partitions' first and last runs, two rows a partition.
 
 Every word inside a passage of at least MIN_WORDS words that another document
 has is covered, however often it occurs; nothing is capped. Words are maximal
@@ -30,10 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import hot_keys, join_split, materialise, release, table
+from mnemora.llm.common import materialise, release, table
 from mnemora.llm.shingles import gram_hashes, word_hashes
 
 MIN_WORDS, SPAN, GRAM = 50, 36, 6
@@ -69,52 +74,59 @@ def suffixes(text: str | None, least: int = MIN_WORDS, span: int = SPAN) -> tupl
     return at, codes[at[:, None] + np.arange(size)].view(np.uint8)
 
 
-class Neighbours:
-    """Of rows (doc_id, pos, head) that come sorted by head and doc_id, keeps those in a run of equal heads with two documents.
+class Runs:
+    """Rows that come sorted by key and document, read run by run of equal keys.
 
-    The first and the last run of the rows stay whole. What waits for its run's second document is one document's.
+    ``feed`` gives (rows, first document of their run, whether the run may go on outside) for runs with two documents and
+    for the first run of all, ``last`` what may have its second document outside. Rows that wait for their run's second
+    document are one document's.
     """
 
     def __init__(self) -> None:
-        self.head: bytes | None = None
-        self.doc, self.open, self.waiting = None, True, []
-
-    def batch(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n = batch.num_rows
-        if not n:
-            return
-        heads = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, -1)
-        docs = batch.column(0).to_numpy(zero_copy_only=False)
-        first = heads[0].tobytes()
-        starts = np.concatenate([[0], np.flatnonzero((heads[1:] != heads[:-1]).any(axis=1)) + 1])
+        self.key, self.low, self.high, self.first, self.open = None, None, None, True, False
+        self.waiting: list[pa.RecordBatch] = []
+        self.ends: list[tuple[np.ndarray, int, int]] = []  # of the first and, at last, the last run: key, lowest and highest document
+
+    def feed(self, keys: np.ndarray, docs: np.ndarray, rows: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        n = len(docs)
+        starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
         ends = np.concatenate([starts[1:], [n]])
-        keep = np.repeat(docs[starts] != docs[ends - 1], ends - starts)
-        if first == self.head:  # the run goes on
-            if not self.open and (docs[0] != self.doc or docs[ends[0] - 1] != self.doc):
-                self.open = True
-            if self.open:
-                yield from self.waiting
-                self.waiting = []
-                keep[: ends[0]] = True
+        low, many = np.repeat(docs[starts], ends - starts), docs[starts] != docs[ends - 1]
+        goes_on = self.key is not None and bool((keys[0] == self.key).all())
+        if goes_on:
+            low[: ends[0]], many[0] = self.low, self.open or docs[ends[0] - 1] != self.low
+            if many[0]:
+                yield from self._held(False)
         else:
-            self.waiting = []
-            if self.head is None:  # the first run of all
-                keep[: ends[0]] = True
-                self.open = True
-            else:
-                self.open = bool(keep[0])
+            if self.key is not None and self.first:
+                self._end()
+            self.waiting, self.first = [], self.key is None
+        keep, outside = np.repeat(many, ends - starts), np.zeros(n, bool)
+        if self.first:
+            keep[: ends[0]] = outside[: ends[0]] = True
+            self.key, self.low, self.high = keys[ends[0] - 1], low[0], docs[ends[0] - 1]
         if len(starts) > 1:
-            self.waiting, self.open = [], bool(keep[starts[-1]])
-        self.head, self.doc = heads[-1].tobytes(), docs[-1]
-        if not self.open:
-            self.waiting.append(batch.slice(starts[-1]).select([0, 1]))
-            keep[starts[-1] :] = False
-        got = batch.select([0, 1]).filter(pa.array(keep))
-        if got.num_rows:
-            yield got
+            if self.first:
+                self._end()
+            self.waiting, self.first = [], False
+        self.key, self.low, self.high, self.open = keys[-1], low[-1], docs[-1], bool(many[-1])
+        if not self.open and not self.first:
+            self.waiting.append(rows.slice(starts[-1]))
+        if keep.any():
+            yield rows.filter(pa.array(keep)), low[keep], outside[keep]
+
+    def last(self) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        yield from self._held(True)
+        if self.key is not None:
+            self._end()
 
-    def last(self) -> Iterator[pa.RecordBatch]:
-        yield from self.waiting
+    def _held(self, outside: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        for rows in self.waiting:
+            yield rows, np.full(rows.num_rows, self.low, np.int64), np.full(rows.num_rows, outside)
+        self.waiting = []
+
+    def _end(self) -> None:
+        self.ends.append((self.key, int(self.low), int(self.high)))
 
 
 def stretches(text: str | None, seeds: np.ndarray, least: int = MIN_WORDS, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,10 +157,38 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, span: int = SPAN)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(where).astype(np.int32)), bodies], ["doc_id", "pos", "head"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = Neighbours()
+        runs = Runs()
+        for batch in batches:
+            if batch.num_rows:
+                heads = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                for rows, _, _ in runs.feed(heads, batch.column(0).to_numpy(), batch.select([0, 1])):
+                    yield rows
+        for rows, _, _ in runs.last():  # what may have a twin outside stays
+            yield rows
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """doc_id, start, low, and ``border`` where the run may go on outside: twice the partition's number, and one for its last run.
+
+        A row of each border has no doc_id, its run's key and highest document.
+        """
+        runs, names, first = Runs(), ["doc_id", "start", "low", "border", "high", "one", "two"], 2 * TaskContext.get().partitionId()
+
+        def made(rows: pa.RecordBatch, low: np.ndarray, outside: np.ndarray, border: int) -> pa.RecordBatch:
+            n = len(low)
+            at = pc.if_else(pa.array(outside), pa.scalar(border, pa.int32()), None)
+            return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("start"), pa.array(low), at, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names)
+
         for batch in batches:
-            yield from rows.batch(batch)
-        yield from rows.last()
+            if batch.num_rows:
+                keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("one", "two")], axis=1)
+                for got in runs.feed(keys, batch.column("doc_id").to_numpy(), batch):
+                    yield made(*got, first)
+        for got in runs.last():
+            yield made(*got, first + 1)
+        if runs.ends:
+            n, (key, low, high) = len(runs.ends), zip(*runs.ends, strict=True)
+            one, two = pa.array([int(k[0]) for k in key], pa.int64()), pa.array([int(k[1]) for k in key], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(low, pa.int64()), pa.array([first + i for i in range(n)], pa.int32()), pa.array(high, pa.int64()), one, two], names)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,10 +207,18 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, span: int = SPAN)
     found = materialise(array.mapInArrow(compare, "doc_id long, pos int").groupBy("doc_id").agg(F.collect_set("pos").alias("seeds")))
     release(seeds)
     parts = materialise(texts.join(found, "doc_id").select("doc_id", "text", "seeds").mapInArrow(extend, "doc_id long, start int, one long, two int"))
-    again = parts.groupBy("one", "two").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("first_doc_id <> hi").drop("hi")
-    shared = materialise(join_split(parts, again.drop("n"), ["one", "two"], hot_keys(again, ["one", "two"], parts.count()), "doc_id").select("doc_id", "start", "first_doc_id"))
+    order = parts.repartitionByRange("one", "two", "doc_id").sortWithinPartitions("one", "two", "doc_id")
+    shared = materialise(order.mapInArrow(match, "doc_id long, start int, low long, border int, high long, one long, two int"))
     release(parts)
-    hits = shared.repartition("doc_id").groupBy("doc_id", "start").agg(F.min("first_doc_id").alias("first_doc_id"))
+    ends, spans = shared.where("doc_id is null").collect(), {}  # two rows a partition
+    for r in ends:
+        low, high = spans.get((r.one, r.two), (r.low, r.high))
+        spans[r.one, r.two] = min(low, r.low), max(high, r.high)
+    first = [(r.border, spans[r.one, r.two][0]) for r in ends if len(set(spans[r.one, r.two])) > 1]
+    first = F.broadcast(docs.sparkSession.createDataFrame(first, "border int, first long"))
+    rows = shared.where("doc_id is not null").join(first, "border", "left")
+    hits = rows.select("doc_id", "start", F.when(F.col("border").isNull(), F.col("low")).otherwise(F.col("first")).alias("first_doc_id")).where("first_doc_id is not null")
+    hits = hits.repartition("doc_id").groupBy("doc_id", "start").agg(F.min("first_doc_id").alias("first_doc_id"))
     order = Window.partitionBy("doc_id").orderBy("start")
     fresh = (F.col("start") > F.lag("start").over(order) + least).cast("int")
     runs = hits.withColumn("run", F.sum(F.coalesce(fresh, F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
