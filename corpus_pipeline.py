@@ -48,8 +48,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mix_sources),
 ]
 
-#: The ranking of the first stage is learned, which SQL can't express; tests hold the exact stage against known ids and mix against
-#: its plan, of the others only that they keep columns and take rows away.
+#: The ranking of the first stage is learned, which SQL can't express; tests hold every stage against a brute-force version
+#: (the first against the scores of its own ranker).
 ORACLE_SQL = None
 
 
