@@ -107,15 +107,33 @@ SECRET_PATTERNS = (
     ("aws", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"),
     ("google", r"\bAIza[A-Za-z0-9_-]{35}"),
     ("key", r"\bsk-[A-Za-z0-9_-]{20,}"),
+    ("payment", r"\b[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
+    ("registry", r"\b(?:npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{32,})"),
+    ("url", r"\b[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]+@"),
     ("assigned", r"(?i)\b(?:api[_-]?key|token|secret|password|passwd)\b\s*[=:]\s*[\"']?[A-Za-z0-9+/_.-]{16,}[\"']?"),
 )
 
 
+#: A token of no known family is a secret from this entropy (bits a character) on, if it mixes digits, capitals and small letters.
+ENTROPY, TOKEN = 4.0, r"[A-Za-z0-9+/_=-]{20,}"
+
+
+def entropy(token: Column) -> Column:
+    """Shannon entropy of a token's characters, in bits."""
+    n = F.length(token)
+    share = lambda c: (n - F.length(F.replace(token, c, F.lit("")))) / n
+    parts = F.transform(F.array_distinct(F.filter(F.split(token, ""), lambda c: c != "")), lambda c: share(c) * F.log2(share(c)))
+    return F.round(-F.aggregate(F.array_sort(parts), F.lit(0.0), lambda a, x: a + x), 9)
+
+
 def redact(text: Column) -> Column:
-    """Secrets replaced by ``[REDACTED:family]``; prose and bare hexadecimal digests stay."""
+    """Secrets replaced by ``[REDACTED:family]``, first known families, then tokens of high entropy; prose and bare hexadecimal digests stay."""
     for name, pattern in SECRET_PATTERNS:
         text = F.regexp_replace(text, pattern, f"[REDACTED:{name}]")
-    return text
+    mixed = lambda t: t.rlike("[0-9]") & t.rlike("[A-Z]") & t.rlike("[a-z]")
+    odd = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))), lambda t: mixed(t) & (entropy(t) >= ENTROPY))
+    longest = F.array_sort(F.transform(odd, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
+    return F.aggregate(longest, text, lambda acc, x: F.replace(acc, x["t"], F.lit("[REDACTED:entropy]")))
 
 
 def feedback_family(text: Column) -> tuple[Column, Column]:

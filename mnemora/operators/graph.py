@@ -21,6 +21,11 @@ def graph_stats(edges: DataFrame) -> DataFrame:
     return degrees(edges).agg(F.count(F.lit(1)).alias("n_sources"), F.sum("out_degree").alias("n_edges"), F.round(F.avg("out_degree"), 4).alias("mean_degree"))
 
 
+def most_connected(edges: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` pages of most links out."""
+    return degrees(edges).orderBy(F.desc("out_degree"), "src").limit(n)
+
+
 def neighbour_boost(edges: DataFrame, seeds: DataFrame, weight: float = 0.15) -> DataFrame:
     """Each seed gives weight / (1 + 0.2 position) to its targets, positions by target; summed."""
     pos = F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1

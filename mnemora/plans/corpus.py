@@ -83,7 +83,8 @@ def feedback_classify(s, d):
 
 def redact_secrets(s, d):
     red = tx.redact(F.col("text"))
-    return _docs(s, d).select("doc_id", F.sha2(red, 256).alias("redacted_sha256"), (red != F.col("text")).alias("changed"))
+    rows = _docs(s, d).where("text IS NOT NULL").select("doc_id", "text", red.alias("red"))
+    return rows.select("doc_id", F.sha2("red", 256).alias("redacted_sha256"), (F.col("red") != F.col("text")).alias("changed"))
 
 
 def slugify(s, d):
@@ -218,10 +219,15 @@ _MARKS = "(" + " + ".join(f"(length(line) - length(replace(line, '{m}', ''))) /
 
 
 def _redact_sql() -> str:
-    out = "text"
+    """The redacted text as ``t``, of each document."""
+    out = "coalesce(text, '')"
     for name, pattern in tx.SECRET_PATTERNS:
         out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '[REDACTED:{name}]', 'g')"
-    return out
+    k = "(length(t) - length(replace(t, c, '')))::DOUBLE / length(t)"
+    bits = f"round(-list_sum(list_sort(list_transform(list_distinct(string_split(t, '')), lambda c: {k} * log2({k})))), 9)"
+    odd = f"list_filter(list_distinct(regexp_extract_all(t0, '{tx.TOKEN}')), lambda t: regexp_matches(t, '[0-9]') AND regexp_matches(t, '[A-Z]') AND regexp_matches(t, '[a-z]') AND {bits} >= {tx.ENTROPY})"
+    order = f"list_transform(list_sort(list_transform({odd}, lambda t: {{'n': -length(t), 't': t}})), lambda x: x.t)"
+    return f"SELECT doc_id, text, list_reduce(list_prepend(t0, {order}), lambda acc, x: replace(acc, x, '[REDACTED:entropy]')) AS t FROM (SELECT doc_id, text, {out} AS t0 FROM documents WHERE text IS NOT NULL)"
 
 
 ORACLE_SQL = {
@@ -230,7 +236,7 @@ ORACLE_SQL = {
     "lint_summary": "SELECT category, count(*) AS n, category <> 'drift' AS fails_gate FROM (" + " UNION ALL ".join(
         f"SELECT '{c}' AS category FROM ({q})" for c, q in (("sparse_pages", _SPARSE), ("broken_links", _BROKEN), ("missing_backlinks", _BACK), ("orphans", _ORPH), ("type_domain", _DOMAIN), ("temporal", _TEMP), ("drift", _DRIFT))) + ") GROUP BY category",
     "feedback_classify": f"SELECT conv_id, turn, family, confidence FROM ({_FEEDBACK})",
-    "redact_secrets": f"SELECT doc_id, sha256({_redact_sql()}) AS redacted_sha256, {_redact_sql()} <> text AS changed FROM documents",
+    "redact_secrets": f"SELECT doc_id, sha256(t) AS redacted_sha256, t <> text AS changed FROM ({_redact_sql()})",
     "slugify": rf"""WITH a AS (SELECT doc_id, {_TITLE} AS t FROM documents), b AS (SELECT doc_id, t, regexp_replace(substr(regexp_replace(regexp_replace(lower(t), '[^\p{{L}}\p{{N}}_]+', '-', 'g'), '^[-_]+|[-_]+$', '', 'g'), 1, 53), '[-_]+$', '') AS s FROM a)
 SELECT doc_id, CASE WHEN s = '' THEN substr(sha256(t), 1, 6) ELSE s || '-' || substr(sha256(t), 1, 6) END AS slug FROM b""",
     "infer_type": "SELECT doc_id, CASE lang WHEN 'en' THEN 'decision' WHEN 'de' THEN 'synthesis' ELSE 'concept' END AS kind FROM documents",

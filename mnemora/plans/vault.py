@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from mnemora.functions import fixed
 from mnemora.operators import context as cx
-from mnemora.operators import lint
+from mnemora.operators import graph, lint
 from mnemora.operators import pages as pg
 from mnemora.operators import search as se
+from mnemora.operators import triggers as tg
 from mnemora.plans.corpus import _CW, _in
 from mnemora.plans.search import _TITLE
 from mnemora.sources import vault
@@ -243,6 +244,21 @@ def page_neighbours(s, d):
     return out.join(into, "rel", "full").select("rel", F.array_join("out", " ").alias("out"), F.array_join("into", " ").alias("into"))
 
 
+def most_connected(s, d):
+    """The five pages of most links out: the number is the feature."""
+    return graph.most_connected(_edges(s, d).unionByName(_edges(s, d).where("src < dst").select("dst", "src").toDF("src", "dst")).distinct())
+
+
+def compile_gate(s, d):
+    """Purchases late in the day that start a compile: not of days that the ledger, the what users of three o'clock left, has as they are."""
+    rows = table(s, d, "events").select(
+        F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "purchase", "major").otherwise("minor").alias("tier"),
+        F.date_format("ts", "yyyy-MM-dd").alias("name"), F.col("user_id").cast("string").alias("hash"),
+    )
+    ledger = rows.where("hour(at) = 3").select("name", "hash")
+    return tg.compile_gate(rows, ledger).select("id", "name")
+
+
 _NAMES = ("raw", "search_pages")
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k not in _NAMES}
 
@@ -331,6 +347,12 @@ nullif(regexp_replace(regexp_replace(lower(coalesce({_TITLE}, '')), '[^a-z0-9-]'
     "first_lists": """WITH l AS (SELECT s_nationkey AS nation, 0 AS list, min(s_suppkey) AS place FROM supplier GROUP BY 1 UNION ALL SELECT c_nationkey, 1, min(c_custkey) FROM customer GROUP BY 1)
 SELECT nation, list, place FROM (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY list, place) AS k FROM l) WHERE k = 1""",
     "search_lexical": _search_sql(fused=False), "search_fused": _search_sql(), "search_project": _search_sql("src1"),
+    "most_connected": """WITH e AS (SELECT DISTINCT 'knowledge/notes/' || doc_id || '.md' AS src, 'knowledge/notes/' || dst || '.md' AS dst FROM (SELECT doc_id, unnest([doc_id * 3, doc_id + 1]) AS dst FROM documents) WHERE dst IN (SELECT doc_id FROM documents)),
+b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e WHERE src < dst) SELECT src, count(*) AS out_degree FROM b GROUP BY src ORDER BY out_degree DESC, src LIMIT 5""",
+    "compile_gate": """WITH RECURSIVE x AS (SELECT event_id, ts, strftime(ts, '%Y-%m-%d') AS name, user_id, event_type FROM events),
+e AS MATERIALIZED (SELECT event_id AS id, name, epoch(ts) AS tm, row_number() OVER (ORDER BY ts, event_id) AS k FROM x WHERE event_type = 'purchase' AND hour(ts) >= 18 AND NOT EXISTS (SELECT 1 FROM x l WHERE hour(l.ts) = 3 AND l.name = x.name AND l.user_id = x.user_id)),
+r AS (SELECT id, name, k, tm AS last, true AS kept FROM e WHERE k = 1 UNION ALL SELECT e.id, e.name, e.k, CASE WHEN e.tm - r.last >= 900 THEN e.tm ELSE r.last END, e.tm - r.last >= 900 FROM r JOIN e ON e.k = r.k + 1)
+SELECT id, name FROM r WHERE kept""",
     "page_neighbours": """WITH e AS (SELECT DISTINCT 'knowledge/notes/' || doc_id || '.md' AS src, 'knowledge/notes/' || dst || '.md' AS dst FROM (SELECT doc_id, unnest([doc_id * 3, doc_id + 1]) AS dst FROM documents) WHERE dst IN (SELECT doc_id FROM documents)),
 o AS (SELECT src AS rel, string_agg(dst, ' ' ORDER BY dst) AS out FROM e GROUP BY 1), i AS (SELECT dst AS rel, string_agg(src, ' ' ORDER BY src) AS into FROM e GROUP BY 1)
 SELECT coalesce(o.rel, i.rel) AS rel, o.out, i.into FROM o FULL JOIN i ON o.rel = i.rel""",
