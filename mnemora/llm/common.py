@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemora.sources.scratch import root
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -31,17 +32,6 @@ def crc_fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one is made only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        known = spark.sparkContext.getCheckpointDir()
-        root = known or f"file://{tempfile.mkdtemp(prefix='mnemora-')}"
-        if not known:
-            spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
 #: Spark then deletes a finished write's shuffle files at once instead of when the driver's JVM next collects garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -53,7 +43,7 @@ def materialise(df: DataFrame) -> DataFrame:
     The files go at ``release`` or when the driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/mnemora-{uuid.uuid4().hex}"
+    path = f"{root(spark)}/mnemora-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
