@@ -104,5 +104,7 @@ FORBIDDEN_ROOTS = (
     "outputs/", ".ci-lint-state/", "LLM-wiki-state/",
 )
 FORBIDDEN_ANYWHERE = (".obsidian/workspace.json", ".claude/settings.local.json", "gitleaks-report.json", "gitleaks-report.sarif")
-# fixed values: a finished reply's token, in its three sizes
-FLUSH_TIERS = ("MAJOR", "MINOR", "OK")
+# fixed values: tokens of a reply's first line with their tier, texts that say that nothing lasts, beginnings of replies that aren't one
+REPLY_TIERS = {"FLUSH_MAJOR": "major", "FLUSH_MINOR": "minor", "FLUSH_OK": "ok"}
+NOTHING_LASTS = ("FLUSH_OK", "NO_DURABLE_CONTENT", "(NO DURABLE CONTENT)")
+NO_REPLY = ("(summary failed", '{"operations"', '{"audit"')

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mnemora.functions import fixed
 from mnemora.functions.text import strip
 
 #: The counts of an audit line and where they stand in it.
@@ -12,21 +13,24 @@ AUDIT_COUNTS = {
     "verified": r"(?i)verified\s+(\d+)\s+evidence", "dedup": r"(?i)(\d+)\s+dedup checks", "stubs": r"(?i)(\d+)\s+stubs skipped",
     "contradictions": r"(?i)(\d+)\s+contradictions handled", "rejected": r"(?i)(\d+)\s+pages rejected",
 }
-_CRUMB = r"(?i)\[(\d{2}:\d{2}:\d{2})\]\s+tool\s+\|\s+(\S+)\s+\|\s+(\S+)\s+\|\s+([^\s`]+)`?\s*(.*)"
 
 
 def tier(reply: Column) -> Column:
-    """struct(tier, body): major, minor or ok by the first line's token; failures and plans are ok, text without a token is minor."""
+    """struct(tier, body): by the token on the first line, which quotes and full stops may surround; without one, replies that keep nothing or aren't one are ok, all others minor."""
     whole = strip(F.coalesce(reply, F.lit("")))
     first = strip(F.substring_index(whole, "\n", 1))
-    token = F.regexp_extract(F.regexp_replace(F.upper(first), r"\.+$", ""), r"^(`*)FLUSH_(MAJOR|MINOR|OK)\1$", 2)
-    rest = F.regexp_replace(F.substring(whole, F.length(first) + 1, F.length(whole)), r"^[ \n\t*`]+|[ \n\t*`]+$", "")
-    bare = F.upper(F.regexp_replace(whole, r"^[ .\n\t*`]+|[ .\n\t*`]+$", ""))
-    none = bare.isin("FLUSH_OK", "(NO DURABLE CONTENT)", "NO_DURABLE_CONTENT") | F.exists(F.split(F.upper(whole), "\n"), lambda x: strip(x).isin("FLUSH_OK", "NO_DURABLE_CONTENT"))
-    none = none | (whole == "") | whole.startswith("(summary failed") | whole.startswith('{"operations"') | whole.startswith('{"audit"')
+    bare = lambda text, marks: F.regexp_replace(text, rf"^[{marks}]+|[{marks}]+$", "")
+    unquoted = F.regexp_replace(F.regexp_replace(F.upper(first), r"\.+$", ""), r"^(`*)(.*?)\1$", "$2")
+    told = F.create_map(*[F.lit(x) for kv in fixed.REPLY_TIERS.items() for x in kv])[unquoted]
+    lines = F.transform(F.split(F.upper(whole), "\n"), strip)
+    nothing = (whole == "") | F.arrays_overlap(lines, F.array(*[F.lit(x) for x in fixed.NOTHING_LASTS[:2]]))
+    nothing = nothing | bare(F.upper(whole), r" .\n\t*`").isin(*fixed.NOTHING_LASTS)
+    for start in fixed.NO_REPLY:
+        nothing = nothing | whole.startswith(start)
+    rest = bare(F.substring(whole, F.length(first) + 1, F.length(whole)), r" \n\t*`")
     return F.struct(
-        F.when(token != "", F.lower(token)).when(none, "ok").otherwise("minor").alias("tier"),
-        F.when(token != "", rest).when(none, "").otherwise(whole).alias("body"),
+        F.coalesce(told, F.when(nothing, "ok").otherwise("minor")).alias("tier"),
+        F.when(told.isNotNull(), rest).when(nothing, "").otherwise(whole).alias("body"),
     )
 
 
@@ -43,11 +47,15 @@ def json_block(reply: Column) -> Column:
 
 
 def breadcrumbs(log: Column) -> Column:
-    """array of struct(at, session, slug, tool, target) of a day log's tool lines."""
-    part = lambda x, i: F.regexp_extract(x, _CRUMB, i)
-    lines = F.filter(F.split(log, "\n"), lambda x: x.rlike(_CRUMB))
-    target = lambda x: F.coalesce(F.nullif(strip(part(x, 5)), F.lit("")), F.lit("(unknown)"))
+    """array of struct(at, session, slug, tool, target) of a day log's tool lines: four parts between bars, the last a tool and what it was used on."""
+    parts = F.transform(F.split(log, "\n"), lambda x: F.split(x, r"\s+\|\s+", 4))
+    crumbs = F.filter(parts, lambda p: (F.size(p) == 4) & F.lower(p[0]).rlike(r"\[\d{2}:\d{2}:\d{2}\]\s+tool$"))
+    name = lambda p: F.substring_index(F.substring_index(strip(p[3]), " ", 1), "`", 1)
+    used = lambda p: strip(F.regexp_replace(F.substring(strip(p[3]), F.length(name(p)) + 1, F.length(p[3])), "^`", ""))
     return F.transform(
-        lines,
-        lambda x: F.struct(part(x, 1).alias("at"), F.substring(part(x, 2), 1, 8).alias("session"), part(x, 3).alias("slug"), F.lower(part(x, 4)).alias("tool"), target(x).alias("target")),
+        crumbs,
+        lambda p: F.struct(
+            F.substring(F.substring_index(p[0], "]", 1), -8, 8).alias("at"), F.substring(strip(p[1]), 1, 8).alias("session"), strip(p[2]).alias("slug"),
+            F.lower(name(p)).alias("tool"), F.coalesce(F.nullif(used(p), F.lit("")), F.lit("(unknown)")).alias("target"),
+        ),
     )

@@ -14,10 +14,11 @@ from mnemora.functions import fixed
 from mnemora.operators import context as cx
 from mnemora.operators import graph, lint
 from mnemora.operators import pages as pg
+from mnemora.operators import retrieval as rt
 from mnemora.operators import search as se
 from mnemora.operators import triggers as tg
 from mnemora.plans.corpus import _CW, _in
-from mnemora.plans.search import _TITLE
+from mnemora.plans.search import _TITLE, _VEC
 from mnemora.sources import vault
 from mnemora.sources.scratch import shared
 from mnemora.sources.tables import table
@@ -233,6 +234,29 @@ def search_project(s, d):
     return se.search(_index(s, d, False), _asked(s, d), edges=_edges(s, d), project="SRC1").select("qid", "rank", "path", "score", "fused_score")
 
 
+def _cosines(s: SparkSession, d: str) -> DataFrame:
+    """Pages by the vectors of their ids against those of the queries'; a query's own page isn't among them."""
+    v = table(s, d, "embeddings")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    pairs = v.crossJoin(rt._small(asked, 10_000)).where("vec_id <> qid")
+    return pairs.select("qid", _rel("vec_id").alias("rel"), rt.cosine(F.col("embedding"), F.col("q")).alias("cosine"))
+
+
+def search_triple(s, d):
+    """Lexical, dense and link lists fused."""
+    return se.search(_index(s, d, False), _asked(s, d), edges=_edges(s, d), cosines=_cosines(s, d)).select("qid", "rank", "path", "score", "fused_score")
+
+
+def stale_pages(s, d):
+    """Pages that are due for the archive: parts as types, orders' days as their last change."""
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("debugging", "gap", "pattern", "workflow", "concept")]), F.substring("o_orderpriority", 1, 1).cast("int"))
+    rows = table(s, d, "orders").select(
+        F.col("o_orderkey").alias("rel"), kinds.alias("type"), F.when(F.col("o_orderstatus") == "F", "archived").alias("status"), F.lit(True).alias("has_fm"),
+        F.col("o_orderdate").cast("timestamp").alias("modified"),
+    )
+    return pg.stale(rows, "1998-06-01 00:00:00").select("rel", "type")
+
+
 def search_stemmed(s, d):
     """Stemmed search: no SQL has the stems; tests hold it against SQLite's full-text index."""
     return se.search(_index(s, d, True), _asked(s, d), edges=_edges(s, d)).select("qid", "rank", "path", "score", "fused_score")
@@ -288,8 +312,13 @@ _LINT = {
 _TOK = r"list_transform(regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}\p{{M}}]+'), lambda x: strip_accents(x))"
 
 
-def _search_sql(project: str | None = None, fused: bool = True) -> str:
+def _search_sql(project: str | None = None, fused: bool = True, dense: bool = False) -> str:
     bonus = f"CASE WHEN source = '{project}' THEN 2.0 ELSE 1.0 END" if project else "1.0"
+    vectors = "SELECT qid, doc_id, rel, 0 AS rank, 0.0 AS score FROM r WHERE false"
+    if dense:
+        named = _VEC.replace("q AS (", "vq AS (", 1).replace("FROM embeddings, q ", "FROM embeddings, vq ")
+        vectors = f"""WITH {named}, vn AS (SELECT qid, vec_id AS doc_id, 'knowledge/notes/' || vec_id || '.md' AS rel, score FROM vs WHERE vec_id IN (SELECT doc_id FROM documents) AND qid IN (SELECT qid FROM q))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rel) AS rank FROM vn) WHERE rank <= 30"""
     sql = f"""WITH n AS (SELECT doc_id, 'knowledge/notes/' || doc_id || '.md' AS rel, source, {_TITLE} AS title, {_TOK.format('text')} || {_TOK.format(_TITLE)} AS w FROM documents),
 t AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM n) GROUP BY 1, 2),
 st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM n),
@@ -312,13 +341,16 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, place)
 SELECT qid, rank, path, score, f AS fused_score FROM (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY qid ORDER BY f DESC, rank) AS rank FROM p) WHERE rank <= 10"""
     return sql + f""", e AS (SELECT DISTINCT doc_id, dst FROM (SELECT doc_id, unnest([doc_id * 3, doc_id + 1]) AS dst FROM documents) WHERE dst IN (SELECT doc_id FROM documents)),
 ep AS (SELECT doc_id, 'knowledge/notes/' || dst || '.md' AS rel, row_number() OVER (PARTITION BY doc_id ORDER BY 'knowledge/notes/' || dst || '.md') - 1 AS place FROM e),
-g AS (SELECT qid, ep.rel, round(sum(0.15::DOUBLE / (1 + ep.place * 0.2::DOUBLE)), 12) AS raw FROM r JOIN ep USING (doc_id) WHERE rank <= 10 GROUP BY 1, 2),
+vv AS ({vectors}),
+sd AS (SELECT qid, doc_id, rank FROM r UNION ALL SELECT qid, doc_id, rank FROM vv),
+g AS (SELECT qid, ep.rel, round(sum(0.15::DOUBLE / (1 + ep.place * 0.2::DOUBLE)), 12) AS raw FROM sd JOIN ep USING (doc_id) WHERE rank <= 10 GROUP BY 1, 2),
 gr AS (SELECT qid, rel, round(raw, 4) AS boost, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, rel) AS rank FROM g),
-pt AS (SELECT qid, rel, 2.0::DOUBLE / (60 + rank) AS part, 0 AS list, rank FROM r UNION ALL SELECT qid, rel, 0.5::DOUBLE * boost / (120 + rank), 1, rank FROM gr),
-f AS (SELECT qid, rel, round(sum(part), 12) AS fused, min(list * 1000000 + rank) AS first FROM pt WHERE qid IN (SELECT qid FROM gr) GROUP BY 1, 2),
-o AS (SELECT f.qid, row_number() OVER (PARTITION BY f.qid ORDER BY fused DESC, first) AS rank, f.rel AS path, coalesce(r.score, 0.0)::DOUBLE AS score, round(fused, 4) AS fused_score, coalesce(r.source, '') AS told
-  FROM f LEFT JOIN r ON r.qid = f.qid AND r.rel = f.rel
-  UNION ALL SELECT qid, rank, rel, score, NULL, '' FROM r WHERE qid NOT IN (SELECT qid FROM gr))
+pt AS (SELECT qid, rel, 2.0::DOUBLE / (60 + rank) AS part, 0 AS list, rank FROM r UNION ALL SELECT qid, rel, 1.0::DOUBLE / (60 + rank), 1, rank FROM vv UNION ALL SELECT qid, rel, 0.5::DOUBLE * boost / (120 + rank), 2, rank FROM gr),
+gate AS (SELECT qid FROM gr UNION SELECT qid FROM vv),
+f AS (SELECT qid, rel, round(sum(part), 12) AS fused, min(list * 1000000 + rank) AS first FROM pt WHERE qid IN (SELECT qid FROM gate) GROUP BY 1, 2),
+o AS (SELECT f.qid, row_number() OVER (PARTITION BY f.qid ORDER BY fused DESC, first) AS rank, f.rel AS path, coalesce(r.score, vv.score, 0.0)::DOUBLE AS score, round(fused, 4) AS fused_score, coalesce(r.source, '') AS told
+  FROM f LEFT JOIN r ON r.qid = f.qid AND r.rel = f.rel LEFT JOIN vv ON vv.qid = f.qid AND vv.rel = f.rel
+  UNION ALL SELECT qid, rank, rel, score, NULL, '' FROM r WHERE qid NOT IN (SELECT qid FROM gate))
 {last}"""
 
 
@@ -346,7 +378,9 @@ nullif(regexp_replace(regexp_replace(lower(coalesce({_TITLE}, '')), '[^a-z0-9-]'
     "latest_day": "SELECT strftime(ts, '%Y-%m-%d') AS name, count(*) AS n FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 1",
     "first_lists": """WITH l AS (SELECT s_nationkey AS nation, 0 AS list, min(s_suppkey) AS place FROM supplier GROUP BY 1 UNION ALL SELECT c_nationkey, 1, min(c_custkey) FROM customer GROUP BY 1)
 SELECT nation, list, place FROM (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY list, place) AS k FROM l) WHERE k = 1""",
-    "search_lexical": _search_sql(fused=False), "search_fused": _search_sql(), "search_project": _search_sql("src1"),
+    "search_lexical": _search_sql(fused=False), "search_fused": _search_sql(), "search_project": _search_sql("src1"), "search_triple": _search_sql(dense=True),
+    "stale_pages": """SELECT o_orderkey AS rel, type FROM (SELECT *, ['debugging', 'gap', 'pattern', 'workflow', 'concept'][substr(o_orderpriority, 1, 1)::INT] AS type FROM orders)
+WHERE o_orderstatus <> 'F' AND type <> 'concept' AND o_orderdate::TIMESTAMP < TIMESTAMP '1998-06-01' - to_days(CASE type WHEN 'debugging' THEN 60 WHEN 'gap' THEN 90 WHEN 'pattern' THEN 180 ELSE 365 END)""",
     "most_connected": """WITH e AS (SELECT DISTINCT 'knowledge/notes/' || doc_id || '.md' AS src, 'knowledge/notes/' || dst || '.md' AS dst FROM (SELECT doc_id, unnest([doc_id * 3, doc_id + 1]) AS dst FROM documents) WHERE dst IN (SELECT doc_id FROM documents)),
 b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e WHERE src < dst) SELECT src, count(*) AS out_degree FROM b GROUP BY src ORDER BY out_degree DESC, src LIMIT 5""",
     "compile_gate": """WITH RECURSIVE x AS (SELECT event_id, ts, strftime(ts, '%Y-%m-%d') AS name, user_id, event_type FROM events),
