@@ -23,7 +23,7 @@
 Words are maximal runs without white space, A-Z lowered; a set holds the
 distinct 5-word shingles (64-bit hashes of 64-bit word hashes), or the whole
 sequence as one if there are fewer. Null texts and texts without words are
-linked with nothing. Rows that repeat a doc_id share a component if their
+linked with nothing. Ids are integers (cast to long). Rows that repeat a doc_id share a component if their
 texts do; a null doc_id is linked with nothing and keeps a null component.
 Empty tables give no rows; extra columns are ignored.
 """

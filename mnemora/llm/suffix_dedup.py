@@ -22,7 +22,7 @@ partitions' first and last runs, two rows a partition.
 Every word inside a passage of at least MIN_WORDS words that another document
 has is covered, however often it occurs; nothing is capped. Words are maximal
 runs without white space, as they are. Repeats inside one document alone don't
-count, nor do texts of fewer words, null or empty ones. Rows that repeat a
+count, nor do texts of fewer words, null or empty ones. Ids are integers (cast to long). Rows that repeat a
 doc_id count as one document; rows with a null doc_id are left out. Empty
 tables give no rows; extra columns are ignored.
 """
