@@ -46,11 +46,10 @@ TYPES = (
 TYPE_ALIASES = {"comparison": "synthesis", "connection": "synthesis", "fact": "concept"}
 STALE_DAYS = {"debugging": 60, "gap": 90, "pattern": 180, "workflow": 365, "qa": 365}
 EVERGREEN = ("skill", "rule", "concept", "entity", "decision", "synthesis", "project-state", "project-context", "bootstrap-context")
-# fixed values: pages that aren't curated content, those that owe no backlink, and those whose brackets aren't links
+# fixed values: pages that aren't curated content, those that owe no backlink (a vault may add its own), and those whose brackets aren't links
 EDITORIAL = ("index.md", "log.md", "Vault Home.md", "AGENTS.md", "operating-model.md", "guardrails.md", "README.md", "state.md")
 BACKLINK_EXEMPT = (
     "Ingestion Workflow.md", "Retrieval Workflow.md", "Review Workflow.md", "Vault Home.md", "index.md", "log.md",
-    "Karpathy LLM Wiki Workflow.md",
 )
 LITERAL_BRACKETS = ("operating-model.md", "AGENTS.md", "log.md")
 # fixed values: names and folders that search leaves out, names that the catalogue leaves out, statuses that are inactive
@@ -98,10 +97,10 @@ STACK_MARKERS = {
 }
 FRAMEWORKS = {"next": "Next.js", "react": "React", "vue": "Vue.js", "express": "Express", "typescript": "TypeScript"}
 DULL_COMMITS = ("formatting", "merge branch", "bump version", "update .gitignore")
-# fixed values: paths that an export must not hold, at its root and anywhere
+# fixed values: paths that an export must not hold, at its root (a vault adds its state folder) and anywhere
 FORBIDDEN_ROOTS = (
     ".venv/", ".git/", ".pytest_cache/", "__pycache__/", ".obsidian/", "cache/", "logs/", "run/", "state/", "wiki/", "memory/",
-    "outputs/", ".ci-lint-state/", "LLM-wiki-state/",
+    "outputs/", ".ci-lint-state/",
 )
 FORBIDDEN_ANYWHERE = (".obsidian/workspace.json", ".claude/settings.local.json", "gitleaks-report.json", "gitleaks-report.sarif")
 # fixed values: tokens of a reply's first line with their tier, texts that say that nothing lasts, beginnings of replies that aren't one

@@ -52,7 +52,8 @@ def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, require_all: bo
     idf = F.greatest(F.log((n - df_ + 0.5) / (df_ + 0.5)), F.lit(IDF_FLOOR))
     weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
     asked = wanted.join(df, "term").crossJoin(F.broadcast(stats))  # one row
-    scored = post.join(_small(asked) if len(terms) > LISTED else F.broadcast(asked) if queries.limit(BROADCAST_ROWS // 64).count() < BROADCAST_ROWS // 64 else asked, "term")
+    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    scored = post.join(F.broadcast(asked) if small else asked, "term")
     scored = scored.groupBy("qid", "doc_id", "need").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum(weight), 6).alias("score"))
     return (scored.where("n_terms = need") if require_all else scored).select("qid", "doc_id", "n_terms", "score")
 
