@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from mnemora.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, near_dedup, quality, suffix_dedup, token_count, toxicity
+from mnemora.llm import (
+    chat_format, decontaminate, exact_dedup, language_id, license_scan, merkle, mixing, near_dedup, periodic_runs, quality, suffix_dedup,
+    token_count, toxicity,
+)
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -15,6 +18,9 @@ QUERIES = {
     "op8_mix": mixing.op8_mix,
     "op9_language_id": language_id.op9_language_id,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op11_license_scan": license_scan.op11_license_scan,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -24,4 +30,6 @@ ORACLE_SQL = {
     "op7_decontaminate": decontaminate.ORACLE_SQL,
     "op8_mix": mixing.ORACLE_SQL,
     "op10_near_dedup": near_dedup.ORACLE_SQL,
+    "op11_license_scan": license_scan.ORACLE_SQL,
+    "op13_merkle_manifest": merkle.ORACLE_SQL,
 }
