@@ -1,7 +1,7 @@
 """MinHash near-deduplication with sequential Bayesian verification.
 
-1. Documents with equal shingle sets form a class; only a class's smallest
-   doc_id goes on.
+1. Documents with equal shingle sets form a class, which is one node of all
+   that follows; ids only name the components at the end.
 2. ``BANDS`` bands of ``ROWS`` hashes bucket the classes: a pair at the
    threshold shares no bucket with probability (1 - t^ROWS)^BANDS, 7e-6 here.
 3. Star round: in each bucket every class meets the bucket's hub (another in
@@ -23,8 +23,9 @@
 Words are maximal runs without white space, A-Z lowered; a set holds the
 distinct 5-word shingles (64-bit hashes of 64-bit word hashes), or the whole
 sequence as one if there are fewer. Null texts and texts without words are
-linked with nothing. Ids are integers (cast to long). Rows that repeat a doc_id share a component if their
-texts do; a null doc_id is linked with nothing and keeps a null component.
+linked with nothing. Ids are integers (cast to long). Links are between texts: rows
+that repeat a doc_id share a component only if their texts do, and rows without an
+id are linked like others; a component of such rows alone has a null name.
 Empty tables give no rows; extra columns are ignored.
 """
 
@@ -95,7 +96,7 @@ def posterior_keep(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]]) -
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, dig, sig, keys = [], [], [], []
-        for t in batch.column(1):
+        for t in batch.column(2):
             s = shingle_set(t.as_py())
             n.append(len(s))
             dig.append(digest(s) if len(s) else None)
@@ -103,8 +104,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig.append(m.tobytes() if len(s) else None)
             keys.append(band_keys(m) if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "digest", "sig", "keys"],
+            [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+            ["doc_id", "th", "n_shingles", "digest", "sig", "keys"],
         )
 
 
@@ -223,16 +224,20 @@ def _blocks(percent: int):
     return compare
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialise(texts.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, sig binary, keys array<long>"))
-    many = F.count(F.lit(1)).alias("n")
-    classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), many)
-    hot = hot_keys(classes, ["digest"], signed.count())
-    members = materialise(join_split(signed.select("doc_id", "n_shingles", "digest"), classes.drop("n"), ["digest"], hot, "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")))
-    own = members.where("doc_id = class_id").select(F.col("doc_id").alias("node")).distinct()
-    reps = signed.where("digest is not null").join(own, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "sig", "keys")
+def _groups(docs: DataFrame, percent: int) -> DataFrame:
+    """One row per row of ``docs``: doc_id, th (hash of the text), n_shingles, and ``first``, the (doc_id, th) that comes first in its component.
+
+    A node is a class of equal shingle sets, named by the number of one of its rows: ids may be null or repeat.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    read = texts.mapInArrow(_sign, "doc_id long, th long, n_shingles long, digest binary, sig binary, keys array<long>")
+    signed = materialise(read.withColumn("row", F.monotonically_increasing_id()))
+    total, many = signed.count(), F.count(F.lit(1)).alias("n")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "row")).alias("first")
+    classes = materialise(signed.where("digest is not null").groupBy("digest").agg(first, many).withColumn("node", F.col("first.row")))
+    hot = hot_keys(classes.select("digest", "n"), ["digest"], total)
+    members = materialise(join_split(signed.select("doc_id", "th", "n_shingles", "digest", "row"), classes.drop("n"), ["digest"], hot, "row", "left").select("doc_id", "th", "n_shingles", "first", "node"))
+    reps = signed.join(classes.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "sig", "keys")
     banded = materialise(reps.select("node", F.posexplode("keys").alias("band", "key")))
 
     hubs = banded.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("hub"), F.min("node").alias("lo"), F.max("node").alias("hi"), many).where("lo <> hi").select("key", "hub", "n")
@@ -242,7 +247,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     in_buckets = materialise(shared.select("node").distinct())
     signs = materialise(reps.join(in_buckets, "node", "left_semi").select("node", "sig"))
     release(signed)
-    bodies = materialise(texts.withColumnRenamed("doc_id", "node").join(in_buckets, "node", "left_semi"))
+    named = in_buckets.join(classes.select("node", "first"), "node").select("node", F.col("first.doc_id").alias("id"), F.col("first.th").alias("h"))
+    bodies = materialise(texts.join(named, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("node", "text"))
+    if bodies.count() > in_buckets.count():  # rows that agree in id and text
+        before, bodies = bodies, materialise(bodies.groupBy("node").agg(F.first("text").alias("text")))
+        release(before)
     release(in_buckets)
 
     links = _verify(_prune(stars, signs, percent), bodies, percent)
@@ -255,7 +264,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         tagged = materialise(join_split(tagged, still, ["key"], hot_keys(still, ["key"], n_shared), "node"))
         for done in old:
             release(done)
-        if again == STAR_ROUNDS - 1:
+        if again == STAR_ROUNDS - 1 or tagged.isEmpty():
             break
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
         ranked = tagged.join(degree, "node", "left").select("key", "node", "comp", F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("node", "key", F.lit(again))).alias("order"))
@@ -270,7 +279,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         tagged = tagged.select("key", "band", "node")
     release(signs)
     release(links)
+    if not tagged.isEmpty():
+        comps = _rest(tagged, comps, bodies, percent)
+    release(tagged)
+    release(bodies)
+
+    known = comps.join(classes.select("node", "first"), "node")
+    names = known.groupBy("comp").agg(F.min("first").alias("name"), many)
+    named = materialise(join_split(comps, names.drop("n"), ["comp"], hot_keys(names.select("comp", "n"), ["comp"], total), "node").select("node", "name"))
+    hot = hot_keys(classes.select("node", "n"), ["node"], total)
+    made = join_split(members, named, ["node"], hot, "th", "left")
+    return made.select("doc_id", "th", "n_shingles", F.coalesce("name", "first").alias("first"))
+
 
+def _rest(tagged: DataFrame, comps: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+    """Components after all pairs across components within the buckets ``tagged`` were compared."""
     rest = tagged.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     rest = rest.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     wide = materialise(bodies.join(tagged.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_sign_wide, "node long, sig binary"))
@@ -281,23 +304,34 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     units = units.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
     pairs = materialise(units.mapInArrow(_blocks(percent), "a long, b long").distinct())
     release(wide)
-    release(tagged)
     more = _verify(pairs, bodies, percent)
-    release(bodies)
     if not more.isEmpty():
         before, comps = comps, components(more.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
         release(before)
     release(more)
-    hot = hot_keys(members.where("class_id is not null").groupBy("class_id").agg(many), ["class_id"], members.count())
-    named = join_split(members, comps.withColumnRenamed("node", "class_id"), ["class_id"], hot, "doc_id", "left")
-    component = F.coalesce("comp", "class_id")
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return comps
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    component = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return _groups(docs, percent).select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay, all their columns: the smallest doc_id of each component."""
-    gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("dropped id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("dropped id"), "left_anti")
+    """The rows of ``docs`` that stay, all their columns: of each component the row of smallest doc_id, rows without an id last.
+
+    Texts that share an id but no component are judged apart, so none goes with the other.
+    """
+    rows = materialise(_groups(docs, percent).where("first is not null").select(F.col("doc_id").alias("its id"), F.col("th").alias("its hash"), (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))).alias("stays")))
+    on = docs["doc_id"].cast("long").eqNullSafe(F.col("its id")) & (F.xxhash64(docs["text"]) == F.col("its hash"))
+    left = docs.join(rows.where("not stays").select("its id", "its hash").distinct(), on, "left_anti")
+    twice = rows.where("stays").groupBy("its id", "its hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    if twice.isEmpty():
+        return left
+    twice = materialise(twice)  # rows that agree in id and text: one of them stays
+    again = left.join(twice, on, "left_semi").withColumn("its hash", F.xxhash64("text")).dropDuplicates(["doc_id", "its hash"]).drop("its hash")
+    return left.join(twice, on, "left_anti").unionByName(again)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,3 +232,24 @@ def test_toxicity_ranks_and_finds(spark):
     auc = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
     told = [y for _, y, p in held if p]
     assert auc >= 0.9 and sum(told) / len(bad) >= 0.6 and sum(told) / max(len(told), 1) >= 0.6
+
+def test_near_dedup_keeps_texts_that_share_an_id(spark):
+    """Ids that repeat or lack: only texts link, and of each component one row stays."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a + " end"
+    rows = [(1, a, "x"), (5, a, "y"), (5, c, "z"), (None, a, "u"), (7, b, "v"), (1, b, "w"), (9, near, "t"), (None, "one", "s"), (None, "one", "s"), (4, None, "n"), (4, "", "n"), (5, c, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {(1, 36, 1, True), (5, 36, 1, False), (5, 36, 5, True), (None, 36, 1, False), (7, 36, 1, False), (9, 37, 1, False), (None, 1, None, True), (4, 0, 4, True)}
+    kept = sorted(map(tuple, near_dedup.keep_one(docs).collect()), key=repr)
+    assert kept == sorted([(1, a, "x"), (5, c, "z"), (1, b, "w"), (None, "one", "s"), (4, None, "n"), (4, "", "n")], key=repr)
+
+
+def test_near_dedup_disjoint_texts_of_one_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b)], "doc_id long, text string")
+    classes = {}
+    for r in near_dedup._groups(docs, 85).collect():
+        classes.setdefault((r["first"].doc_id, r["first"].th), []).append(r.doc_id)
+    assert sorted(map(sorted, classes.values())) == [[1, 2], [1, 3]]
+    assert {(r.doc_id, r.text) for r in near_dedup.keep_one(docs).collect()} == {(1, a), (1, b)}
