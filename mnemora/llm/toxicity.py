@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel deobfuscation.
 
 Suspicious spans (tokens with look-alike digits and signs, with or without
-letters, letters repeated three times or more, single letters spaced out) are
+letters, letters repeated three times or more, short pieces with gaps between them) are
 read as lattices: each sign offers the letters it may stand for or stays a sign,
 each run of a letter one or two of it, each gap of a spaced-out word a space or
 nothing. Viterbi decoding under a character language model picks the likeliest
@@ -44,8 +44,13 @@ LOOKALIKES = {
 _SIGNS = re.escape("".join(LOOKALIKES))
 _LETTERS = r"[^\W\d_]"
 _WORD = re.compile(rf"{_LETTERS}+")
-#: Spaced-out letters, a stretch of letters and signs, a letter three times in a row.
-_SPACED = re.compile(rf"(?<![^\W_])(?:(?:{_LETTERS}|[{_SIGNS}])(?P<gap>[ .\-_*~])(?:(?:{_LETTERS}|[{_SIGNS}])(?P=gap)){{2,}}(?:{_LETTERS}|[{_SIGNS}]))(?![^\W_])")
+_PIECE, _WIDE_GAP, _TIGHT_GAP = rf"(?:{_LETTERS}|[{_SIGNS}])", r"(?:[ .\-_~]{1,3}|\*{1,2})", r"(?:[.\-_~]{1,3}|\*{1,2})"
+#: Three single letters or more with gaps of any signs, or pieces of up to three letters with gaps without blanks.
+_SPACED = re.compile(
+    rf"(?<![^\W_])(?:{_PIECE}(?:{_WIDE_GAP}{_PIECE}){{2,}}(?![.\-_~*][^\W_]{{2}})|{_PIECE}{{1,3}}(?:{_TIGHT_GAP}{_PIECE}{{1,3}}){{2,}})(?![^\W_])"
+)
+_PIECES = re.compile(rf"({_PIECE}{{1,3}}?)(?:{_WIDE_GAP}|$)")
+#: A stretch of letters and signs, a letter three times in a row.
 _MIXED = re.compile(rf"(?:{_LETTERS}|[{_SIGNS}])+")
 _RUN = re.compile(r"(\w)\1\1")
 _SIGN_RUN = re.compile(rf"([{_SIGNS}])\1*")
@@ -108,17 +113,21 @@ def gather_char_model(docs: DataFrame) -> CharModel:
     return CharModel(counts)
 
 
-_LETTER, _SIGN, _GAP = 1, 2, 4
+_LETTER, _SIGN, _TIGHT, _OTHER = 1, 2, 4, 8
 
 
 def _kinds() -> np.ndarray:
-    lut = np.full(9000, _LETTER, np.uint8)  # what isn't ASCII may be a letter
-    lut[:128] = 0
-    lut[ord("a") : ord("z") + 1] = _LETTER
+    lut = np.full(9000, _OTHER, np.uint8)
+    for c in range(len(lut)):
+        if _WORD.match(chr(c)):
+            lut[c] = _LETTER
+        elif chr(c).isalnum():
+            lut[c] = 0
+    lut[-1] = _LETTER | _OTHER  # what comes after may be a letter, or none
     for c in LOOKALIKES:
         lut[ord(c)] |= _SIGN
-    for c in " .-_*~":
-        lut[ord(c)] |= _GAP
+    for c in ".-_*~":
+        lut[ord(c)] |= _TIGHT
     return lut
 
 
@@ -126,16 +135,27 @@ _KIND = _kinds()
 
 
 def may_be_spaced(text: str) -> bool:
-    """Whether a text may have spaced-out letters; never misses one."""
-    k = _KIND.take(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), mode="clip")
-    either, gap = (k & (_LETTER | _SIGN)) > 0, (k & _GAP) > 0
-    return len(k) > 6 and bool((gap[1:-3] & gap[3:-1] & either[:-4] & either[2:-2] & either[4:]).any())
-
-
-def lattice(span: str, gap: str | None) -> list[list[tuple[str, float, float]]]:
+    """Whether a text may have spaced-out pieces; never misses one."""
+    k = np.zeros(len(text) + 8, np.uint8)
+    k[:4] = k[-4:] = _OTHER
+    k[4:-4] = _KIND.take(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), mode="clip")
+    own, edge, tight = (k & (_LETTER | _SIGN)) > 0, (k & _OTHER) > 0, (k & _TIGHT) > 0
+    single = np.zeros(len(k), bool)
+    single[1:-1] = own[1:-1] & edge[:-2] & edge[2:]
+    near = lambda x, y, n: x[:n] & (y[2 : n + 2] | y[3 : n + 3] | y[4 : n + 4])
+    n = len(k) - 4
+    linked = near(single, single, n)
+    if bool(near(linked, linked, n - 4).any()):
+        return True
+    return bool((near(tight, tight, n) & own[1 : n + 1]).any())
+
+
+def lattice(span: str, spaced: bool = False) -> list[list[tuple[str, float, float]]]:
     """Per position the readings and what the channel charges, the second charge where the sign before stayed a sign."""
-    if gap is not None:
-        span = span[::2]
+    gaps: set[int] = set()
+    if spaced:
+        pieces = _PIECES.findall(span)
+        gaps, span = set(np.cumsum([len(p) for p in pieces])[:-1].tolist()), "".join(pieces)
     out: list[list[tuple[str, float, float]]] = []
     head, tail = len(span) - len(span.lstrip("".join(_PUNCTUATION))), len(span.rstrip("".join(_PUNCTUATION)))
     number, i = not _WORD.search(span), 0
@@ -148,16 +168,16 @@ def lattice(span: str, gap: str | None) -> list[list[tuple[str, float, float]]]:
         held: list[tuple[str, float, float]] = []
         if base and (i < head or i >= tail):
             held = [(HELD, HOLD_EDGE, HOLD_EDGE)]
-        elif base and n > 2 and gap is None and (i == 0 or j == len(span)):
+        elif base and n > 2 and not spaced and (i == 0 or j == len(span)):
             held = [(HELD, HOLD_TAIL, HOLD_TAIL)]
         elif base and number and c.isdigit():
             held = [(HELD, HOLD_NUMBER, 0.0 if i == 0 or span[i - 1].isdigit() else HOLD_MORE)]
         elif base:
             held = [(HELD, HOLD_COST, HOLD_MORE)]
-        if gap is not None or n == 1:
+        if spaced or n == 1:
             for k in range(n):
                 out.append(letters + held)
-                if gap is not None and (j < len(span) or k < n - 1):
+                if i + k + 1 in gaps:
                     out.append([("", 0.0, 0.0), (" ", GAP_COST, GAP_COST)])
         else:
             once = DROP_COST * (n - 1) + PAIR_COST * (n == 2)  # a pair is mostly meant
@@ -219,21 +239,21 @@ class Restorer:
         self.costs = log.ravel().tolist()
         self.spans = _Cache(lambda key: decode(lattice(*key), self.costs))
 
-    def span(self, span: str, gap: str | None) -> str:
-        return self.spans[span, gap] if len(span) <= CACHED_SPAN else decode(lattice(span, gap), self.costs)
+    def span(self, span: str, spaced: bool = False) -> str:
+        return self.spans[span, spaced] if len(span) <= CACHED_SPAN else decode(lattice(span, spaced), self.costs)
 
     def _spaced(self, m: re.Match) -> str:
-        return self.span(m[0], m["gap"]).replace(HELD, " ")
+        return self.span(m[0], True).replace(HELD, " ")
 
     def _mixed(self, m: re.Match) -> str:
         held = sum(1 for _ in _SIGN_RUN.finditer(m[0]))
-        got = self.span(m[0], None) if held else m[0]
+        got = self.span(m[0]) if held else m[0]
         return m[0] if got.count(HELD) == held else got  # no sign is read as a letter: kept as it is
 
     def read(self, token: str) -> tuple[str, ...]:
         """The restored words of a token without white space."""
         got = token if token.isalpha() else _MIXED.sub(self._mixed, token)
-        return tuple([self.span(w, None) if _RUN.search(w) else w for w in _WORD.findall(got)])
+        return tuple([self.span(w) if _RUN.search(w) else w for w in _WORD.findall(got)])
 
     def words(self, text: str | None) -> set[str]:
         """The distinct words of the restored text."""

@@ -1,6 +1,7 @@
 """Places where an operator once did less than the whole job."""
 
 import functools
+import itertools
 import random
 import time
 
@@ -65,3 +66,58 @@ def test_mix_gives_equal_rows_their_copies(spark):
             key = r.doc_id, "0" + r.source, len(r.text.split())
             given[key] = given.get(key, 0) + 1
         assert given == {k: n for k, n in planned.items() if n}
+
+
+def _all_paths(steps, log):
+    """The least cost of all paths, each spelt out and read as a whole, and the readings that have it."""
+    best, found = None, set()
+    for path in itertools.product(*steps):
+        cost, stayed, x, y = 0.0, False, 0, 0
+        for reading, first, later in [*path, (" ", 0.0, 0.0)]:
+            cost += later if stayed else first
+            stayed = reading == toxicity.HELD if reading else stayed
+            for z in (toxicity._CODES[b] for b in reading.encode()):
+                if y or z:
+                    cost -= log[(x * 64 + y) * 64 + z]
+                    x, y = y, z
+        if best is None or cost < best - 1e-9:
+            best, found = cost, set()
+        if cost <= best + 1e-9:
+            found.add("".join(reading for reading, *_ in path))
+    return found
+
+
+def test_decode_takes_the_best_of_all_paths():
+    r = _restorer(" you are a stupid worthless idiot and the moron said stupid trash is pathetic so die you ass in a fire ")
+    rnd = random.Random(9)
+    for k in range(400):
+        spaced = k % 2 == 1
+        if spaced:
+            pieces = ["".join(rnd.choice("stupida10$!*e") for _ in range(rnd.randint(1, 2))) for _ in range(rnd.randint(3, 4))]
+            span = pieces[0] + "".join(rnd.choice([".", "-", "..", "_-"]) + p for p in pieces[1:])
+        else:
+            span = "".join(rnd.choice("stupid1140$!|aae") * rnd.choice([1, 1, 2, 3]) for _ in range(rnd.randint(1, 5)))
+        steps = toxicity.lattice(span, spaced)
+        assert toxicity.decode(steps, r.costs) in _all_paths(steps, r.costs), span
+
+
+def test_pieces_with_any_gaps_are_decoded():
+    r = _restorer(" you are a stupid worthless idiot and the moron said stupid trash is pathetic ass die in a fire so die ass you kill the ass ")
+    said = {
+        "a s s": "ass", "d i e": "die", "s  t  u  p  i  d": "stupid", "s.t-u.p-i.d": "stupid", "st.up.id": "stupid", "s*t*u*p*i*d": "stupid", "s t * p i d": "stupid",
+        "a.s.s": "ass", "st-u-p1d": "stupid", "s _ t _ u _ p _ i _ d": "stupid", "s.t.u p.i.d": "stupid", "i d i 0 t": "idiot",
+    }
+    assert {t: r.words(t) for t in said} == {t: {w} for t, w in said.items()}
+    assert r.words("the.idiot.said") == {"the", "idiot", "said"} and r.words("you (d i e) are") == {"you", "die", "are"}
+
+
+def test_the_screen_misses_no_spaced_text():
+    rnd = random.Random(10)
+    parts = ["a", "i", "é", "st", "upi", "word", "1", "$", "*", " ", " ", "  ", ".", "-", "_", "~", "(", ",", "\u4e2d", "\U0001f600", "\n"]
+    seen = 0
+    for _ in range(20_000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14)))
+        if toxicity._SPACED.search(text):
+            seen += 1
+            assert toxicity.may_be_spaced(text), text
+    assert seen > 500 and not toxicity.may_be_spaced("there is a word, a été and of the 3 in it. U.S")
