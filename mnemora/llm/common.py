@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemora.sources.scratch import root
@@ -102,3 +102,21 @@ def join_split(rows: DataFrame, other: DataFrame, on: list[str], hot: DataFrame,
     copies = other.join(F.broadcast(hot), keys, "left")
     copies = copies.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.coalesce(_PARTS, F.lit(1)) - 1))).drop(_PARTS)
     return parted.join(copies, [*on, _SALT], how).drop(_SALT)
+
+
+def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``idx``, their number from 0 within ``group`` by ``order``, and ``n``, the rows of the group.
+
+    Rows are range-partitioned by all of these, and row numbers within a partition are added to the rows of the
+    partitions before: no task holds a group, and rows that agree in all columns are spread, too. Write ``rows`` first
+    if they are dear to make: they are sampled before they are dealt.
+    """
+    ranged = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(group, *order, "tie").withColumn("part", F.spark_partition_id())
+    ranged = materialise(ranged)  # the borders of the ranges are drawn anew whenever they are computed
+    parts = ranged.groupBy(group, "part").agg(F.count(F.lit(1)).alias("here"))
+    whole = Window.partitionBy(group)  # a row for each partition of a group
+    before = F.sum("here").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(F.col(group).alias("of"), F.col("part").alias("at"), F.coalesce(before, F.lit(0)).alias("before"), F.sum("here").over(whole).alias("n"))
+    own = F.row_number().over(Window.partitionBy(group, "part").orderBy(*order, "tie"))
+    made = ranged.withColumn("own", own).join(parts, F.col(group).eqNullSafe(F.col("of")) & (F.col("part") == F.col("at")))
+    return made.select(*rows.columns, (F.col("before") + F.col("own") - 1).alias("idx"), "n")

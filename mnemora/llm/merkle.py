@@ -14,9 +14,8 @@ takes log81 n supersteps. Blocks know how many children to expect; a missing or
 surplus message is an error. Each round's blocks are checkpointed to the shared
 folder. Texts never move: they are hashed where they are read.
 
-Leaves are numbered without gathering a source: rows are range-partitioned by
-source, id and digest, and row numbers within a partition are added to the sum
-of the partitions before.
+Leaves are numbered by source, id and digest without gathering a source
+(``common.numbered``).
 
 Null fields count as ``-``, so null, empty and absent texts differ; a null
 doc_id or source is a value like any other and comes first. Rows that agree in
@@ -31,10 +30,10 @@ import hashlib
 from collections.abc import Iterator
 
 from pyspark import RDD
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import materialise, table
+from mnemora.llm.common import materialise, numbered, table
 from mnemora.sources.scratch import root as scratch_root
 
 ARITY, LEVELS, ROWS_A_TASK = 3, 4, 50_000
@@ -55,19 +54,6 @@ def leaf(*fields: Column) -> Column:
     return F.sha2(F.concat(*map(field, fields)).cast("binary"), 256)
 
 
-def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """``rows`` with ``idx``, their number from 0 within ``group`` by ``order``, and ``n``, the rows of the group."""
-    ranged = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(group, *order, "tie").withColumn("part", F.spark_partition_id())
-    ranged = materialise(ranged)  # the borders of the ranges are drawn anew whenever they are computed
-    parts = ranged.groupBy(group, "part").agg(F.count(F.lit(1)).alias("here"))
-    whole = Window.partitionBy(group)  # a row for each partition of a group
-    before = F.sum("here").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.select(F.col(group).alias("of"), F.col("part").alias("at"), F.coalesce(before, F.lit(0)).alias("before"), F.sum("here").over(whole).alias("n"))
-    own = F.row_number().over(Window.partitionBy(group, "part").orderBy(*order, "tie"))
-    made = ranged.withColumn("own", own).join(parts, F.col(group).eqNullSafe(F.col("of")) & (F.col("part") == F.col("at")))
-    return made.select(*rows.columns, (F.col("before") + F.col("own") - 1).alias("idx"), "n")
-
-
 def node_hash(digests: list[bytes]) -> bytes:
     return hashlib.sha256("".join([d.hex() for d in digests]).encode("ascii")).digest()
 

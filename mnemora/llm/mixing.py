@@ -6,10 +6,8 @@ prefix-summed, one random offset per source is added, and a document is emitted
 once per integer boundary its stretch crosses. Neighbours have like sizes, so
 the words taken stay within about one document's size of the target.
 
-As the expected copies are equal within a source, a prefix sum is a rank. It is
-made of three parts, so that no task holds a source: documents before this size
-(one row per source and size), before this hash prefix (4096 at most per source
-and size), and the row number within source, size and prefix.
+As the expected copies are equal within a source, a prefix sum is a rank, which
+``common.numbered`` makes without a task that holds a source, a size or an id.
 
 Size: number of words between white space; null text: 0. A null source is a
 source of its own and comes last. Targets: weights ``WEIGHTS`` by rank of the
@@ -25,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import materialise, table
+from mnemora.llm.common import materialise, numbered, table
 
 WEIGHTS, SHARE, CAP, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, "mix-1"
 ROW = "mix row"
@@ -75,19 +73,11 @@ def plan_copies(
     """One row per document: doc_id, sk, size, source_size, target, copies, and the columns ``carried``, which order rows that agree otherwise."""
     rows = materialise(docs.select(
         "doc_id", *carried, source_key(F.col("source")).alias("sk"), size_of(F.col("text")).alias("size"), _hash(seed, F.col("doc_id")).alias("h")
-    ).withColumn("b", F.substring("h", 1, 3)))
-    parts = rows.groupBy("sk", "size", "b").agg(F.count(F.lit(1)).alias("n"))
-    sizes = parts.groupBy("sk", "size").agg(F.sum("n").alias("n"))
-    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    upto_size = sizes.select("sk", "size", before(Window.partitionBy("sk").orderBy("size")).alias("n_size"))
-    upto_part = parts.select("sk", "size", "b", before(Window.partitionBy("sk", "size").orderBy("b")).alias("n_part"))
-    targets = _targets(sizes.groupBy("sk").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, cap, seed)
-    ranked = rows.withColumn("row", F.row_number().over(Window.partitionBy("sk", "size", "b").orderBy("h", "doc_id", *carried)))
-    groups = upto_part.join(upto_size.join(targets, "sk"), ["sk", "size"])  # 4096 rows at most for a source and size
-    ranked = ranked.join(groups, ["sk", "size", "b"])
-    rank = F.col("n_size") + F.col("n_part") + F.col("row")
-    upto = lambda r: F.floor(F.col("rate") * r + F.col("offset"))
-    return ranked.select("doc_id", *carried, "sk", "size", "source_size", "target", (upto(rank) - upto(rank - 1)).alias("copies"))
+    ))
+    targets = _targets(rows.groupBy("sk").agg(F.sum("size").alias("source_size")), weights, share, cap, seed)
+    ranked = numbered(rows, "sk", ["size", "h", "doc_id", *carried]).join(targets, "sk")
+    upto = lambda rank: F.floor(F.col("rate") * rank + F.col("offset"))
+    return ranked.select("doc_id", *carried, "sk", "size", "source_size", "target", (upto(F.col("idx") + 1) - upto(F.col("idx"))).alias("copies"))
 
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:

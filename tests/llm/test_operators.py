@@ -29,8 +29,8 @@ TEXTS = [
 def folder(spark, tmp_path_factory):
     """Documents with nulls, repeats and columns that clash with names the operators use."""
     root = tmp_path_factory.mktemp("tables")
-    rows = [(i, t, ["en", "fr", None][i % 3], ["a", "b", None][i % 3], "x", 1, "k") for i, t in enumerate(TEXTS)]
-    schema = "doc_id long, text string, lang string, source string, words string, size int, key string"
+    rows = [(i, t, ["en", "fr", None][i % 3], ["a", "b", None][i % 3], 5, "x", 1, "k") for i, t in enumerate(TEXTS)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, words string, size int, key string"
     docs = spark.createDataFrame(rows, schema)
     docs.write.parquet(f"{root}/documents.parquet")
     docs.limit(0).write.parquet(f"{root}/none/documents.parquet")
