@@ -7,6 +7,8 @@ is superseded, of twice its id.
 
 from __future__ import annotations
 
+import atexit
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ from mnemora.operators import triggers as tg
 from mnemora.plans.corpus import _CW, _in
 from mnemora.plans.search import _TITLE, _VEC
 from mnemora.sources import vault
-from mnemora.sources.scratch import shared
+from mnemora.sources.vault import exists
+from mnemora.sources.scratch import remove, root, stamp
 from mnemora.sources.tables import table
 
 KINDS = {"en": "concept", "fr": "gap", "de": "pattern"}
@@ -201,11 +204,12 @@ def search_pages(s: SparkSession, d: str) -> DataFrame:
 
 
 def _index(s: SparkSession, d: str, stemmed: bool) -> se.Index:
-    made = se.build(search_pages(s, d), stemmed=stemmed)
-    source, tag = f"{d}/documents.parquet", "stem" if stemmed else "word"
-    meta = shared(s, source, f"pages-{tag}", lambda: made.pages)
-    posts = shared(s, source, f"fields-{tag}", lambda: made.postings.repartitionByRange("term", "rel").sortWithinPartitions("term", "rel"))
-    return se.Index(posts, meta, se._totals(meta), stemmed)
+    """The stored index of the documents; the first query of a session builds it."""
+    path = f"{root(s)}/mnemora-index-{'stem' if stemmed else 'word'}-{stamp(s, f'{d}/documents.parquet')}-{s.sparkContext.applicationId}"
+    if not exists(s, f"{path}/versions/{1:08d}/_SUCCESS"):
+        se.build(search_pages(s, d), path, stemmed)
+        atexit.register(remove, s, path)
+    return se.load(s, path)
 
 
 def _asked(s: SparkSession, d: str) -> DataFrame:
@@ -283,7 +287,7 @@ def compile_gate(s, d):
     return tg.compile_gate(rows, ledger).select("id", "name")
 
 
-_NAMES = ("raw", "search_pages")
+_NAMES = ("raw", "search_pages")  # not queries
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k not in _NAMES}
 
 _V = f"""b AS (SELECT d.doc_id, d.text AS body, lang, source, quality, toxic, l.doc_id IS NOT NULL AS has_fm, CASE WHEN quality = 0 THEN 'superseded' END AS status,
