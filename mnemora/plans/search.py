@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.functions import text as tx
-from mnemora.operators import graph, retrieval as rt
+from mnemora.operators import graph, quotes, retrieval as rt
 from mnemora.sources.scratch import shared
 from mnemora.sources.tables import table
 
@@ -122,21 +121,25 @@ def _gold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Quoted passages verified in their sources, white space collapsed: an equi-join on 8-word heads, then containment."""
-    split = lambda c: F.split(tx.collapse_ws(F.col(c)), " ")
-    docs = table(spark, sf, "documents").select("doc_id", "text", F.xxhash64("text").alias("th"))
-    quotes = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), split("text").alias("q")).where(F.size("q") >= 10)
-    # the passage's second to ninth words are whole words wherever it occurs
-    quotes = quotes.select("qid", F.array_join("q", " ").alias("quote"), F.xxhash64(*[F.get("q", F.lit(i)) for i in range(1, 9)]).alias("h"))
-    at = docs.select("doc_id", "th", split("text").alias("ws")).select("doc_id", "th", F.explode_outer(tx.gram_hashes("ws", 8)).alias("h"))
-    near = at.join(rt._small(quotes), "h").select("doc_id", "th", "qid", "quote")
-    own = near.join(docs, ["doc_id", "th"]).where(F.contains(tx.collapse_ws(F.col("text")), F.col("quote")))
-    return own.select("qid", "doc_id").distinct()
+    """Quoted passages found in documents, white space collapsed, whatever their length."""
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("quote"))
+    return quotes.holding(table(spark, sf, "documents"), asked)
 
 
-_EVIDENCE = """ev AS (SELECT item_id AS qid, doc_id FROM
-  (SELECT item_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS q FROM benchmark) b JOIN
-  (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM documents) d ON contains(t, q) WHERE len(string_split(q, ' ')) >= 10)"""
+def evidence_short(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with pieces of passages, from parts of a word to several words with cut ends."""
+    piece = F.substring("text", F.lit(4) + F.col("item_id") % 5, F.lit(5) + F.col("item_id") % 36)
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), piece.alias("quote"))
+    return quotes.holding(table(spark, sf, "documents"), asked)
+
+
+def _evidence_sql(quote: str) -> str:
+    return rf"""ev AS (SELECT item_id AS qid, doc_id FROM
+  (SELECT item_id, trim(regexp_replace({quote}, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS q FROM benchmark) b JOIN
+  (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS t FROM documents) d ON contains(t, q) WHERE q <> '')"""
+
+
+_EVIDENCE = _evidence_sql("text")
 
 
 def evidence_gate(spark: SparkSession, sf: str) -> DataFrame:
@@ -181,7 +184,7 @@ QUERIES = {
     "bm25_known_item": known_item, "bm25_and_semantics": bm25_and_semantics, "title_boost": title_boost, "authority_weighted_rank": authority_rank,
     "vector_topk": vector_topk, "rrf_fusion_triple": rrf_fusion, "link_edges": link_edges,
     "link_degree": lambda s, d: graph.degrees(link_edges(s, d)), "graph_stats": lambda s, d: graph.graph_stats(link_edges(s, d)),
-    "in_neighbors": in_neighbors, "graph_boost": graph_boost, "evidence_verify": evidence, "evidence_gate": evidence_gate,
+    "in_neighbors": in_neighbors, "graph_boost": graph_boost, "evidence_verify": evidence, "evidence_short": evidence_short, "evidence_gate": evidence_gate,
     "eval_recall_mrr": eval_recall_mrr, "eval_by_query_type": eval_by_query_type, "latency_percentiles": latency_percentiles, "postings_stats": postings_stats, "known_item_queries": known_item_queries,
 }
 
@@ -208,6 +211,7 @@ SELECT * FROM (SELECT qid, vec_id, fused, row_number() OVER (PARTITION BY qid OR
     "graph_boost": f"""WITH {_EDGES}, p AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS pos FROM e
 WHERE src IN (SELECT regexp_extract(url, '^https?://[^/]+(/.*)?$', 1) FROM pages WHERE page_id % 50 = 0)) SELECT dst, round(sum(0.15::DOUBLE / (1 + 0.2::DOUBLE * pos)), 4) AS boost FROM p GROUP BY dst""",
     "evidence_verify": f"WITH {_EVIDENCE} SELECT qid, doc_id FROM ev",
+    "evidence_short": f"WITH {_evidence_sql('substr(text, 4 + (item_id % 5)::INT, 5 + (item_id % 36)::INT)')} SELECT DISTINCT qid, doc_id FROM ev",
     "evidence_gate": f"WITH {_EVIDENCE} SELECT item_id AS qid, count(doc_id) AS n_verified, count(doc_id) > 0 AS passes FROM benchmark LEFT JOIN ev ON qid = item_id GROUP BY item_id",
     "eval_recall_mrr": f"""WITH {_bm25_sql(4)}, {_EVIDENCE}, r AS (SELECT ev.qid, min(rank) AS rank FROM ev LEFT JOIN rk ON rk.qid = ev.qid AND rk.doc_id = ev.doc_id AND rank <= 10 GROUP BY ev.qid)
 SELECT count(*) AS n_queries, {', '.join(f'round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END::DOUBLE), 4) AS recall_at_{k}' for k in (1, 3, 5, 10))}, round(avg(coalesce(1.0::DOUBLE / rank, 0.0)), 4) AS mrr FROM r""",
