@@ -242,6 +242,18 @@ def stream_heartbeat(s, d):
     return ac.latest(changes, ["user_id"], ["ts", "event_id"], ["event_type"]).select("user_id", "event_id", "event_type")
 
 
+def stream_sliding_window(s, d):
+    """Events by type in windows of six hours, a new one every two; the last ones stay open."""
+    made = capture.run_once(capture.sliding_counts(capture.event_stream(s, d))).where("event_type is not null")
+    return made.select(F.date_format("started", "yyyy-MM-dd HH:mm").alias("started"), "event_type", "n")
+
+
+def stream_claims(s, d):
+    """Signups as claims with the purchases of the same user within a day, or none."""
+    of = lambda kind, name: capture.event_stream(s, d).where(F.col("event_type").eqNullSafe(kind) | F.col("event_id").isNull()).select(F.coalesce("user_id", F.lit(-1)).alias("user_id"), F.col("event_id").alias(name), "ts")  # noqa: E731  the marker has a key, or the join would drop it before it moves the watermark
+    return capture.run_once(capture.claimed(of("signup", "claim"), of("purchase", "finish"), "user_id", "claim", "finish", "1 day")).where("claim is not null")
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_")}
 QUERIES |= {"cooldown_60s": _cool(60), "cooldown_1h": _cool(3600), "cooldown_6h": _cool(6 * 3600)}
 
@@ -270,6 +282,10 @@ SELECT x.id AS a, y.id AS b, count(*) AS shared FROM w x JOIN w y ON x.w = y.w A
     "edit_loops": f"SELECT user_id, event_type, {_DAY} AS day, count(*) AS n FROM events GROUP BY 1, 2, 3 HAVING count(*) >= 3",
     "topic_loops": r"""WITH t AS (SELECT list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '\p{L}{5,}') AND x NOT IN """ + _in(fixed.TOPIC_STOP) + """)[1:3] AS w FROM documents)
 SELECT * FROM (SELECT array_to_string(list_sort(w), ' ') AS topic, count(*) AS n FROM t WHERE len(w) > 0 GROUP BY 1 ORDER BY n DESC, topic LIMIT 10) WHERE n >= 3""",
+    "stream_sliding_window": """WITH w AS (SELECT event_type, ts, unnest(range(0, 3)) AS k, to_timestamp(floor(epoch(ts) / 7200) * 7200)::TIMESTAMP AS began FROM events)
+SELECT strftime(began - to_hours(2 * k), '%Y-%m-%d %H:%M') AS started, event_type, count(*) AS n FROM w GROUP BY ALL""",
+    "stream_claims": """SELECT c.user_id, c.event_id AS claim, p.event_id AS finish FROM events c LEFT JOIN events p ON p.event_type = 'purchase' AND p.user_id = c.user_id AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 1 DAY
+WHERE c.event_type = 'signup'""",
     "cooldown_60s": _cool_sql(60), "cooldown_1h": _cool_sql(3600), "cooldown_6h": _cool_sql(6 * 3600), "stream_cooldown": _cool_sql(6 * 3600),
     "spawn_gate": _cool_sql(900, "user_id", "event_type = 'purchase' AND hour(ts) >= 18"),
     "session_blocks": """WITH e AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER w) > 21600 THEN 1 WHEN lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

@@ -137,14 +137,13 @@ def supersede_marked(s, d):
 
 
 def archive_days(s, d):
-    """Days of events that are older than 30 days and in the ledger, the days of users under ten, as they were."""
+    """Logs of a user's day that are older than 30 days and as they were when compiled at eight in the evening; what came later shows in the hash."""
     day = F.date_format("ts", "yyyy-MM-dd")
     e = table(s, d, "events")
-    digest = lambda rows: rows.groupBy(day.alias("stem")).agg(F.sha2(F.count(F.lit(1)).cast("string"), 256).alias("hash"))
-    named = lambda rows: rows.withColumn("name", F.concat("stem", F.lit(".md")))
-    days = named(digest(e)).withColumn("day", F.to_date("stem")).withColumn("rel", F.concat(F.lit("knowledge/daily/"), "name"))
-    ledger = named(digest(e.where("hour(ts) < 24")))
-    return pg.day_archive(days, ledger, "2024-02-25", max_age=30, least=2)
+    marks = F.concat_ws("-", F.count(F.lit(1)), F.min("event_id"), F.max("event_id"), F.sum("event_id"))
+    digest = lambda rows: rows.groupBy(day.alias("date"), "user_id").agg(F.sha2(marks, 256).alias("hash")).withColumn("name", F.concat("date", F.lit("-"), F.col("user_id").cast("string"), F.lit(".md")))
+    days = digest(e).select("name", "hash", F.to_date("date").alias("day"), F.concat(F.lit("knowledge/daily/"), "name").alias("rel"))
+    return pg.day_archive(days, digest(e.where("hour(ts) < 20")).select("name", "hash"), "2024-02-25", max_age=30, least=2)
 
 
 def old_page_count(s, d):
@@ -371,7 +370,8 @@ SELECT DISTINCT path || '.md' AS path FROM (SELECT path, list_last(string_split(
     "lint_counts": f"WITH {_V} " + " UNION ALL ".join(f"SELECT '{c}' AS category, (SELECT count(*) FROM (SELECT DISTINCT * FROM ({q}))) AS n" for c, q in _LINT.items()),
     "migrate_status": f"WITH {_V} SELECT CASE WHEN has_fm AND type IS NOT NULL THEN 'skip_already_okf' ELSE 'migrate' END AS status, count(*) AS n FROM v GROUP BY 1",
     "supersede_marked": f"""WITH {_V} SELECT rel, sha256(CASE WHEN quality = 1 THEN '---' || chr(10) || 'status: superseded' || chr(10) || 'superseded_by: [[' || doc_id || ']]' || chr(10) || substr(text, 5) ELSE text END) AS text_sha256 FROM v""",
-    "archive_days": "SELECT 'knowledge/daily/' || day || '.md' AS rel, 'knowledge/daily/archive/' || substr(day, 1, 7) || '/' || day || '.md' AS to FROM (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events) WHERE day < '2024-01-26'",
+    "archive_days": """WITH g AS (SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, max(hour(ts)) AS latest FROM events GROUP BY ALL)
+SELECT 'knowledge/daily/' || day || '-' || user_id || '.md' AS rel, 'knowledge/daily/archive/' || substr(day, 1, 7) || '/' || day || '-' || user_id || '.md' AS to FROM g WHERE day < '2024-01-26' AND latest < 20""",
     "old_page_count": "SELECT count(*) AS n FROM orders WHERE o_orderstatus <> 'F' AND o_orderdate::TIMESTAMP < TIMESTAMP '1998-06-01' - INTERVAL 90 DAY",
     "project_rows": "SELECT doc_id, source = 'src1' AND source <> 'src3' AS strict, true AS tolerant FROM documents WHERE source IN ('src1', 'src3')",
     "editorial_names": "SELECT n_nationkey FROM nation WHERE n_name NOT IN ('NATION_3', 'NATION_7')",

@@ -1,4 +1,4 @@
-"""Capture streams: stateful cooldown, session windows, day buckets, latest state.
+"""Capture streams: stateful cooldown, session and sliding windows, day buckets, claims joined with completions, latest state.
 
 Event time is the events' own ``ts``; batch twins are in ``operators.activity``.
 A stream that is run to its end is closed by a marker far in the future, so
@@ -87,16 +87,36 @@ def day_buckets(events: DataFrame, late: str = "1 day") -> DataFrame:
     )
 
 
+def sliding_counts(events: DataFrame, length: str = "6 hours", slide: str = "2 hours", late: str = "1 hour") -> DataFrame:
+    """(started, ended, event_type, n) of overlapping windows; an event counts in each window that holds it."""
+    rows = events.withWatermark("ts", late).groupBy(F.window("ts", length, slide).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "event_type", "n")
+
+
+def claimed(claims: DataFrame, done: DataFrame, key: str, claim: str, finish: str, within: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """(key, ``claim``, ``finish``): claims with each completion of the same key up to ``within`` after them, and claims without one, once it is too late for any.
+
+    Both streams (key, id, ts) are watermarked, so that the join forgets what can meet nothing any more: a claim after
+    ``within`` and ``late``, a completion after ``late``. Rows without a key meet nothing.
+    """
+    left = claims.select(key, claim, F.col("ts").alias("claimed_at")).withWatermark("claimed_at", late)
+    right = done.select(F.col(key).alias("done_key"), finish, F.col("ts").alias("done_at")).withWatermark("done_at", late)
+    span = F.expr(f"{key} = done_key AND done_at >= claimed_at AND done_at <= claimed_at + interval {within}")
+    return left.join(right, span, "leftOuter").select(key, claim, finish)
+
+
 def latest_state(events: DataFrame) -> DataFrame:
     rows = events.where("user_id is not null")
     return rows.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("r")).select("user_id", "r.ts", "r.event_id", "r.event_type")
 
 
-def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_once(stream: DataFrame, mode: str = "append", told: dict[str, int] | None = None) -> DataFrame:
     """Run all available input through ``stream`` into files of the shared folder, one set a micro-batch, and read them.
 
     A batch that runs again replaces its own files. In update mode a key has a
-    row for each batch that changed it.
+    row for each batch that changed it. ``told`` gets ``late``, the rows that
+    came after the watermark and were dropped, and ``state``, the rows that are
+    left in state.
     """
     spark = stream.sparkSession
     path = f"{root(spark)}/mnemora-stream-{uuid.uuid4().hex}"
@@ -106,6 +126,10 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
+    if told is not None:
+        states = [p["stateOperators"] for p in query.recentProgress]
+        told["late"] = sum(o["numRowsDroppedByWatermark"] for s in states for o in s)
+        told["state"] = sum(o["numRowsTotal"] for o in states[-1]) if states else 0
     return spark.read.schema(stream.schema).parquet(f"{path}/out").select(*stream.columns)
 
 
