@@ -114,10 +114,22 @@ SECRET_PATTERNS = (
 )
 
 
+#: What a text must hold, small letters taken, for a family to match; a plain search is far cheaper than a pattern.
+_MARKS = {
+    "pem": ("-----begin",), "jwt": ("eyj",), "bearer": ("bearer",), "github": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "slack": ("xox",), "aws": ("akia", "asia"),
+    "google": ("aiza",), "key": ("sk-",), "payment": ("k_live_", "k_test_"), "registry": ("npm_", "pypi-"), "url": ("://",),
+    "assigned": ("key", "token", "secret", "passw"),
+}
+
 #: A token of no known family is a secret from this entropy (bits a character) on, if it mixes digits, capitals and small letters.
 ENTROPY, TOKEN = 4.0, r"[A-Za-z0-9+/_=-]{20,}"
 
 
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def entropy(token: Column) -> Column:
     """Shannon entropy of a token's characters, in bits."""
     n = F.length(token)
@@ -126,16 +138,35 @@ def entropy(token: Column) -> Column:
     return F.round(-F.aggregate(F.array_sort(parts), F.lit(0.0), lambda a, x: a + x), 9)
 
 
-def redact(text: Column) -> Column:
-    """Secrets replaced by ``[REDACTED:family]``, first known families, then tokens of high entropy; prose and bare hexadecimal digests stay."""
+def _known(text: Column, low: Column) -> Column:
+    """The families replaced, each where its marks are; ``low`` is the text in small letters, which replacements add no mark to."""
     for name, pattern in SECRET_PATTERNS:
-        text = F.regexp_replace(text, pattern, f"[REDACTED:{name}]")
+        marks = [F.contains(low, F.lit(m)) for m in _MARKS[name]]
+        there = marks[0]
+        for m in marks[1:]:
+            there = there | m
+        text = _once(text, _replacing(there, pattern, f"[REDACTED:{name}]"))
+    return text
+
+
+def _replacing(there: Column, pattern: str, by: str):
+    return lambda t: F.when(there, F.regexp_replace(t, pattern, by)).otherwise(t)
+
+
+def _random(text: Column) -> Column:
+    """Tokens of high entropy replaced, longest first."""
     mixed = lambda t: t.rlike("[0-9]") & t.rlike("[A-Z]") & t.rlike("[a-z]")
     odd = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))), lambda t: mixed(t) & (entropy(t) >= ENTROPY))
     longest = F.array_sort(F.transform(odd, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
     return F.aggregate(longest, text, lambda acc, x: F.replace(acc, x["t"], F.lit("[REDACTED:entropy]")))
 
 
+def redact(text: Column) -> Column:
+    """Secrets replaced by ``[REDACTED:family]``, first known families, then tokens of high entropy; prose and bare hexadecimal digests stay."""
+    known = _once(F.struct(text.alias("t"), F.lower(text).alias("low")), lambda x: _known(x["t"], x["low"]))
+    return _once(known, lambda t: F.when(t.rlike(TOKEN), _random(t)).otherwise(t))
+
+
 def feedback_family(text: Column) -> tuple[Column, Column]:
     """(family, confidence): the first family that matches, 0.9 if two do; null under ten characters and for acknowledgements."""
     hits = [text.rlike(whole_words(p)) for _, p in fixed.FEEDBACK_FAMILIES]
