@@ -280,3 +280,11 @@ def test_state_and_sources(spark, tmp_path, root):
     assert vault.is_fresh(pages, pages, later) and not vault.is_fresh(pages, pages.limit(2), later)
     assert not vault.is_fresh(pages, pages, None) and not vault.is_fresh(pages, pages, "2000-01-01")
     assert vault.queue_files(spark, str(tmp_path / "absent")).count() == 0
+
+
+def test_contradictions_of_a_pair_that_all_titles_share(spark, monkeypatch):
+    monkeypatch.setattr(pg, "SIDE", 7)
+    ops = spark.createDataFrame([(f"n{i}", "Retry budget rules", "This replaces the old one, no longer valid") for i in range(3)] + [("m", "Cache warmup", "no longer valid")], "slug string, title string, body_markdown string")
+    old = spark.createDataFrame([(f"k/p{i}.md", f"p{i}", f"# Retry budget number{i}\n") for i in range(60)] + [("k/z.md", "z", "# Cache\n")], "rel string, stem string, text string")
+    got = [(r.slug, r.rel) for r in pg.contradicted(ops, old).collect()]
+    assert sorted(got) == sorted((f"n{k}", f"k/p{i}.md") for k in range(3) for i in range(60))
