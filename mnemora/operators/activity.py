@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mnemora.functions import replies
-
+from mnemora.sources.scratch import keep
 
 #: Items of one pair of words that meet in one cell of the grid.
 SIDE = 512
@@ -47,55 +43,67 @@ def loops(events: DataFrame, keys: list[Column], threshold: int) -> DataFrame:
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold)
 
 
-def _runs(rows: DataFrame, keys: list[str], order: list[str], seconds: float) -> DataFrame:
-    """``rows`` (keys, order, _at) with ``_run``: the time of the last event at or before one that follows a gap of ``seconds`` or more.
+def _follow(heads: DataFrame, steps: DataFrame) -> list[DataFrame]:
+    """The events (k, at, e) that chains of ``steps`` (k, at, nxt) reach from ``heads``, a table a round.
 
-    No window holds a key: time is cut into buckets of ``seconds``. An event's
-    gap is to the one before it in its bucket or to the last of the bucket
-    before, which is joined; where a bucket has no such event, the run is
-    carried over the buckets of its day, then over days, a row each.
+    Round i adds what lies 2^i steps on from all that is reached, then doubles
+    the steps: as many rounds as the logarithm of the longest chain, none
+    where no event but heads is kept. An event that is neither reached nor the
+    end of such a step never will be, and its step goes: chains run together,
+    so the steps of a round are ever fewer.
     """
-    ids = [f"_k{i}" for i in range(len(keys))]
-    rows = rows.withColumn("_bucket", F.floor(F.col("_at") / seconds)).withColumn("_day", F.floor(F.col("_at") / 86400))
-    rows = rows.withColumns({i: F.struct(k) for i, k in zip(ids, keys, strict=True)})  # a struct joins nulls, too
-    ends = rows.groupBy(*ids, (F.col("_bucket") + 1).alias("_bucket")).agg(F.max("_at").alias("_before"))
-    rows = rows.join(ends, [*ids, "_bucket"], "left")
-    inside = Window.partitionBy(*ids, "_bucket").orderBy("_at", *order)
-    gap = F.col("_at") - F.coalesce(F.lag("_at").over(inside), F.col("_before"))
-    rows = rows.withColumn("_start", F.when(F.coalesce(gap >= seconds, F.lit(True)), F.col("_at"))).drop("_before")
-    rows = rows.withColumn("_own", F.max("_start").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    upto = lambda w: F.max("_last").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    buckets = rows.groupBy(*ids, "_day", "_bucket").agg(F.max("_start").alias("_last"))
-    days = buckets.groupBy(*ids, "_day").agg(F.max("_last").alias("_last")).withColumn("_from_day", upto(Window.partitionBy(*ids).orderBy("_day"))).drop("_last")
-    buckets = buckets.withColumn("_from_bucket", upto(Window.partitionBy(*ids, "_day").orderBy("_bucket"))).drop("_last").join(days, [*ids, "_day"])
-    rows = rows.join(buckets, [*ids, "_day", "_bucket"])
-    return rows.withColumn("_run", F.coalesce("_own", "_from_bucket", "_from_day")).drop("_day", "_bucket", "_start", "_own", "_from_bucket", "_from_day", *ids)
+    reached, out = heads.select("k", "at"), []
+    while not steps.isEmpty():
+        new = keep(reached.join(steps, ["at", "k"]).select("k", "nxt.at", "nxt.e"), "cooldown")
+        if new.isEmpty():
+            break
+        out.append(new)
+        reached = reached.unionByName(new.select("k", "at"))
+        live = reached.unionByName(steps.select("k", "nxt.at")).distinct()
+        far = steps.join(live, ["at", "k"], "left_semi").select("k", F.col("at").alias("start"), F.col("nxt.at").alias("at"))
+        steps = keep(far.join(steps, ["at", "k"]).select("k", F.col("start").alias("at"), "nxt"), "cooldown")
+    return out
 
 
 def cooldown(events: DataFrame, keys: list[str], ts: Column, order: list[str], seconds: float) -> DataFrame:
     """Events kept: no kept event of the same key lies under ``seconds`` before.
 
-    An event after a gap of ``seconds`` is kept whatever came before, so the
-    runs between such gaps fold by themselves, a hot key's in many tasks. A
-    run's rows come sorted and are read once, the last kept time in hand.
+    An event after a gap of ``seconds`` is a head and kept whatever came
+    before. Any other is kept if a chain from a head leads to it, each step
+    going to the first event ``seconds`` or more later. Time is cut into
+    buckets of ``seconds``, so a step ends in the next bucket or with the first
+    event of the one after; windows hold a key's bucket, never a key. Of events
+    of one time the least by ``order`` counts; events without a time have no
+    cooldown and stay; null keys are a key; ``seconds`` of zero or less keep
+    all rows.
     """
-    rows = events.select(*keys, *order, ts.cast("timestamp").cast("double").alias("_at"))
-    rows = _runs(rows, keys, order, seconds)
-    rows = rows.repartition(*keys, "_run").sortWithinPartitions(*keys, "_run", "_at", *order).select(*keys, *order, "_run", "_at")
-    names = [*keys, *order]
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, last = None, 0.0
-        for batch in batches:
-            where = list(zip(*[batch.column(i).to_pylist() for i in range(len(keys))], batch.column(len(names)).to_pylist(), strict=True))
-            at, kept = batch.column(len(names) + 1).to_pylist(), []
-            for i, (own, t) in enumerate(zip(where, at, strict=True)):
-                if own != run or t - last >= seconds:
-                    run, last = own, t
-                    kept.append(i)
-            yield batch.select(range(len(names))).take(pa.array(kept, pa.int64()))
-
-    return rows.mapInArrow(fold, T.StructType([rows.schema[c] for c in names]))
+    width = round(seconds * 1_000_000)
+    rows = events.select(F.struct(*keys).alias("k"), F.unix_micros(ts.cast("timestamp")).alias("at"), F.struct(*order).alias("e"))
+    plain = lambda df: df.select(*[F.col("k")[c].alias(c) for c in keys], *[F.col("e")[c].alias(c) for c in order])
+    if width <= 0:
+        return plain(rows)
+    once = rows.where("at IS NOT NULL").groupBy("k", "at").agg(F.min("e").alias("e"))
+    # in joins and windows the number comes before the struct of keys: sorting compares it first
+    bucket = F.expr(f"(at - pmod(at, {width}L)) div {width}L")
+    # an event stands in its own bucket and asks in the next one for the first event from at + width on
+    stands = F.struct(bucket.alias("b"), F.col("at").alias("t"), F.lit(True).alias("own"))
+    asks = F.struct((bucket + 1).alias("b"), (F.col("at") + width).alias("t"), F.lit(False).alias("own"))
+    cells = once.select("*", F.explode(F.array(stands, asks)).alias("x")).select("k", "at", "e", "x.*")
+    cell, own = Window.partitionBy("b", "k"), F.col("own")
+    inside = F.max(F.when(own, F.col("at"))).over(cell.orderBy("t", "own").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.withColumn("inside", inside).withColumn("before", F.coalesce("inside", F.max(F.when(~own, F.col("at"))).over(cell)))
+    cells = cells.withColumn("head", F.coalesce(F.col("at") - F.col("before") >= width, F.lit(True)))
+    onward = cell.orderBy(F.desc("t"), F.desc("own")).rowsBetween(Window.unboundedPreceding, 0)
+    nxt = F.last(F.when(own, F.struct("at", "head", "e")), ignorenulls=True).over(onward)
+    cells = keep(cells.select("k", "b", "at", "e", "own", F.col("inside").isNull().alias("first"), "head", nxt.alias("nxt")), "cooldown")
+    heads = cells.where("own AND head").select("k", "at", "e")
+    then = cells.where("own AND first AND NOT head").select("k", (F.col("b") - 1).alias("b"), F.struct("at", "head", "e").alias("then"))
+    near = cells.where("NOT own AND NOT nxt.head").select("k", "at", "nxt")
+    far = cells.where("NOT own AND nxt IS NULL").select("k", "b", "at").join(then, ["b", "k"]).select("k", "at", F.col("then").alias("nxt"))
+    kept = heads.select("k", "e")
+    for more in _follow(heads, keep(near.unionByName(far), "cooldown")):
+        kept = kept.unionByName(more.select("k", "e"))
+    return plain(kept.unionByName(rows.where("at IS NULL").select("k", "e")))
 
 
 def latest(events: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:

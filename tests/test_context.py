@@ -202,6 +202,21 @@ def test_cooldown_is_the_greedy_choice(spark, seconds):
     assert got == _kept(rows, seconds)
 
 
+def test_cooldown_of_a_key_without_a_gap(spark):
+    """A chain of hundreds of steps, no Python worker, rows without a time stay; SQL's recursion isn't needed."""
+    rnd = random.Random(3)
+    rows = [("hot", 100.0 * i / 7 + rnd.random() * 20 - 50_000, i) for i in range(7000)]
+    df = spark.createDataFrame([*rows, ("hot", None, 7000), (None, None, 7001)], "k string, at double, id int").withColumn("ts", ac.F.col("at").cast("timestamp"))
+    got = ac.cooldown(df, ["k"], ac.F.col("ts"), ["id"], 300)
+    assert sorted(r.id for r in got.collect()) == sorted(_kept(rows, 300) | {7000, 7001})
+    assert len(_kept(rows, 300)) > 250
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and "Pandas" not in plan
+    empty = df.limit(0)
+    assert ac.cooldown(empty, ["k"], ac.F.col("ts"), ["id"], 300).count() == 0
+    assert ac.cooldown(df, ["k"], ac.F.col("ts"), ["id"], 0).count() == 7002
+
+
 def test_overlap_pairs_with_a_hot_pair(spark, monkeypatch):
     monkeypatch.setattr(ac, "SIDE", 4)
     items = spark.createDataFrame([(i, ["x", "y"] + (["z"] if i % 3 == 0 else [])) for i in range(30)] + [(99, ["x"])], "id int, ws array<string>")
