@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.operators import graph, quotes, retrieval as rt
-from mnemora.sources.scratch import shared
+from mnemora.operators import dense, graph, quotes, retrieval as rt
+from mnemora.sources.scratch import keep, shared
 from mnemora.sources.tables import table
 
 TOK = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
@@ -73,6 +73,15 @@ def _vector_queries(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
 
 
+def dense_index_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """vector_topk from an index in cells, as many read as nine answers of ten and more need."""
+    vectors = table(spark, sf, "embeddings")
+    centroids = dense.fit(vectors, dense.cells_for(vectors.count()))
+    index = keep(dense.build(vectors, centroids), "dense")
+    asked = _vector_queries(spark, sf)
+    return dense.search(index, asked, centroids, 10, dense.probes_for(index, asked, centroids, 10, 0.95))
+
+
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return rt.dense_topk(table(spark, sf, "embeddings"), _vector_queries(spark, sf), 10)
 
@@ -182,7 +191,7 @@ def known_item_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "bm25_known_item": known_item, "bm25_and_semantics": bm25_and_semantics, "title_boost": title_boost, "authority_weighted_rank": authority_rank,
-    "vector_topk": vector_topk, "rrf_fusion_triple": rrf_fusion, "link_edges": link_edges,
+    "vector_topk": vector_topk, "dense_index_topk": dense_index_topk, "rrf_fusion_triple": rrf_fusion, "link_edges": link_edges,
     "link_degree": lambda s, d: graph.degrees(link_edges(s, d)), "graph_stats": lambda s, d: graph.graph_stats(link_edges(s, d)),
     "in_neighbors": in_neighbors, "graph_boost": graph_boost, "evidence_verify": evidence, "evidence_short": evidence_short, "evidence_gate": evidence_gate,
     "eval_recall_mrr": eval_recall_mrr, "eval_by_query_type": eval_by_query_type, "latency_percentiles": latency_percentiles, "postings_stats": postings_stats, "known_item_queries": known_item_queries,
