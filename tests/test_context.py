@@ -252,3 +252,17 @@ def test_prompt_cooldown(spark):
     df = spark.createDataFrame(rows, "slug string, text string, at double, id int").where("length(trim(text)) >= 5")
     df = df.withColumn("ts", ac.F.col("at").cast("timestamp")).withColumn("hash", ac.F.substring(ac.F.sha2("text", 256), 1, 12))
     assert sorted(r.id for r in ac.cooldown(df, ["slug", "hash"], ac.F.col("ts"), ["id"], 30).collect()) == [1, 3, 4, 5]
+
+
+def test_overlap_pairs_are_made_after_the_last_shuffle(spark, monkeypatch):
+    """Many items of equal words, in chunks: pairs of items are made where chunks meet and shuffled no more."""
+    monkeypatch.setattr(ac, "CHUNK", 4)
+    rows = [(i, ["x", "y"] if i % 2 else ["x", "y", "z"], None if i == 5 else f"k{i % 3}") for i in range(40)] + [(99, ["x"], "k0"), (98, ["q", "r"], "k0")]
+    items = spark.createDataFrame(rows, "id int, ws array<string>, kind string")
+    found = ac.overlap_pairs(items, "id", ac.F.col("ws"), "kind")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate explode")]
+    want = [(a, b, len(set(x) & set(y))) for a, x, k in rows for b, y, m in rows if a < b and len(set(x) & set(y)) > 1 and k and m and k != m]
+    assert sorted((r.a, r.b, r.shared) for r in found.collect()) == sorted(want)
+    every = ac.overlap_pairs(items, "id", ac.F.col("ws")).collect()
+    assert len(every) == len({(r.a, r.b) for r in every}) == 40 * 39 // 2
