@@ -5,7 +5,7 @@ import json
 
 import pytest
 
-from mnemora.operators import lint
+from mnemora.operators import activity, lint
 from mnemora.operators import pages as pg
 from mnemora.sources import sinks, tables, vault
 
@@ -288,3 +288,15 @@ def test_contradictions_of_a_pair_that_all_titles_share(spark, monkeypatch):
     old = spark.createDataFrame([(f"k/p{i}.md", f"p{i}", f"# Retry budget number{i}\n") for i in range(60)] + [("k/z.md", "z", "# Cache\n")], "rel string, stem string, text string")
     got = [(r.slug, r.rel) for r in pg.contradicted(ops, old).collect()]
     assert sorted(got) == sorted((f"n{k}", f"k/p{i}.md") for k in range(3) for i in range(60))
+
+
+def test_contradictions_of_slugs_and_pages_with_several_titles(spark, monkeypatch):
+    """Pairs are shuffled only for slugs and pages that come with several titles; these are given once."""
+    monkeypatch.setattr(activity, "CHUNK", 3)
+    ops = [("n1", "Retry budget rules"), ("n1", "Retry budget"), ("p2", "Budget retry")]
+    ops = spark.createDataFrame([(*x, "no longer valid") for x in ops], "slug string, title string, body_markdown string")
+    old = [(f"k/p{i}.md", f"p{i}", "# Retry budget\n") for i in range(20)] + [("k/p1.md", "p1", "# Rules: retry budget\n"), ("k/p3.md", "other", "# Retry budget\n")]
+    found = pg.contradicted(ops, spark.createDataFrame(old, "rel string, stem string, text string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate explode(vs")]
+    assert sorted((r.slug, r.rel) for r in found.collect()) == sorted((s, f"k/p{i}.md") for s in ("n1", "p2") for i in range(20) if (s, i) != ("p2", 2))
