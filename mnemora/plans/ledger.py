@@ -41,9 +41,7 @@ def task_conflicts(s, d):
     """Open tasks of different agents that share two words: parts of different brands that no returned first line item completes."""
     done = table(s, d, "lineitem").where("l_returnflag = 'R' AND l_linenumber = 1").select(F.col("l_partkey").alias("p_partkey"))
     p = ac.fold_tasks(table(s, d, "part"), done, "p_partkey").where("state = 'open'")
-    pairs = ac.overlap_pairs(p, "p_partkey", tx.title_words(F.col("p_name"), fixed.TASK_STOP))
-    brand = lambda c, n: p.select(F.col("p_partkey").alias(c), F.col("p_brand").alias(n))
-    return pairs.join(brand("a", "ba"), "a").join(brand("b", "bb"), "b").where("ba <> bb").select("a", "b", "shared")
+    return ac.overlap_pairs(p, "p_partkey", tx.title_words(F.col("p_name"), fixed.TASK_STOP), "p_brand")
 
 
 def edit_loops(s, d):
