@@ -78,3 +78,24 @@ def test_an_unfinished_update_is_not_seen(spark, tmp_path):
     ix.build(spark.createDataFrame(pages(random.Random(4), range(5)), SCHEMA), path)
     ix._write(spark.createDataFrame(pages(random.Random(5), range(5, 9)), SCHEMA), path, True)
     assert ix.load(spark, path).manifest().count() == 5
+
+
+def test_the_index_is_shuffled_once(spark, tmp_path):
+    """A page's terms are grouped within its row: the plan of the postings has no shuffle of rows, whatever the number of words."""
+    from pyspark.sql import functions as F
+
+    from mnemora.operators import retrieval
+
+    none = F.lit(None).cast("string")
+    rows = [(f"k/p{i}.md", "Réd hats", None if i == 2 else "", " ".join(["red", "HATS", "́", "x"] * (i + 1))) for i in range(5)]
+    pages = spark.createDataFrame(rows, "rel string, title string, summary string, body string").select("*", F.lit("s").alias("stem"), *[none.alias(c) for c in ("project", "timestamp", "valid_to", "source_authority")])
+    made = ix.build(pages)
+    plan = made.postings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(rel" not in plan and "Exchange hashpartitioning(word" not in plan and "Exchange hashpartitioning(term" not in plan
+    got = {(r.term, r.rel): (r.tf, r.length, [tuple(p) for p in r.places]) for r in made.postings.collect()}
+    assert got["red", "k/p1.md"] == (3, 10, [(0, 0), (2, 0), (2, 4)]) and got["hat", "k/p0.md"] == (2, 6, [(0, 1), (2, 1)]) and len(got) == 15
+    docs = spark.createDataFrame([(1, "a b a"), (1, "a c a"), (2, None), (None, "a"), (3, "")], "doc_id long, text string")
+    plan = retrieval.sorted_postings(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    want = [(1, "a", 4, 3), (1, "b", 1, 3), (1, "c", 1, 3), (None, "a", 1, 1)]
+    assert sorted(((r.doc_id, r.term, r.tf, r.dl) for r in retrieval.sorted_postings(docs).collect()), key=repr) == sorted(want, key=repr)
