@@ -167,3 +167,21 @@ def test_models(spark):
     assert seams.answer(asked, "", lambda: seams.Model(())).first().reply == "(no LLM response)"
     assert seams.advise("block", seams.Model((seams.fake("Do it."),))) == "**Insight:** Do it.\n\nblock" and seams.advise("block", seams.Model(())) == "block"
     assert len(seams.advise("b" * 900, seams.Model((seams.fake("Do it."),)))) <= 800
+
+
+def test_title_boosts_compare_no_title_with_all_queries(spark):
+    """Titles meet queries on rare words instead of in a cross join, with the rows of the cross join."""
+    from pyspark.sql import functions as F
+
+    from mnemora.operators import retrieval as rt
+
+    titles = ["red fox", "fox red", "red fox", "red", "the red fox runs", "", None, "a  b", "a b", "b", "red red fox", "blue", " red"]
+    docs = spark.createDataFrame(list(enumerate(titles)), "doc_id long, t string")
+    asked = docs.where("doc_id % 2 = 0 AND t <> ''").select(F.col("doc_id").alias("qid"), F.col("t").alias("q"))
+    found = rt.title_boosts(docs, asked)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    every = docs.crossJoin(asked).select("qid", "doc_id", rt.boost_ladder(F.col("t"), F.col("q"), words("t"), words("q")).alias("boost")).where("boost > 1")
+    got = sorted(tuple(r) for r in found.collect())
+    assert got == sorted(tuple(r) for r in every.collect()) and len(got) > 20
