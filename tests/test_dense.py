@@ -58,3 +58,26 @@ def test_rows_without_a_direction_repeated_ids_and_empty_tables(spark):
 def test_the_query_has_the_recall(spark):
     exact, got = found(plans.vector_topk(spark, SF)), found(plans.dense_index_topk(spark, SF))
     assert len(got.keys() & exact.keys()) >= 0.95 * len(exact)
+
+
+@pytest.mark.parametrize("side", [7, 1000])
+def test_exact_search_in_blocks_is_that_of_all_pairs(spark, monkeypatch, side):
+    """Equal vectors, ties of rounded scores, and vectors that have no cosine; no pair leaves its block uncounted."""
+    monkeypatch.setattr(rt, "SIDE", side)
+    rng, nan = np.random.default_rng(3), float("nan")
+    odd = [(100, None), (101, [0.0, 0.0]), (102, [1.0, None]), (103, [1.0, 2.0, 3.0]), (104, [nan, 1.0]), (105, []), (None, [1.0, 1.0])]
+    df = spark.createDataFrame([(i, [float(v) for v in rng.choice([-1.0, 0.0, 0.5, 1.0], 2)]) for i in range(30)] + odd, "vec_id long, embedding array<float>")
+    queries = asked(df, 1)
+    pairs = df.crossJoin(queries).where("vec_id <> qid").select("qid", "vec_id", rt.cosine(rt.F.col("embedding"), rt.F.col("q")).alias("score"))
+    plain = lambda rows: sorted([repr(tuple(r)) for r in rows.select("qid", "vec_id", "score", "rank").collect()])
+    for k in (3, 10, 60):
+        assert plain(rt.dense_topk(df, queries, k)) == plain(rt.ranked(pairs, k, item="vec_id"))
+
+
+def test_exact_search_makes_no_cross_join(spark, capsys):
+    df = table(spark)
+    for found_ in (rt.dense_topk(df, asked(df), 5), plans.rrf_fusion(spark, SF)):
+        capsys.readouterr()
+        found_.explain()
+        plan = capsys.readouterr().out
+        assert "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
