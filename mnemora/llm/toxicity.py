@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.llm.common import crc_fold, materialise, release, table
-from mnemora.llm.training import labelled_sample, with_text
+from mnemora.llm.training import bounded_sample, with_text
 
 THRESHOLD, BITS, CACHE, CACHED_SPAN = 0.5, 18, 500_000, 80
 BUCKETS = 1 << BITS
@@ -327,7 +327,7 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def fit(docs: DataFrame, labels: DataFrame, chars: CharModel) -> ToxicityModel:
     """Features are made and counted in the executors; the driver gets ``BUCKETS`` counts at most, then the features that pass the screen."""
-    sample = with_text(docs, labelled_sample(labels, "toxic")).select("doc_id", "y", "text")
+    sample = with_text(docs, bounded_sample(labels, "toxic")).select("doc_id", "y", "text")
     sent = docs.sparkSession.sparkContext.broadcast(chars)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

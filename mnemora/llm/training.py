@@ -1,7 +1,9 @@
-"""Bounded training samples for the classifiers.
+"""Training rows for the classifiers.
 
-``MAX_TRAIN`` rows per class at most are learned from; the choice is by a hash
-of ``doc_id``, so it doesn't depend on the partitioning and reruns agree.
+``labelled_sample`` deals all rows over samples of ``MAX_TRAIN`` rows a label and
+more, ``bounded_sample`` takes ``MAX_TRAIN`` rows of each label at most. Either
+goes by a hash of ``doc_id``, so it doesn't depend on the partitioning and
+reruns agree.
 """
 
 from __future__ import annotations
@@ -22,7 +24,18 @@ def labelled_rows(labels: DataFrame, label: str) -> DataFrame:
     )
 
 
-def labelled_sample(labels: DataFrame, label: str, per_class: int = MAX_TRAIN) -> DataFrame:
+def labelled_sample(rows: DataFrame, per_class: int = MAX_TRAIN) -> DataFrame:
+    """``rows`` (doc_id, y, ...) with ``part``: every row is in some part, every part has rows of both labels, some ``per_class`` to twice that of each if there are as many.
+
+    The rarer label has fewer parts than the other, so its parts are in several.
+    """
+    n = {r["y"]: max(1, r["n"] // per_class) for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a label
+    own = F.when(F.col("y") == 1, n.get(1, 1)).otherwise(n.get(0, 1))
+    first = F.pmod(F.xxhash64("doc_id"), own).cast("int")
+    return rows.withColumn("part", F.explode(F.sequence(first, F.lit(max(n.values(), default=1) - 1), own)))
+
+
+def bounded_sample(labels: DataFrame, label: str, per_class: int = MAX_TRAIN) -> DataFrame:
     """Up to ``per_class`` of ``labelled_rows`` of each label."""
     rows = labelled_rows(labels, label).withColumn("h", F.xxhash64("doc_id"))
     parts = [rows.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]

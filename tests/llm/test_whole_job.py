@@ -4,6 +4,7 @@ import functools
 import itertools
 import random
 import time
+import zlib
 
 import numpy as np
 
@@ -51,6 +52,26 @@ def test_quality_cut_does_not_depend_on_the_cap(spark, monkeypatch):
     assert abs(low - 1 / 7) < 0.06, low
 
 
+def test_quality_learns_from_all_labelled_rows(spark, monkeypatch):
+    """With parts of 40 rows a label: every row is in a part, each part has both labels, and the cut is the exact quantile of all rows."""
+    rnd = random.Random(6)
+    rows = [(i, int(i % 7 != 0)) for i in range(2100)]
+    texts = [(i, " ".join(rnd.choice(["word", "text"] if rnd.random() < (0.6 if y else 0.5) else ["!!!", "***"]) for _ in range(40))) for i, y in rows]
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(rows, "doc_id long, quality int")
+    seen = []
+    sample = functools.partial(quality.labelled_sample, per_class=40)
+    monkeypatch.setattr(quality, "labelled_sample", lambda df: seen.append(df) or sample(df))
+    dealt = sample(quality.labelled_rows(labels, "quality")).collect()
+    learned = [(i, y) for i, y in rows if zlib.crc32(str(i).encode()) % 5]
+    assert {(r.doc_id, r.y) for r in dealt} == set(learned)
+    for part in range(max(r.part for r in dealt) + 1):
+        n = [sum(r.part == part and r.y == y for r in dealt) for y in (0, 1)]
+        assert min(n) >= 20 and max(n) <= 120
+    ranker = quality.fit(docs, labels)
+    low = sum(ranker.score(texts[i][1]) < quality.THRESHOLD for i, _ in learned)
+    assert seen and low == sum(y == 0 for _, y in learned)
+
+
 def test_mix_gives_equal_rows_their_copies(spark):
     """Repeated rows, rows without an id, and rows of their own: the copies planned are the rows given."""
     rows = [(7, "a b c", "big")] * 500 + [(None, f"t{i} x", "big") for i in range(300)] + [(1000 + i, "y z", "big") for i in range(40)]
