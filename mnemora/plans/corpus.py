@@ -37,7 +37,7 @@ def lint_broken_links(s, d):
 
 def lint_backlinks(s, d):
     """Derived edges: part to supplier key, both as node numbers."""
-    e = table(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    e = table(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
     return graph.missing_backlinks(e)
 
 

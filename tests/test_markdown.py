@@ -77,6 +77,16 @@ def test_json_blocks_and_breadcrumbs(spark):
     assert [tuple(r) for r in _column(spark, [log], replies.breadcrumbs(F.col("t")))[0][0]] == [("09:00:00", "abcdefgh", "slug", "edit", "src/a.py"), ("09:02:00", "s2", "slug", "bash", "(unknown)")]
 
 
+def test_missing_backlinks_need_no_join(spark, capsys):
+    """Repeated edges, loops, nulls; both ways of a pair meet in one group."""
+    rows = [(1, 2), (2, 1), (3, 1), (3, 1), (4, 4), (None, 1), (1, None), (2, 9)]
+    found = graph.missing_backlinks(spark.createDataFrame(rows, "src long, dst long"))
+    assert sorted(tuple(r) for r in found.collect()) == [(2, 9), (3, 1)]
+    capsys.readouterr()
+    found.explain()
+    assert "Join" not in capsys.readouterr().out
+
+
 def test_backlinks_and_boost(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("c", "c")], "src string, dst string")
     assert [tuple(r) for r in graph.missing_backlinks(e).select("src", "dst").collect()] == [("a", "c")]
