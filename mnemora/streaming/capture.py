@@ -10,7 +10,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -18,6 +20,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from mnemora.sources.scratch import root
 
 END = "2200-01-01 00:00:00"
+#: Over which the cooldown's keys are dealt.
+BUCKETS = 1024
+
+
+def _arrow(rows: pd.DataFrame) -> bytes:
+    table, sink = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 def event_stream(spark: SparkSession, sf_dir: str, closed: bool = True) -> DataFrame:
@@ -33,44 +44,54 @@ def event_stream(spark: SparkSession, sf_dir: str, closed: bool = True) -> DataF
     return rows.unionByName(spark.readStream.schema(end.schema).parquet(path))
 
 
-def cooldown_stream(events: DataFrame, seconds: float, late: str = "1 hour") -> DataFrame:
+def cooldown_stream(events: DataFrame, seconds: float, late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """(user_id, event_type, event_id, at): kept events, per key no other kept one under ``seconds`` before.
 
-    Events wait in their key's state until the watermark has passed them, so
-    that they are judged in the order of their time however late they come
-    (within ``late``); the state ends when nothing waits and the last kept
-    event's ``seconds`` are over.
+    Keys are dealt over ``buckets`` by a hash, and a bucket's state is one Arrow
+    table. Events wait in it until the watermark has passed them, so that they
+    are judged in the order of their time however late they come (within
+    ``late``); a key leaves it when nothing waits and the last kept event's
+    ``seconds`` are over.
     """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, waiting = None, []
-        if state.exists:
-            last, at, ids = state.get
-            waiting = list(zip(at, ids, strict=True))
-        for frame in frames:
-            rows = frame[frame["event_id"].notna()]  # the marker only moves the watermark
-            waiting += zip(rows["at"], rows["event_id"], strict=True)
-        waiting.sort()
-        now, kept, done = state.getCurrentWatermarkMs() / 1000, [], 0
-        for at, event_id in waiting:
-            if at > now:
-                break
-            done += 1
-            if last is None or at - last >= seconds:
-                last = at
-                kept.append((key[0], key[1], int(event_id), float(at)))
-        waiting = waiting[done:]
-        if waiting or (last is not None and last + seconds > now):
-            state.update((last, [float(a) for a, _ in waiting], [int(i) for _, i in waiting]))
-            due = waiting[0][0] if waiting else last + seconds
-            state.setTimeoutTimestamp(int(max(due, now) * 1000) + 1)
+    key = ["user", "known", "event_type"]  # pandas knows no null numbers: ``known`` says whether there is a user
+    columns = [*key, "at", "event", "past"]
+
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = [pa.ipc.open_stream(state.get[0]).read_pandas()] if state.exists else []
+        rows = pd.concat([*before, *[f.loc[~f["mark"], columns] for f in frames]])  # the marker only moves the watermark
+        if not len(rows):
+            return
+        now = state.getCurrentWatermarkMs() / 1000
+        rows["code"] = rows.groupby(key, dropna=False, sort=False).ngroup().to_numpy()
+        rows = rows.sort_values(["code", "past", "at", "event"], ascending=[True, False, True, True], ignore_index=True)
+        kept, lasts, of, last = [], {}, None, None
+        due = np.flatnonzero(rows["past"] | (rows["at"] <= now))
+        for place, code, at, past in zip(due.tolist(), *(rows[c].to_numpy()[due].tolist() for c in ("code", "at", "past")), strict=True):
+            if code != of:
+                of, last = code, None
+            if past or last is None or at - last >= seconds:
+                last, lasts[code] = at, place
+                if not past:
+                    kept.append(place)
+        ends = rows.iloc[list(lasts.values())].assign(past=True)
+        left = pd.concat([ends[ends["at"] + seconds > now], rows[~rows["past"] & (rows["at"] > now)]])[columns]
+        if len(left):
+            state.update((_arrow(left),))
+            next_ = (left["at"] + np.where(left["past"], seconds, 0)).min()
+            state.setTimeoutTimestamp(int(max(next_, now) * 1000) + 1)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(kept, columns=["user_id", "event_type", "event_id", "at"])
-
-    rows = events.withWatermark("ts", late).select("user_id", "event_type", "event_id", "ts", F.col("ts").cast("double").alias("at"))
-    return rows.groupBy("user_id", "event_type").applyInPandasWithState(
-        step, "user_id long, event_type string, event_id long, at double", "last double, at array<double>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout
+        if kept:
+            out = rows.iloc[kept]
+            yield pd.DataFrame({"user_id": out["user"].astype("Int64").where(out["known"]), "event_type": out["event_type"], "event_id": out["event"], "at": out["at"]})
+
+    there = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
+    rows = events.withWatermark("ts", late).select(
+        F.pmod(F.xxhash64("user_id", "event_type"), F.lit(buckets)).alias("bucket"), there("user_id").alias("user"), F.col("user_id").isNotNull().alias("known"), "event_type",
+        F.col("ts").cast("double").alias("at"), there("event_id").alias("event"), F.lit(False).alias("past"), F.col("event_id").isNull().alias("mark"), "ts",
+    )
+    return rows.groupBy("bucket").applyInPandasWithState(
+        step, "user_id long, event_type string, event_id long, at double", "waiting binary", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -33,6 +33,17 @@ def test_sliding_windows_and_late_rows(spark, tmp_path):
     assert told["late"] == 3  # the late row's windows
 
 
+def test_cooldown_keys_share_a_state(spark, tmp_path):
+    """Few rows of state however many keys; keys of one bucket are judged apart, null keys and large ids too; what is over is forgotten."""
+    big = 2**53
+    rows = [[(u, k, big + 10 * u + i, at(i)) for u in range(40) for i, k in enumerate("aab")] + [(None, "a", 5, at(0)), (None, None, 6, at(0)), (None, "a", 7, at(1))], [(-1, "z", 8, at(50))], [(-1, "z", 9, at(99))]]
+    made = capture.cooldown_stream(stream(spark, tmp_path / "in", rows, "user_id long, event_type string, event_id long, ts timestamp"), 2 * 3600, buckets=4)
+    told = {}
+    got = {(r.user_id, r.event_type, r.event_id) for r in capture.run_once(made, told=told).collect() if r.event_type != "z"}
+    assert got == {(u, k, big + 10 * u + i) for u in range(40) for i, k in ((0, "a"), (2, "b"))} | {(None, "a", 5), (None, None, 6)}
+    assert told["state"] == 1  # the last mark waits
+
+
 def test_claims_and_completions(spark, tmp_path):
     schema = "user_id long, claim long, ts timestamp"
     claims = [[(1, 10, at(0)), (2, 11, at(1)), (3, 12, at(1.5)), (None, 13, at(1))], [(1, 14, at(5)), (9, 99, at(300))], [(9, 95, at(301))], [(1, 15, at(2)), (9, 98, at(300))]]
