@@ -95,6 +95,25 @@ def test_lint(notes, spark, root):
     assert paths(lint.temporal_validity(notes, "2024-06-01"), "detail") == [("knowledge/notes/beta.md", "2024-01-01")]
 
 
+def test_lint_run_reads_each_text_once(notes, spark):
+    """All checks over one reading of the pages find what each finds by itself."""
+    seen, rows = spark.sparkContext.accumulator(0), notes.collect()
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    pages = spark.createDataFrame(rows, notes.schema).mapInArrow(counted, notes.schema)
+    index, day = spark.createDataFrame([("x",)], "text string"), spark.createDataFrame([], "rel string, name string, hash string")
+    found = lint.run(pages, index, day, day, "2024-06-01").collect()
+    assert seen.value == len(rows) > 5
+    some = notes.where("name <> 'index.md'")
+    own = [lint.broken_links(notes, notes), lint.orphan_pages(some, index), lint.missing_backlinks(some), lint.sparse(some), lint.missing_frontmatter(some), lint.missing_type(some), lint.invalid_type(some)]
+    own += [lint.missing_sources(some), lint.supersede_chain(some, notes), lint.orphan_gaps(some), lint.temporal_validity(some, "2024-06-01")]
+    assert set(found) == {r for each in own for r in each.collect()} and len(found) == len(set(found))
+
+
 def test_lint_run_and_report(notes, spark, root):
     index = spark.createDataFrame([("[[knowledge/notes/alpha]]",)], "text string")
     days, ledger = vault.dailies(spark, root), spark.createDataFrame([], "name string, hash string")
