@@ -185,3 +185,21 @@ def test_title_boosts_compare_no_title_with_all_queries(spark):
     every = docs.crossJoin(asked).select("qid", "doc_id", rt.boost_ladder(F.col("t"), F.col("q"), words("t"), words("q")).alias("boost")).where("boost > 1")
     got = sorted(tuple(r) for r in found.collect())
     assert got == sorted(tuple(r) for r in every.collect()) and len(got) > 20
+
+
+def test_the_dense_list_ranks_no_pairs_by_shuffle(spark):
+    """search_triple's vectors are compared by products of matrices, of which a query's first pages are left, with the rows of all pairs."""
+    from helpers import SF
+
+    from mnemora.plans import vault
+    from mnemora.sources.tables import table
+
+    F, rt = se.F, retrieval
+    found = vault._cosines(spark, SF, 30)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    v = table(spark, SF, "embeddings").join(table(spark, SF, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id")
+    asked = table(spark, SF, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    every = v.crossJoin(asked).where("vec_id <> qid").select("qid", vault._rel("vec_id").alias("rel"), rt.cosine(F.col("embedding"), F.col("q")).alias("cosine"))
+    want = rt.ranked(every, 30, score="cosine", item="rel").select("qid", "rel", "cosine")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and want.count() > 30
