@@ -266,3 +266,12 @@ def test_overlap_pairs_are_made_after_the_last_shuffle(spark, monkeypatch):
     assert sorted((r.a, r.b, r.shared) for r in found.collect()) == sorted(want)
     every = ac.overlap_pairs(items, "id", ac.F.col("ws")).collect()
     assert len(every) == len({(r.a, r.b) for r in every}) == 40 * 39 // 2
+
+
+def test_pairs_of_one_class_are_the_work_of_many_tasks(spark):
+    """A class that all items share is dealt over turns: its pairs are made by many tasks, not by one, and are all there."""
+    items = spark.createDataFrame([(i, ["red", "hat"], i % 12) for i in range(60)], "id int, ws array<string>, kind int")
+    found = ac.overlap_pairs(items, "id", ac.F.col("ws"), "kind")
+    assert found.select(ac.F.spark_partition_id().alias("p")).distinct().count() > 4
+    got = sorted((r.a, r.b, r.shared) for r in found.collect())
+    assert got == [(a, b, 2) for a in range(60) for b in range(a + 1, 60) if a % 12 != b % 12]
